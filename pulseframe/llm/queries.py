@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import exact_dedup, mixing, url_filters
+from pulseframe.llm import bpe, exact_dedup, mixing, simhash, url_filters
 
 #: Fixed rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -14,10 +14,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -27,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
 
 OP3_SQL = r"""
 WITH t AS (
