@@ -66,3 +66,17 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, members: str, total: int)
     hot = F.broadcast(dim.where(F.col(members) > least))
     cold = facts.join(F.broadcast(dim.where(F.col(members) > least).select(key)), key, "left_anti")
     return facts.join(hot, key).unionByName(cold.join(dim.where(F.col(members) <= least), key))
+
+
+def ranked_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The `most` rows of least hash of their id: a sample that reruns agree on, in one top-k pass."""
+    return rows.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most)
+
+
+def remainder(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import bpe, exact_dedup, mixing, simhash, url_filters
+from pulseframe.llm import bpe, exact_dedup, langid, mixing, simhash, toxicity, url_filters
+from pulseframe.llm.common import remainder
 
 #: Fixed rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -20,6 +21,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder("doc_id", 4) == 2
+    found = langid.identify(docs, langid.train(docs, ~held_out))
+    return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(documents(spark, sf_dir))
 
@@ -32,6 +40,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -41,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
 
 OP3_SQL = r"""
 WITH t AS (
