@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact_dedup, langid, mixing, simhash, toxicity, url_filters
+from pulseframe.llm import bpe, exact_dedup, langid, mixing, simhash, substring_dedup, toxicity, url_filters
 from pulseframe.llm.common import remainder
 
 #: Fixed rules of op8: host, path, verdict.
@@ -40,6 +41,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.strip_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
@@ -56,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
 
 OP3_SQL = r"""
 WITH t AS (
