@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact_dedup, langid, mixing, simhash, substring_dedup, toxicity, url_filters
-from pulseframe.llm.common import remainder
+from pulseframe.llm import bpe, exact_dedup, langid, media, mixing, simhash, substring_dedup, toxicity, url_filters
+from pulseframe.llm.common import remainder, written
 
 #: Fixed rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -58,11 +58,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(written(media.encode(documents(spark, sf_dir)), "media"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op9_media": op9_media, "op10_mixing": op10_mixing}
 
 OP3_SQL = r"""
 WITH t AS (
