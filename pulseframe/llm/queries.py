@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact_dedup, langid, media, mixing, simhash, substring_dedup, toxicity, url_filters
+from pulseframe.llm import bpe, exact_dedup, langid, lm_scoring, media, mixing, simhash, substring_dedup, toxicity, url_filters
 from pulseframe.llm.common import remainder, written
 
 #: Fixed rules of op8: host, path, verdict.
@@ -29,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(documents(spark, sf_dir))
 
@@ -66,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op9_media": op9_media, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language_id": op1_language_id, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op9_media": op9_media, "op10_mixing": op10_mixing}
 
 OP3_SQL = r"""
 WITH t AS (
