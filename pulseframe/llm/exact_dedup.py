@@ -5,7 +5,7 @@ a Parquet table (digest, keep_id, n_chars), bucketed and sorted by digest. A bat
 digest (most code points in the original text, then smallest id), candidates that the index lacks are found by a
 sort-merge anti-join on the buckets and appended. A text that an earlier batch has brought keeps the earlier document.
 
-Repeated rows of one document have one verdict. An empty batch appends nothing and returns no rows. Only the id and
+Repeated rows of one document have one verdict. A null id loses against any other, and is kept without one. An empty batch appends nothing and returns no rows. Only the id and
 the text are read, so other columns and their names don't matter; very long texts are hashed whole.
 """
 
@@ -61,5 +61,5 @@ class DigestIndex:
         )
         found = lookup(facts, verdicts, "digest", "members", facts.count())
         return found.select(
-            "doc_id", "keep_id", "group_size", (F.col("new") & (F.col("doc_id") == F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+            "doc_id", "keep_id", "group_size", (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )

@@ -8,7 +8,7 @@ are left empty, and its last block is cut at the target, so a source's words equ
 Targets share all words by weight (5, 2, 1, repeating over the sources by code point, null last). A target stops at
 `cap` times its source's size; the excess is shared by weight among the others until none is above.
 
-A null text has size 0; such documents and empty ones take nothing. Repeated rows count as rows of their own. An empty
+A null text has size 0, a null id counts as ''; such documents and empty ones take nothing. Repeated rows count as rows of their own. An empty
 table gives an empty result. Only id, text and source are read; other columns and their names don't matter. One hot
 source is no hot key: positions and ranks are sums over (source, hash range) and (source, slot range) plus offsets.
 """
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # Where each document lies in its source's stream.
     named = plan.select(F.col("source").alias("name"), "sid")
-    placed = sized.join(F.broadcast(named) if n_sources <= 100_000 else named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "sid", "size", F.md5(F.col("doc_id").cast("string")).alias("key"))
+    placed = sized.join(F.broadcast(named) if n_sources <= 100_000 else named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "sid", "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
     placed = placed.withColumn("range", F.conv(F.substring("key", 1, int(math.log(HASH_RANGES, 16))), 16, 10).cast("int"))
     order = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("row", F.row_number().over(order)).withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
