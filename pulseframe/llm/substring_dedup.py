@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """docs(doc_id, version, text, shared) -> a row for each span whose fingerprint is among shared: doc_id, version,
-    start (word), key, span (digest of its words), words. words is null where the task has sent them before."""
+    start (word), windows, key, span (digest of its words), words. words is null where the task has sent them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -156,24 +156,19 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 told = [None if d in sent else sent.add(d) or bytes(x) for d, x in zip(digests, words)]
                 rows = pa.array(w.first + of)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - w.begin[of]).astype(np.int32)), pa.array(keys[chosen]), pa.array(digests, pa.binary()), pa.array(told, pa.binary())],
-                    names=["doc_id", "version", "start", "key", "span", "words"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - w.begin[of]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(keys[chosen]), pa.array(digests, pa.binary()), pa.array(told, pa.binary())],
+                    names=["doc_id", "version", "start", "windows", "key", "span", "words"],
                 )
 
-    return docs.select("doc_id", "version", "text", "shared").mapInArrow(run, "doc_id long, version long, start int, key long, span binary, words binary")
+    return docs.select("doc_id", "version", "text", "shared").mapInArrow(run, "doc_id long, version long, start int, windows int, key long, span binary, words binary")
 
 
 def shard_firsts(table: pa.Table, window: int) -> pa.Table:
-    """One shard's spans (key, span, words, first_doc, ...) -> span, firsts."""
-    keys = table["key"].to_numpy()
-    order = np.lexsort((table["first_doc"].to_numpy(), keys))
-    table, keys = table.take(pa.array(order)), keys[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    alone = new & np.append(new[1:], True)
+    """One shard's spans (span, words, first_doc) -> span, firsts."""
     words, first = [x.split(b" ") for x in table["words"].to_pylist()], table["first_doc"].to_pylist()
-    out = [None if not single else [d] * (len(x) - window + 1) for single, x, d in zip(alone.tolist(), words, first)]
+    out: list = [None] * len(first)
     automaton = Automaton()
-    for i in sorted(np.flatnonzero(~alone).tolist(), key=first.__getitem__):
+    for i in sorted(range(len(first)), key=first.__getitem__):
         out[i] = [first[i] if d is None else d for d in automaton.firsts(words[i], window)]
         automaton.add(words[i], first[i])
     return pa.table({"span": table["span"], "firsts": pa.array(out, pa.list_(pa.int64()))})
@@ -188,22 +183,25 @@ def _window_digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.list_(pa.binary()))], names=["span", "first_doc", "windows"])
 
 
-def first_documents(distinct: DataFrame, window: int, crowded: int) -> DataFrame:
-    """distinct(span, key, words, first_doc) -> span, firsts: of each of its windows, the first document that holds it."""
-    counts = written(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded")
-    shards = max(1, distinct.count() // SHARD_SPANS)
-    few, found = distinct, []
-    if not counts.isEmpty():
-        few = distinct.join(counts, "key", "left_anti")
-        many = distinct.join(counts, "key", "left_semi").select("span", "first_doc", "words")
-        cut = many.mapInArrow(lambda x: _window_digests(x, window), "span binary, first_doc long, windows array<binary>")
-        cut = written(cut.select("span", "first_doc", F.posexplode("windows").alias("at", "digest")), "windows")
-        least = cut.groupBy("digest").agg(F.min("first_doc").alias("first"), F.count("*").alias("members"))
-        met = lookup(cut.select("span", "at", "digest"), written(least, "first_windows"), "digest", "members", cut.count())
-        found.append(met.groupBy("span").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda x: x["first"]).alias("firsts")))
-    sharded = few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard")
-    found.append(sharded.applyInArrow(lambda table: shard_firsts(table, window), "span binary, firsts array<long>"))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+def first_documents(distinct: DataFrame, words: DataFrame, window: int, crowded: int) -> DataFrame:
+    """distinct(span, key, windows, first_doc, last_doc), each span once, and words(span, words), at least once ->
+    span, firsts: of each of its windows, the first document that holds it."""
+    rivals = distinct.groupBy("key").agg(F.count("*").alias("rivals"))
+    met = written(distinct.join(rivals, "key"), "rivals")
+    alone = met.where("rivals = 1 AND first_doc < last_doc").select("span", F.array_repeat("first_doc", F.col("windows")).alias("firsts"))
+    told = words.join(met.where("rivals > 1").select("span", "key", "first_doc", "rivals"), "span").dropDuplicates(["span"])
+    told = written(told.select("span", "key", "first_doc", "rivals", "words"), "rival_words")
+    few, many = told.where(F.col("rivals") <= crowded), told.where(F.col("rivals") > crowded)
+    shards = max(1, few.count() // SHARD_SPANS)
+    sharded = few.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "span", "first_doc", "words").groupBy("shard")
+    found = alone.unionByName(sharded.applyInArrow(lambda table: shard_firsts(table, window), "span binary, firsts array<long>"))
+    if many.isEmpty():
+        return found
+    cut = many.select("span", "first_doc", "words").mapInArrow(lambda x: _window_digests(x, window), "span binary, first_doc long, windows array<binary>")
+    cut = written(cut.select("span", "first_doc", F.posexplode("windows").alias("at", "digest")), "windows")
+    least = cut.groupBy("digest").agg(F.min("first_doc").alias("first"), F.count("*").alias("members"))
+    met = lookup(cut.select("span", "at", "digest"), written(least, "first_windows"), "digest", "members", cut.count())
+    return found.unionByName(met.groupBy("span").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda x: x["first"]).alias("firsts")))
 
 
 def _strip(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -246,14 +244,16 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     array<struct<start, end>> (maximal spans, in words of the input)."""
     # version tells rows of one id with different texts apart
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    held = written(fingerprints(rows.where("doc_id IS NOT NULL"), window, gram), "fingerprints").select("doc_id", F.explode("keys").alias("key"))
+    found = written(fingerprints(rows.where("doc_id IS NOT NULL"), window, gram), "fingerprints")
+    held = found.select("doc_id", F.explode("keys").alias("key"))
     groups = held.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members"))
     shared = written(groups.where("least < most").select("key", "members"), "shared")
-    asked = lookup(held, shared, "key", "members", held.count()).groupBy("doc_id").agg(F.collect_list("key").alias("shared"))
+    total = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    asked = lookup(held, shared, "key", "members", total).groupBy("doc_id").agg(F.collect_list("key").alias("shared"))
     cut = written(spans(rows.join(written(asked, "asked"), "doc_id"), window, gram), "spans")
-    distinct = cut.groupBy("span").agg(F.max("words").alias("words"), F.max("key").alias("key"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"))
+    distinct = cut.groupBy("span").agg(F.max("key").alias("key"), F.max("windows").alias("windows"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"))
     distinct = written(distinct, "distinct_spans")
-    firsts = first_documents(distinct.select("span", "key", "words", "first_doc"), window, crowded)
+    firsts = first_documents(distinct.drop("members"), cut.where("words IS NOT NULL").select("span", "words"), window, crowded)
     useful = firsts.join(distinct.select("span", "last_doc", "members"), "span").where(F.array_min("firsts") < F.col("last_doc")).select("span", "firsts", "members")
     met = lookup(cut.select("doc_id", "version", "start", "span"), written(useful, "useful"), "span", "members", cut.count())
     mask = F.expr("aggregate(transform(firsts, (x, i) -> IF(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
