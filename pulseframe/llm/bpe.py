@@ -34,6 +34,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 PIECE = re.compile(r"\s*\S+|\s+")
 CACHED_PIECES, CACHED_LENGTH = 400_000, 48
 NEVER = (1 << 60, -1)
+SLICE = 256  #: rows handed on at once
 SHORT = 24  #: fragments up to this length are merged by scanning, longer ones with a heap
 
 
@@ -170,7 +171,7 @@ def codec(path: str) -> Codec:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The last column, text, becomes ids; the others stay."""
     c = codec(path)
-    for batch in batches:
+    for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
         found = [c.encode(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
         offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -178,7 +179,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 
 def _id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     for a, b in zip(ends, ends[1:]):
         yield values[a:b]
 
@@ -219,3 +220,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     run = lambda batches: digest_batches(decode_batches(encode_batches(batches, path), path))
     return asked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns `keep`, ids, n_tokens, and digests as in round_trip, in one pass."""
+    asked = docs.select(*keep, F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for encoded in encode_batches(batches, path):
+            for told in digest_batches(decode_batches([encoded], path)):
+                n = encoded.num_columns
+                yield pa.RecordBatch.from_arrays([*encoded.columns, *told.columns[n - 1 :]], names=[*encoded.schema.names, *told.schema.names[n - 1 :]])
+
+    return asked.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
