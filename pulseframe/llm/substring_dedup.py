@@ -36,7 +36,7 @@ WINDOW = 13
 GRAM = 6  #: words in a gram; the grams of a window compete to be its fingerprint
 SPAN = 60  #: windows in a span at most, one bit each; longer runs of one fingerprint are cut
 CROWDED = 256  #: different spans of one fingerprint, above which they are cut into windows
-SHARD_SPANS = 8000  #: different spans in a shard on average; CROWDED bounds what one fingerprint adds
+SHARD_SPANS = 2000  #: different spans in a shard on average; CROWDED bounds what one fingerprint adds
 
 
 class Automaton:
