@@ -56,7 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table._scratch)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from pulseframe.llm.common import lookup, written
+from pulseframe.llm.common import forget, lookup, written
 from pulseframe.llm.words import Words, columns, grams, sliding_min
 
 WINDOW = 13
@@ -249,14 +249,20 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = held.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members"))
     shared = written(groups.where("least < most").select("key", "members"), "shared")
     total = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    asked = lookup(held, shared, "key", "members", total).groupBy("doc_id").agg(F.collect_list("key").alias("shared"))
-    cut = written(spans(rows.join(written(asked, "asked"), "doc_id"), window, gram), "spans")
+    asked = written(lookup(held, shared, "key", "members", total).groupBy("doc_id").agg(F.collect_list("key").alias("shared")), "asked")
+    forget(found, shared)
+    cut = written(spans(rows.join(asked, "doc_id"), window, gram), "spans")
+    forget(asked)
     distinct = cut.groupBy("span").agg(F.max("key").alias("key"), F.max("windows").alias("windows"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"))
     distinct = written(distinct, "distinct_spans")
     firsts = first_documents(distinct.drop("members"), cut.where("words IS NOT NULL").select("span", "words"), window, crowded)
     useful = firsts.join(distinct.select("span", "last_doc", "members"), "span").where(F.array_min("firsts") < F.col("last_doc")).select("span", "firsts", "members")
-    met = lookup(cut.select("doc_id", "version", "start", "span"), written(useful, "useful"), "span", "members", cut.count())
+    useful = written(useful, "useful")
+    forget(distinct)
+    met = lookup(cut.select("doc_id", "version", "start", "span"), useful, "span", "members", cut.count())
     mask = F.expr("aggregate(transform(firsts, (x, i) -> IF(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
     marks = met.select("doc_id", "version", "start", mask.alias("mask")).where("mask <> 0").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    met = rows.join(written(marks, "marks"), ["doc_id", "version"], "left").select("doc_id", "text", "marks")
+    marks = written(marks, "marks")
+    forget(cut, useful)
+    met = rows.join(marks, ["doc_id", "version"], "left").select("doc_id", "text", "marks")
     return met.mapInArrow(lambda x: _strip(x, window), "doc_id long, text string, n_words long, n_removed long, removed array<struct<start: int, end: int>>")
