@@ -78,7 +78,7 @@ def spectrum(x: np.ndarray, rate: float = ECG_RATE) -> dict:
     out["dominant_freq_hz"] = float(freq[band][np.argmax(power[band])]) if band.any() else None
     share = power[band] / power[band].sum() if band.any() and power[band].sum() > 0 else np.empty(0)
     share = share[share > 0]
-    out["spectral_entropy"] = float(-(share * np.log(share)).sum() / math.log(band.sum())) if len(share) and band.sum() > 1 else None
+    out["spectral_entropy"] = float(-(share * np.log(share)).sum() / math.log(len(share))) if len(share) > 1 else None
     return out
 
 
