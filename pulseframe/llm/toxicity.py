@@ -13,6 +13,7 @@ An empty table gives an empty result. All columns of the documents are kept; tho
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,11 +60,11 @@ def noisy_or(scores: list[float]) -> float:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Adam on the documents' log-likelihood with weight decay."""
+    """Adam on the documents' log-likelihood, with an L1 penalty."""
     if not any(labels):
         return Model({}, -1e9)
     seen: dict[str, int] = {}
-    words: list[int] = []
+    words = array("i")
     sentence_ends: list[int] = []
     document_ends: list[int] = []
     toxic: list[int] = []
@@ -73,7 +74,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         if not sentences:
             continue
         for s in sentences:
-            words += [seen.setdefault(w, len(seen)) for w in sorted(s)]
+            words.extend([seen.setdefault(w, len(seen)) for w in sorted(s)])
             sentence_ends.append(len(words))
         frequency += [0] * (len(seen) - len(frequency))
         for w in set().union(*sentences):
@@ -81,15 +82,17 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         document_ends.append(len(sentence_ends))
         toxic.append(label)
     known = np.array(frequency) >= LEAST_DOCUMENTS
-    word, y = np.array(words), np.array(toxic)
+    word, y = np.array(words, np.int32), np.array(toxic)
+    del words
     s_start, d_start = np.array([0, *sentence_ends[:-1]]), np.array([0, *document_ends[:-1]])
-    s_of = np.repeat(np.arange(len(sentence_ends)), np.diff([0, *sentence_ends]))
-    d_of = np.repeat(np.arange(len(document_ends)), np.diff([0, *document_ends]))
+    s_of = np.repeat(np.arange(len(sentence_ends), dtype=np.int32), np.diff([0, *sentence_ends]))
+    d_of = np.repeat(np.arange(len(document_ends), dtype=np.int32), np.diff([0, *document_ends]))
     used = known[word]
     word_used, s_used = word[used], s_of[used]
     # Start from the words' log odds over whole documents, shrunk by what chance may give.
-    doc_words = np.unique(d_of[s_of] * len(seen) + word)
-    odds = [np.bincount(doc_words[y[doc_words // len(seen)] == k] % len(seen), minlength=len(seen)) for k in (0, 1)]
+    doc_words = np.unique(d_of[s_of].astype(np.int64) * len(seen) + word)
+    odds = [np.bincount(doc_words[y[doc_words // len(seen)] == k] % len(seen), minlength=len(seen)) for k in (0, 1)]  # documents by word
+    del doc_words
     share = [(n + 0.5) / ((y == k).sum() + 1) for k, n in enumerate(odds)]
     doubt = 2 * np.sqrt(1 / (odds[0] + 0.5) + 1 / (odds[1] + 0.5))
     w, b = np.where(known, np.maximum(np.log(share[1] / share[0]) - doubt, 0), 0.0), -6.0
