@@ -43,27 +43,32 @@ def neighbours(points: DataFrame, raw: DataFrame, keys: list[str], value: str, b
     return found.where("_kind = 1").select(*keys, "i", "t", "before", "after")
 
 
+def _line(pick) -> Column:
+    """Between the neighbours' values, which pick takes out of them; constant beyond the ends."""
+    a, b, t = F.col("before"), F.col("after"), F.col("t")
+    line = pick(a) + (pick(b) - pick(a)) * (t - a["t"]) / (b["t"] - a["t"])
+    return F.when(a.isNull(), pick(b)).when(b.isNull() | (a["t"] == t), pick(a)).otherwise(line)
+
+
+def _next(pick) -> Column:
+    return F.when(F.col("after").isNotNull(), pick(F.col("after"))).otherwise(pick(F.col("before")))
+
+
 def interpolated(points: DataFrame, raw: DataFrame, keys: list[str], value: str, block_us: int = BLOCK_US) -> DataFrame:
     """points with value: linear between neighbours, constant beyond the ends."""
-    found = neighbours(points, raw, keys, value, block_us)
-    a, b, t = F.col("before"), F.col("after"), F.col("t")
-    line = a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"])
-    at = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["t"] == t), a["v"]).otherwise(line)
-    return found.select(*keys, "i", "t", at.alias("value"))
+    return neighbours(points, raw, keys, value, block_us).select(*keys, "i", "t", _line(lambda x: x["v"]).alias("value"))
 
 
 def next_label(points: DataFrame, raw: DataFrame, keys: list[str], label: str, block_us: int = BLOCK_US) -> DataFrame:
     """points with the label of the first raw row at or after them, behind the last row that row's."""
-    found = neighbours(points, raw, keys, label, block_us)
-    return found.select(*keys, "i", "t", F.when(F.col("after").isNotNull(), F.col("after.v")).otherwise(F.col("before.v")).alias(label))
+    return neighbours(points, raw, keys, label, block_us).select(*keys, "i", "t", _next(lambda x: x["v"]).alias(label))
 
 
 def uniform_resample(raw: DataFrame, keys: list[str], step_us: int, block_us: int = BLOCK_US) -> DataFrame:
     """raw(keys, t, seq, value, trigger) -> keys, i, t, value, trigger on a grid. Rows with a null time or value go."""
     clean = raw.where("t IS NOT NULL AND value IS NOT NULL")
-    points = grid(clean, keys, step_us)
-    values = interpolated(points, clean, keys, "value", block_us)
-    return values.join(next_label(points, clean, keys, "trigger", block_us).drop("t"), [*keys, "i"])
+    found = neighbours(grid(clean, keys, step_us), clean.withColumn("_both", F.struct("value", "trigger")), keys, "_both", block_us)
+    return found.select(*keys, "i", "t", _line(lambda x: x["v"]["value"]).alias("value"), _next(lambda x: x["v"]["trigger"]).alias("trigger"))
 
 
 def segment_resample(raw: DataFrame, keys: list[str], step_us: int, block_us: int = BLOCK_US) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions import labels
 from pulseframe.operators import anomalies, expand, face, features, quality, resample
 from pulseframe.sources.recordings import in_file_order, trigger_rows
+from pulseframe.sources.tables import settled
 
 
 def ecg_signal(raw: DataFrame, mode: str = "channels") -> DataFrame:
@@ -23,7 +24,7 @@ def ecg_signal(raw: DataFrame, mode: str = "channels") -> DataFrame:
     if mode != "channels":
         raise ValueError(f"no mode {mode!r}; there are samples and channels")
     rows = in_file_order(trigger_rows(raw), ["subject"]).where(labels.is_target(F.col("trigger")))
-    rows = rows.select("subject", F.col("trigger").alias("task"), "seq", "t", expand.channel_mean(F.col("samples")).alias("value"))
+    rows = settled(rows.select("subject", F.col("trigger").alias("task"), "seq", "t", expand.channel_mean(F.col("samples")).alias("value")))
     found = resample.segment_resample(rows, ["subject", "task"], expand.ECG_STEP_US)
     return found.select("subject", "task", F.col("i").alias("idx"), "t", "value")
 
@@ -32,9 +33,9 @@ def ecg_quality(signal: DataFrame, errors: DataFrame | None = None) -> tuple[Dat
     """signal -> features of each recording, anomaly summary of each subject, and grades."""
     tasks = Window.partitionBy("subject").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     sizes = signal.groupBy("subject", "task").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(tasks), F.lit(0)))
-    joined = signal.join(sizes.drop("_n"), ["subject", "task"]).withColumn("idx", F.col("idx") + F.col("_before")).drop("_before")
-    summary = anomalies.ecg_summary(anomalies.ecg_points(joined), errors, signal=joined)
-    found = features.ecg_features(signal)
+    joined = settled(signal.join(sizes.drop("_n"), ["subject", "task"]).withColumn("idx", F.col("idx") + F.col("_before")).drop("_before"))
+    summary = settled(anomalies.ecg_summary(anomalies.ecg_points(joined), errors, signal=joined))
+    found = settled(features.ecg_features(signal))
     return found, summary, quality.grade(found, summary)
 
 
@@ -42,8 +43,8 @@ def gsr_segments(raw: DataFrame, rate: float = 50.0) -> DataFrame:
     """Raw rows (subject, t, seq, value in kiloohms, trigger) -> subject, segment, task, idx, t, value in microsiemens:
     50 Hz, cut into runs of one trigger that are long enough."""
     clean = raw.withColumn("trigger", labels.trigger(F.col("trigger")))
-    uniform = resample.uniform_resample(clean, ["subject"], expand.GSR_STEP_US).withColumn("seq", F.col("i"))
-    runs = resample.islands(uniform, ["subject"])
+    uniform = settled(resample.uniform_resample(settled(clean), ["subject"], expand.GSR_STEP_US).withColumn("seq", F.col("i")))
+    runs = settled(resample.islands(uniform, ["subject"]))
     found = resample.reslice(runs, uniform.select("subject", "t", "i", "value"), ["subject"], resample.least_samples(rate))
     w = Window.partitionBy("subject", "segment").orderBy("i")
     return found.select("subject", "segment", labels.safe_name(F.col("segment_trigger")).alias("task"), (F.row_number().over(w) - 1).alias("idx"), "t", expand.conductance(F.col("value")).alias("value"))
