@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in the set of its lower-cased words, and the
-document's is the noisy-or of its sentences: 1 - prod(1 - p). Weights are fitted to document labels alone, by full
+A document is a bag of sentences. A sentence's probability is logistic in the set of its lower-cased words and of their
+beginnings, which inflected forms share, and the document's is the noisy-or of its sentences: 1 - prod(1 - p). Weights are fitted to document labels alone, by full
 gradient steps on at most SAMPLE labelled documents of either class (those of least id hash), so fitting is bounded
 while scoring reads every whole text. Sentences at or above 0.5 are returned as spans of the text.
 
@@ -12,8 +12,10 @@ An empty table gives an empty result. All columns of the documents are kept; tho
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +28,24 @@ from pulseframe.llm.common import ddl, ranked_sample
 
 SAMPLE = 3000  #: labelled documents of either class to learn from, at most
 LONGEST = 50_000  #: characters of a document that is learned from, at most; longer ones are left out of the sample
-LEAST_DOCUMENTS = 3  #: documents of the sample that a word with a weight occurs in
+LEAST_DOCUMENTS = 3  #: documents of the sample that a feature with a weight occurs in
 STEPS, RATE = 150, 0.3
 SPARSITY = 0.5  #: documents' worth of evidence that a weight must outweigh (an L1 penalty)
 NOISE = 0.04  #: share of labels taken to be wrong, so that one odd label does not make words toxic
 THRESHOLD = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
+BEGINNINGS = (3, 4, 5, 6, 7)  #: letters of a longer word that count as a feature
+CACHED_WORDS = 200_000
+
+
+def features(word: str) -> list[str]:
+    return [word, *("^" + word[:n] for n in BEGINNINGS if n < len(word))]
+
+
+def sentence_features(text: str) -> list[set[str]]:
+    """Of the sentences with a word."""
+    return [set().union(*map(features, words)) for s in SENTENCE.findall(text.lower()) if (words := set(TOKEN.findall(s)))]
 
 
 @dataclass
@@ -40,9 +53,18 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    def __post_init__(self):
+        self.known: dict[str, tuple[str, ...]] = {}  # of words seen, their features with a weight
+
+    def of(self, word: str) -> tuple[str, ...]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        found = self.known[word] = tuple(x for x in features(word) if x in self.weights)
+        return found
+
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences with a word."""
-        get, out = self.weights.get, []
+        known, weights, out = self.known, self.weights, []
         text = text or ""
         low = text.lower()
         if len(low) != len(text):  # a few letters grow in lower case; spans must fit the text
@@ -50,7 +72,8 @@ class Model:
         for m in SENTENCE.finditer(low):
             words = set(TOKEN.findall(m[0]))
             if words:
-                z = self.bias + sum([w for w in map(get, words) if w])
+                found = {x for w in words for x in (known[w] if w in known else self.of(w))}
+                z = self.bias + sum([weights[x] for x in sorted(found)])
                 out.append((m.start(), m.end(), 1 / (1 + np.exp(-z)) if z > -30 else 0.0))
         return out
 
@@ -63,42 +86,38 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     """Adam on the documents' log-likelihood, with an L1 penalty."""
     if not any(labels):
         return Model({}, -1e9)
-    seen: dict[str, int] = {}
-    words = array("i")
-    sentence_ends: list[int] = []
-    document_ends: list[int] = []
-    toxic: list[int] = []
-    frequency: list[int] = []
+    # Features whose share of documents differs between the classes by more than chance gives, twice over.
+    counts: tuple[Counter, Counter] = Counter(), Counter()
+    size = [0, 0]
+    for text, label in zip(texts, labels):
+        if found := sentence_features(text):
+            counts[label].update(set().union(*found))
+            size[label] += 1
+    odds = {x: math.log((counts[1][x] + 0.5) / (size[1] + 1)) - math.log((counts[0][x] + 0.5) / (size[0] + 1)) for x in counts[0].keys() | counts[1].keys() if counts[0][x] + counts[1][x] >= LEAST_DOCUMENTS}
+    sure = {x: abs(r) - 2 * math.sqrt(1 / (counts[1][x] + 0.5) + 1 / (counts[0][x] + 0.5)) for x, r in odds.items()}
+    seen = {x: i for i, x in enumerate(sorted(x for x, r in sure.items() if r > 0))}
+    if not seen:
+        return Model({}, -1e9)
+    start = np.array([max(0.0, math.copysign(sure[x], odds[x])) for x in seen])
+    del counts, odds, sure
+    word_used, s_used, sentence_ends, document_ends, toxic = array("i"), array("i"), 0, array("i"), array("b")
     for text, label in zip(texts, labels):
-        sentences = [s for s in (set(TOKEN.findall(x)) for x in SENTENCE.findall(text.lower())) if s]
-        if not sentences:
-            continue
-        for s in sentences:
-            words.extend([seen.setdefault(w, len(seen)) for w in sorted(s)])
-            sentence_ends.append(len(words))
-        frequency += [0] * (len(seen) - len(frequency))
-        for w in set().union(*sentences):
-            frequency[seen[w]] += 1
-        document_ends.append(len(sentence_ends))
-        toxic.append(label)
-    known = np.array(frequency) >= LEAST_DOCUMENTS
-    word, y = np.array(words, np.int32), np.array(toxic)
-    del words
-    s_start, d_start = np.array([0, *sentence_ends[:-1]]), np.array([0, *document_ends[:-1]])
-    s_of = np.repeat(np.arange(len(sentence_ends), dtype=np.int32), np.diff([0, *sentence_ends]))
-    d_of = np.repeat(np.arange(len(document_ends), dtype=np.int32), np.diff([0, *document_ends]))
-    used = known[word]
-    word_used, s_used = word[used], s_of[used]
-    # Start from the words' log odds over whole documents, shrunk by what chance may give.
-    doc_words = np.unique(d_of[s_of].astype(np.int64) * len(seen) + word)
-    odds = [np.bincount(doc_words[y[doc_words // len(seen)] == k] % len(seen), minlength=len(seen)) for k in (0, 1)]  # documents by word
-    del doc_words
-    share = [(n + 0.5) / ((y == k).sum() + 1) for k, n in enumerate(odds)]
-    doubt = 2 * np.sqrt(1 / (odds[0] + 0.5) + 1 / (odds[1] + 0.5))
-    w, b = np.where(known, np.maximum(np.log(share[1] / share[0]) - doubt, 0), 0.0), -6.0
+        found = sentence_features(text)
+        for sentence in found:
+            mine = [seen[x] for x in sentence if x in seen]
+            word_used.extend(sorted(mine))
+            s_used.extend([sentence_ends] * len(mine))
+            sentence_ends += 1
+        if found:
+            document_ends.append(sentence_ends)
+            toxic.append(label)
+    word_used, s_used, y = np.array(word_used), np.array(s_used), np.array(toxic, np.int64)
+    d_start = np.array([0, *document_ends[:-1]])
+    d_of = np.repeat(np.arange(len(y)), np.diff([0, *document_ends]))
+    w, b = start, -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(s_used, w[word_used], minlength=len(s_start))
+        z = b + np.bincount(s_used, w[word_used], minlength=len(d_of))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), d_start)  # log of no sentence being toxic
         told = NOISE + (1 - 2 * NOISE) * -np.expm1(clean)  # probability that the label says toxic
@@ -113,7 +132,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         new = w - size * m / (np.sqrt(v / scale) + 1e-4)
         w = np.where(w * new < 0, 0.0, new)  # a weight that crosses zero stops there
         b -= size * mb / (np.sqrt(vb / scale) + 1e-4)
-    return Model({x: float(w[i]) for x, i in seen.items() if known[i] and abs(w[i]) > 0.1}, float(b))
+    return Model({x: float(w[i]) for x, i in seen.items() if abs(w[i]) > 0.1}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
