@@ -20,17 +20,23 @@ def detrend(x: np.ndarray) -> np.ndarray:
     return x - x.mean() - t * (t @ x / max(t @ t, 1e-300))
 
 
-def butterworth_band(order: int, low: float, high: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital band-pass, by the bilinear transform with pre-warped edges."""
+def butterworth(order: int, edges: tuple[float, ...], rate: float, kind: str = "band") -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a digital `low`, `high` or `band` pass with the given edges in Hz, by the bilinear
+    transform with pre-warped edges."""
     poles = -np.exp(1j * np.pi * np.arange(1 - order, order, 2) / (2 * order))
-    a, b = (2 * rate * np.tan(np.pi * f / rate) for f in (low, high))
-    half, centre = poles * (b - a) / 2, np.sqrt(a * b)
-    root = np.sqrt(half**2 - centre**2 + 0j)
-    analog = np.concatenate((half + root, half - root))
+    warped = [2 * rate * np.tan(np.pi * f / rate) for f in edges]
+    if kind == "band":
+        half, centre = poles * (warped[1] - warped[0]) / 2, np.sqrt(warped[0] * warped[1])
+        root = np.sqrt(half**2 - centre**2 + 0j)
+        analog, zeros, gain = np.concatenate((half + root, half - root)), np.zeros(order), (warped[1] - warped[0]) ** order
+    elif kind == "low":
+        analog, zeros, gain = poles * warped[0], np.empty(0), warped[0] ** order
+    else:
+        analog, zeros, gain = warped[0] / poles, np.zeros(order), 1.0
     twice = 2 * rate
-    gain = (b - a) ** order * (twice**order / np.prod(twice - analog)).real
-    zeros = np.concatenate((np.ones(order), -np.ones(order)))
-    return np.real(gain * np.poly(zeros)), np.real(np.poly((twice + analog) / (twice - analog)))
+    gain = gain * (np.prod(twice - zeros) / np.prod(twice - analog)).real
+    digital = np.concatenate(((twice + zeros) / (twice - zeros), -np.ones(len(analog) - len(zeros))))
+    return np.real(gain * np.poly(digital)), np.real(np.poly((twice + analog) / (twice - analog)))
 
 
 def filter_once(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,6 +98,23 @@ def grey_crops(images: DataFrame, group: DataFrame) -> DataFrame:
     return met.select("path", "height", "width", "channels", "data", "left", "top", "right", "bottom").mapInPandas(run, "path string, ok boolean, message string, width int, height int, grey binary")
 
 
+def png(grey: bytes, width: int, height: int) -> bytes:
+    """A grey image as a PNG file."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + grey[y * width : (y + 1) * width] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def png_files(crops: DataFrame) -> DataFrame:
+    """grey_crops rows that are ok -> path, file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "file": [png(bytes(r.grey), r.width, r.height) for r in batch.itertuples()]})
+
+    return crops.where("ok").select("path", "width", "height", "grey").mapInPandas(run, "path string, file binary")
+
+
 def landmarks(images: DataFrame, detect: Callable = missing_model("landmark")) -> DataFrame:
     """path, subject, task, width, height, landmarks array<struct<x, y, z>> (null if there is no face), error."""
 

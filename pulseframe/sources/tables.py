@@ -21,18 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a Parquet table: its plan ends here, several readers don't compute it again, and a lost executor costs no
-    more than what came after. The table goes when the driver's Python ends."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/pulseframe-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, spark, path.rsplit("/", 1)[0])
+    return path
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table: its plan ends here, several readers don't compute it again, the shuffles behind it are
+    freed, and a lost executor costs no more than what came after."""
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/pulseframe-{uuid.uuid4().hex}", spark.conf.get(CLEANUP)
-    atexit.register(_remove, spark, path)
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table._scratch)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

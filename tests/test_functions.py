@@ -79,14 +79,21 @@ def test_milliseconds(spark):
 
 
 def test_butterworth():
-    b, a = dsp.butterworth_band(3, 0.5, 5.0, 200.0)
+    b, a = dsp.butterworth(3, (0.5, 5.0), 200.0)
     assert np.allclose(b[:3], [3.081210415822e-4, 0, -9.243631247467e-4]) and len(b) == len(a) == 7 and np.allclose(a[-1], 0.7535348707)
     gain = lambda f: abs(np.polyval(b, z := np.exp(2j * np.pi * f / 200)) / np.polyval(a, z))
     assert np.allclose([gain(0.5), gain(5.0), gain(math.sqrt(2.5))], [math.sqrt(0.5)] * 2 + [1.0], atol=1e-5)
 
 
+@pytest.mark.parametrize("kind, passed, stopped", [("low", 0.01, 50.0), ("high", 50.0, 0.01)])
+def test_butterworth_edges(kind, passed, stopped):
+    b, a = dsp.butterworth(4, (3.0,), 200.0, kind)
+    gain = lambda f: abs(np.polyval(b, z := np.exp(2j * np.pi * f / 200)) / np.polyval(a, z))
+    assert np.allclose([gain(3.0), gain(passed)], [math.sqrt(0.5), 1.0], atol=1e-4) and gain(stopped) < 1e-3
+
+
 def test_zero_phase():
-    b, a = dsp.butterworth_band(3, 0.5, 5.0, 200.0)
+    b, a = dsp.butterworth(3, (0.5, 5.0), 200.0)
     assert np.abs(dsp.zero_phase(b, a, np.ones(4000))).max() < 1e-9
     x = np.sin(2 * np.pi * 1.2 * np.arange(6000) / 200)
     assert np.corrcoef(x[1000:-1000], dsp.zero_phase(b, a, x)[1000:-1000])[0, 1] > 0.999999

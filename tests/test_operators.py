@@ -287,6 +287,15 @@ def test_scr_features(spark):
     assert features.scr_row(np.array([1.0, NAN, 3.0]), 50.0)["quality_flags"] == "short_duration;no_scr_events"
 
 
+def test_eda_rows(spark):
+    t = np.arange(50 * 60) / 50
+    x = 5 + 0.02 * t + np.where(t >= 20, (1 - np.exp(-(t - 20) / 0.7)) * np.exp(-(t - 20) / 3), 0)
+    found = features.eda_rows(spark.createDataFrame([("T1", "T12", i, float(v)) for i, v in enumerate(x)] + [("T1", "T22", 0, 1.0)], "subject string, task string, idx long, value double")).cache()
+    rows_ = found.where("task = 'T12'").orderBy("idx").collect()
+    assert np.abs(np.array([r.tonic + r.phasic - r.clean for r in rows_])[500:-500]).max() < 0.2 and np.abs(np.array([r.clean - r.raw for r in rows_])).max() < 0.05
+    assert any(20 < r.idx / 50 < 24 for r in rows_ if r.peak) and found.where("task = 'T22' AND phasic = 0").count() == 1
+
+
 def test_face_features_and_summary(spark):
     rng = np.random.default_rng(5)
     points = [[tuple(map(float, p)) for p in rng.random((478, 3))] for _ in range(3)]

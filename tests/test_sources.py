@@ -112,6 +112,10 @@ def test_images(spark, tmp_path):
     assert box.image_count == 3 and tuple(box.box) == (9, 2, 31, 30, "group_fallback_complete_visible_face")
     cut = images.grey_crops(pixels, group).orderBy("path").collect()
     assert all(r.ok for r in cut) and (cut[0].width, cut[0].height) == (22, 28) and set(cut[0].grey) == {round(0.299 * 30 + 0.587 * 20 + 0.114 * 10)}
+    file = bytes(images.png_files(images.grey_crops(pixels, group)).first().file)
+    (tmp_path / "x.png").write_bytes(file)
+    back = spark.read.format("image").load(f"{tmp_path}/x.png").select("image.*").first()
+    assert (back.width, back.height) == (22, 28) and set(back.data) == set(cut[0].grey)
     points = images.landmarks(pixels, lambda image: None)
     assert rows(points, "error") == [("no_face",)] * 3
     with pytest.raises(Exception, match="no face detection model"):
