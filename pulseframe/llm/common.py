@@ -1,14 +1,15 @@
-"""Helpers shared by the text operators: scratch tables, word rules and a join that survives hot keys."""
+"""Helpers shared by the text operators: written tables, word rules and a join that survives hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.sources.tables import forget, scratch_path
+from pulseframe.sources.tables import settled as written
+
+__all__ = ["forget", "scratch_path", "written"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,57 +17,6 @@ SPACES = " \t\n\x0b\x0c\r"
 HOT_SHARE = 0.001
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    configured = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/pulseframe-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rsplit("/", 1)[0])
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone: the folder's owner clears it
-        pass
-
-
-#: With this on, Spark removes a query's shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, later passes don't compute it again, and the
-    shuffles behind it are freed."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._scratch = path
-    return table
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes written tables that nothing will read again."""
-    for table in tables:
-        _remove(table.sparkSession, table._scratch)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
