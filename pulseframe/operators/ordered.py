@@ -7,6 +7,8 @@ Keys, blocks and order columns must not be null.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,36 @@ def with_previous(df: DataFrame, keys: list[str], idx: str, values: dict[str, st
     return both.withColumns({new: F.lag(old).over(w) for new, old in values.items()}).where("NOT _halo").drop("_block", "_halo")
 
 
-def carry(df: DataFrame, keys: list[str], order: list[Column], block: Column, value: str, name: str, backward: bool = False, exclusive: bool = False) -> DataFrame:
-    """Adds the last non-null `value` (a struct) at or before each row; backward: the first at or after it; exclusive:
-    the row itself doesn't count."""
+@dataclass(frozen=True)
+class Carry:
+    """What `carried` adds as `name`: the last non-null `value` (a struct) at or before each row; backward: the first at
+    or after it; exclusive: the row itself doesn't count."""
+
+    name: str
+    value: str
+    order: tuple[Column, ...]
+    backward: bool = False
+    exclusive: bool = False
+
+    def local(self, keys: list[str]) -> Column:
+        window = _window(keys, [c.desc() if self.backward else c.asc() for c in self.order])
+        return F.last(self.value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1 if self.exclusive else 0))
+
+    def edge(self) -> Column:
+        """Of a block: the value that the blocks behind it see."""
+        at = F.when(F.col(self.value).isNotNull(), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)]))
+        return (F.min_by if self.backward else F.max_by)(F.col(self.value), at)
+
+    def passed(self, keys: list[str], edge: str) -> Column:
+        across = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if self.backward else F.col("_block"))
+        return F.last(edge, ignorenulls=True).over(_before(across))
+
+
+def carried(df: DataFrame, keys: list[str], block: Column, *asked: Carry) -> DataFrame:
+    """df with what is asked; all of it in one pass over rows dealt out by keys and block."""
     df = df.withColumn("_block", block)
-    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    sort = [c.desc() if backward else c.asc() for c in order]
-    local = _window(keys, sort).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    pick = F.min_by if backward else F.max_by
-    edges = df.where(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(pick(F.col(value), at).alias("_edge"))
-    blocks = df.select(*keys, "_block").distinct().join(edges, [*keys, "_block"], "left")
-    across = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if backward else F.col("_block"))
-    blocks = blocks.withColumn("_passed", F.last("_edge", ignorenulls=True).over(_before(across))).drop("_edge")
-    met = df.withColumn("_local", F.last(value, ignorenulls=True).over(local)).join(blocks, [*keys, "_block"])
-    return met.withColumn(name, F.coalesce("_local", "_passed")).drop("_local", "_passed", "_block")
+    edges = df.groupBy(*keys, "_block").agg(*[c.edge().alias(f"_edge_{c.name}") for c in asked])
+    edges = edges.select(*keys, "_block", *[c.passed(keys, f"_edge_{c.name}").alias(f"_passed_{c.name}") for c in asked])
+    met = df.withColumns({f"_local_{c.name}": c.local(keys) for c in asked}).join(edges, [*keys, "_block"])
+    found = met.withColumns({c.name: F.coalesce(f"_local_{c.name}", f"_passed_{c.name}") for c in asked})
+    return found.drop("_block", *[f"_{kind}_{c.name}" for c in asked for kind in ("local", "passed")])

@@ -1,7 +1,7 @@
 """Uniform grids, as-of and interpolation joins, and trigger segments. Times are microseconds.
 
 Joins with the nearest row before or behind are unions in time order: rows of both sides are sorted together and values
-are carried along, block by block (ordered.carry), so no pairs are made and a long series is split. Raw rows of equal
+are carried along, block by block (ordered.carried), so no pairs are made and a long series is split. Raw rows of equal
 time are ordered by `seq`; an exact hit takes the last of them looking back and the first looking ahead.
 """
 
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.labels import is_valid_trigger
-from pulseframe.operators.ordered import carry, number_rows, with_previous
+from pulseframe.operators.ordered import Carry, carried, number_rows, with_previous
+from pulseframe.sources.tables import settled
 
 BLOCK_US = 3_600_000_000  #: series are split by the hour unless told otherwise
 CHUNK = 4096
@@ -38,8 +39,10 @@ def neighbours(points: DataFrame, raw: DataFrame, keys: list[str], value: str, b
     left = points.select(*keys, "t", F.col("i"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("_kind"))
     right = raw.select(*keys, "t", F.lit(None).cast("long").alias("i"), F.col("seq").cast("long").alias("seq"), F.lit(0).alias("_kind"), held.alias("_held"))
     both = left.unionByName(right, allowMissingColumns=True)
-    ahead = carry(both, keys, [F.col("t"), -F.col("_kind"), F.coalesce("seq", F.lit(0))], _block(block_us), "_held", "after", backward=True)
-    found = carry(ahead, keys, [F.col("t"), F.col("_kind"), F.coalesce("seq", F.lit(0))], _block(block_us), "_held", "before")
+    kind, seq = F.col("_kind"), F.coalesce("seq", F.lit(0))
+    ahead = Carry("after", "_held", (F.col("t"), -kind, seq), backward=True)
+    behind = Carry("before", "_held", (F.col("t"), kind, seq))
+    found = carried(both, keys, _block(block_us), ahead, behind)
     return found.where("_kind = 1").select(*keys, "i", "t", "before", "after")
 
 
@@ -91,14 +94,14 @@ def islands(rows: DataFrame, keys: list[str], trigger: str = "trigger", block_us
     """rows(keys, t, seq, trigger) -> keys, segment (from 1), trigger, start_t, end_t, n_rows: runs of one trigger among
     the rows with a valid trigger. Runs that only invalid rows part are one."""
     valid = rows.where(is_valid_trigger(F.col(trigger))).select(*keys, "t", "seq", F.col(trigger).alias("trigger"))
-    order = [F.col("t"), F.col("seq")]
+    order = (F.col("t"), F.col("seq"))
     valid = valid.withColumn("_held", F.struct("trigger"))
-    marked = carry(valid, keys, order, _block(block_us), "_held", "_last", exclusive=True)
+    marked = carried(valid, keys, _block(block_us), Carry("_last", "_held", order, exclusive=True))
     new = F.col("_last").isNull() | (F.col("_last.trigger") != F.col("trigger"))
-    marked = marked.withColumn("_start", F.when(new, F.struct("t", "seq"))).drop("_held", "_last")
-    known = carry(marked, keys, order, _block(block_us), "_start", "_of")
+    marked = settled(marked.withColumn("_start", F.when(new, F.struct("t", "seq"))).drop("_held", "_last"))
+    known = carried(marked, keys, _block(block_us), Carry("_of", "_start", order))
     runs = known.groupBy(*keys, "_of", "trigger").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n_rows"))
-    runs = runs.withColumn("_seq", F.col("_of.seq"))
+    runs = settled(runs.withColumn("_seq", F.col("_of.seq")))
     return number_rows(runs, keys, ["start_t", "_seq"], F.expr(f"start_t div {block_us}"), "segment").select(*keys, (F.col("segment") + 1).alias("segment"), "trigger", "start_t", "end_t", "n_rows")
 
 
