@@ -11,6 +11,13 @@ ask for such a value are linked another way, exact too: two fingerprints differ
 balls of radius 2 share a point, and a point is shared by 2,081 fingerprints at most. Each point links its
 fingerprints to the smallest of them.
 
+similar_documents links by similarity instead: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8
+or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many for balls, so candidates come from tables:
+each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
+and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. In a table, each document meets the
+first one of its key and the NEIGHBOURS before it, so a hot key gives no square of pairs. Every candidate is verified by
+the true similarity of the two texts.
+
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
 and text are read, so other columns and their names don't matter. Texts are hashed whole, in blocks.
@@ -19,16 +26,18 @@ and text are read, so other columns and their names don't matter. Texts are hash
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from pulseframe.llm.common import lookup, written
+from pulseframe.llm.words import mix
 
 SHINGLE, SEED, BITS, LINK = 4, 42, 64, 4
 BLOCK = 1 << 15  #: shingles whose bits are counted at once
@@ -37,20 +46,31 @@ DENSE = 128  #: fingerprints with one segment value, above which pairs are not e
 LAYOUT = ((22, 1), (22, 1), (20, 0))
 #: For more fingerprints than LAYOUT_LIMIT, wider segments: about 280 probes each, but next to no chance matches.
 LAYOUT_LIMIT, WIDE_LAYOUT = 1 << 26, ((32, 2), (32, 1))
+#: Of similar_documents.
+SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+LANES = 4  #: hashes of 64 bits in a wide fingerprint
+RECALL = 0.98  #: of pairs just at SIMILAR, by the angle between them; closer ones are met more often
+SPARE_BITS = 2  #: key bits beyond those that number the documents
+NEIGHBOURS = 3
+FAR = 20  #: of the first 64 bits; pairs at SIMILAR differ in 9.7, with a standard deviation of 2.9
 
 
-def fingerprint(text: str | None) -> int:
+def _shingles(text: str | None, size: int) -> list[int]:
+    """The hashes of all runs of so many words, or of all words if there are fewer."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    n = len(words) - SHINGLE + 1
+    n = len(words) - size + 1
     if not words:
-        return 0
+        return []
     if n < 1:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: n - 1])).tolist()
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
+        return [xxh64_intdigest(b" ".join(words), SEED)]
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: n - 1])).tolist()
+    return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None) -> int:
+    hashes = _shingles(text, SHINGLE)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         block = np.array(hashes[at : at + BLOCK], ">u8")
@@ -168,8 +188,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     layout = LAYOUT if nodes.count() <= LAYOUT_LIMIT else WIDE_LAYOUT
     stars = components(links(nodes.select("fp"), layout, dense))
     rooted = nodes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "first", "members", F.coalesce("b", "fp").alias("root"))
+    found = _named(facts, nodes, rooted, "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(facts: DataFrame, nodes: DataFrame, rooted: DataFrame, node: str) -> DataFrame:
+    """facts with component_id."""
     # a root may stand for a large component: its smallest id is an aggregate, then joined to each fingerprint
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps"))
-    named = written(lookup(rooted, ids, "root", "fps", nodes.count()).select("fp", "component_id", "members"), "named")
-    found = lookup(facts, named, "fp", "members", facts.count())
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(lookup(rooted, ids, "root", "fps", nodes.count()).select(node, "component_id", "members"), "named")
+    return lookup(facts, named, node, "members", facts.count())
+
+
+def _distinct_shingles(text: str | None) -> np.ndarray:
+    return np.unique(np.array(_shingles(text, SIMILAR_SHINGLE), np.uint64))
+
+
+def wide_fingerprint(text: str | None) -> bytes:
+    """LANES x 64 bits from the set of 5-word shingles; where as many have a bit as don't, the least shingle decides."""
+    hashes = _distinct_shingles(text)
+    counts = np.zeros(LANES * BITS, np.int64)
+    if not len(hashes):
+        return np.packbits(counts.astype(bool)).tobytes()
+    lanes = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def bits(block: np.ndarray) -> np.ndarray:
+        return np.unpackbits(mix(block[:, None] + lanes).view(np.uint8).reshape(len(block), -1), axis=1)
+
+    for at in range(0, len(hashes), BLOCK):
+        counts += bits(hashes[at : at + BLOCK]).sum(axis=0, dtype=np.int64)
+    counts = 2 * counts - len(hashes)
+    return np.packbits(np.where(counts == 0, bits(hashes[:1])[0] > 0, counts > 0)).tobytes()
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([wide_fingerprint(x.as_py()) for x in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "node", "bits"])
+
+
+def tables(n: int) -> np.ndarray:
+    """For n documents: of each table, the bits of its key."""
+    width = min(48, math.ceil(math.log2(max(n, 256))) + SPARE_BITS)
+    # two sets of equal size; those of unequal ones have a smaller angle at the same similarity
+    agree = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
+    rng = np.random.default_rng(5)
+    return np.array([rng.choice(LANES * BITS, width, replace=False) for _ in range(count)])
+
+
+def candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> (a, b) with a > b: pairs to be verified."""
+    drawn = tables(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(drawn.shape[1], dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1).astype(np.int64)
+                keys = np.stack([bits[:, t] @ powers * len(drawn) + k for k, t in enumerate(drawn)], axis=1)
+                rows = np.repeat(np.arange(part.num_rows), len(drawn))
+                first = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(rows)), pa.array(first[rows])], names=["key", "node", "fp"])
+
+    held = nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long").withColumn("own", F.struct("node", "fp"))
+    order = Window.partitionBy("key").orderBy("node")
+    others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
+    met = held.select("node", "fp", F.array(*others).alias("others")).select("node", "fp", F.explode("others").alias("other"))
+    close = met.where((F.col("other.node") < F.col("node")) & (distance(F.col("fp"), F.col("other.fp")) <= FAR))
+    return close.select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            one, two = _distinct_shingles(x.as_py()), _distinct_shingles(y.as_py())
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            kept.append(both >= SIMILAR * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id (smallest doc_id of the component)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    facts = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, node long, bits binary"), "wide_fingerprints")
+    nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
+    pairs = written(candidates(nodes, nodes.count()), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(rows.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "candidate_texts")
+    sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+    stars = components(both.mapInArrow(_verified, "a long, b long"))
+    rooted = nodes.join(stars.withColumnRenamed("a", "node"), "node", "left").select("node", "first", "members", F.coalesce("b", "node").alias("root"))
+    return _named(facts.select("doc_id", "node"), nodes, rooted, "node").select("doc_id", "component_id")
