@@ -5,7 +5,7 @@ by their last two bytes. A network of one hidden layer reads the REACH tokens on
 a distribution over all classes. A document's score is the sum of log-probabilities of its tokens, each masked in turn.
 
 Word counts cover all documents. Training does too: in each round every task starts from the shared weights, takes
-Adam steps on the masked positions of its documents (MASKED of all, other ones in each round), and the tasks' weights
+Adam steps on the masked positions of its documents (each position is masked in one of the ROUNDS), and the tasks' weights
 are averaged by their tokens, in levels of FAN_IN. What a task holds is a batch of documents and the weights, which are
 of fixed size; weights and vocabulary are all that is broadcast or collected. Splitting the input otherwise changes
 weights slightly; the same splits give the same weights, also when tasks are run again.
@@ -34,7 +34,7 @@ WORDS, BUCKETS = 191, 64
 CLASSES = WORDS + BUCKETS  #: one byte each, and EDGE
 EDGE = CLASSES  #: what stands before the first and behind the last token
 REACH, HIDDEN = 2, 32
-MASKED, ROUNDS = 0.15, 2
+ROUNDS = 2
 BATCH, RATE = 1024, 0.005
 BLOCK = 1 << 14  #: positions scored at once
 FAN_IN = 256
@@ -178,7 +178,7 @@ def train_round(tokens: DataFrame, network: Network, number: int) -> tuple[np.nd
         for batch in batches:
             for _, held, of in _chunks(batch, 0):
                 draw = mix(mix(np.arange(1, len(held) + 1, dtype=np.uint64)) + held) >> np.uint64(11)
-                share = draw / float(1 << 53) * ROUNDS / MASKED
+                share = draw / float(1 << 53) * ROUNDS
                 at = np.flatnonzero((share >= number) & (share < number + 1))
                 for i in range(0, len(at), BATCH):
                     part = at[i : i + BATCH]

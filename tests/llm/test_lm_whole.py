@@ -1,0 +1,15 @@
+"""Language-model scores cover every position and every word."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pulseframe.llm import lm_scoring
+from tests.llm.test_text_operators import docs
+
+
+def test_every_position_is_a_target(spark):
+    d = docs(spark, ["one", "two words", "the cat sat on the mat " * 50]).repartition(1)
+    tokens = lm_scoring.tokenised(d, [])
+    net = lm_scoring.Network.start(lm_scoring.class_counts(tokens))
+    assert sum(lm_scoring.train_round(tokens, net, n)[1] for n in range(lm_scoring.ROUNDS)) == 303
