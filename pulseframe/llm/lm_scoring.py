@@ -2,7 +2,9 @@
 
 Tokens are lower-cased words: the most frequent WORDS of the corpus by themselves, all others in one of BUCKETS classes
 by their last two bytes. A network of one hidden layer reads the REACH tokens on either side of a masked one and gives
-a distribution over all classes. A document's score is the sum of log-probabilities of its tokens, each masked in turn.
+a distribution over all classes. A document's score is the sum of log-probabilities of its tokens, each masked in turn:
+that of its class, and within a shared class that of its word, log(n(word) / n(class)) by the counts of the corpus. The
+counts of all words are a distributed table that grows with the corpus and is joined to the documents' words.
 
 Word counts cover all documents. Training does too: in each round every task starts from the shared weights, takes
 Adam steps on the masked positions of its documents (each position is masked in one of the ROUNDS), and the tasks' weights
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import written
+from pulseframe.llm.common import lookup, written
 from pulseframe.llm.words import columns, mix
 
 WORDS, BUCKETS = 191, 64
@@ -130,17 +132,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, words: list[int]) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tokens: a byte each."""
+    """docs(doc_id, text) -> doc_id, tokens: a byte each; row: a number of its own, once the table is written; uses: of
+    each different word in a shared class, its hash, class and times in the document."""
+    use = pa.struct([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words)
+        vocabulary, row = Vocabulary(words), TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in columns(pc.ascii_lower(batch.column(1))):
-                tokens = memoryview(vocabulary.tokens(w).tobytes())
+                classes = vocabulary.tokens(w)
+                tokens = memoryview(classes.tobytes())
                 found = pa.array([bytes(tokens[a:b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(found)), found], names=["doc_id", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+                of = np.repeat(np.arange(len(found)), np.diff(w.begin))
+                shared = classes >= WORDS
+                of, hashes, classes = of[shared], w.hashes()[shared].view(np.int64), classes[shared]
+                order = np.lexsort((hashes, of))
+                of, hashes, classes = of[order], hashes[order], classes[order]
+                at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))[: len(of)])
+                times = np.diff(np.append(at, len(of)))
+                values = pa.StructArray.from_arrays([pa.array(hashes[at]), pa.array(classes[at].astype(np.int32)), pa.array(times.astype(np.int32))], fields=list(use))
+                uses = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(len(found) + 1)).astype(np.int32)), values)
+                rows = pa.array(np.arange(row, row + len(found)))
+                row += len(found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(found)), found, rows, uses], names=["doc_id", "tokens", "row", "uses"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, row long, uses array<struct<word: long, class: int, n: int>>")
+
+
+def within_classes(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
+    """row, within: the sum of log(n(word) / n(class)) over a document's words in shared classes."""
+    uses = tokens.select("row", F.explode("uses").alias("use")).select("row", "use.*")
+    sizes = F.array(*[F.lit(float(n)) for n in counts])
+    totals = uses.groupBy("word").agg(F.sum("n").alias("total"), F.first("class").alias("class"), F.count("*").alias("members"))
+    chance = F.log(F.col("total") / F.element_at(sizes, F.col("class") + 1))
+    totals = written(totals.select("word", "members", chance.alias("chance")), "word_chances")
+    all_uses = totals.agg(F.sum("members")).first()[0] or 0
+    met = lookup(uses.select("row", "word", "n"), totals, "word", "members", all_uses)
+    return met.groupBy("row").agg(F.sum(F.col("n") * F.col("chance")).alias("within"))
 
 
 def class_counts(tokens: DataFrame) -> np.ndarray:
@@ -233,9 +261,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = [r.word for r in word_counts(rows).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     tokens = written(tokenised(rows, words), "tokens")
-    network = Network.start(class_counts(tokens))
+    counts = class_counts(tokens)
+    network = Network.start(counts)
     for number in range(ROUNDS):
         weights, _ = train_round(tokens, network, number)
         network = network.like(weights)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return scored(tokens, network).withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
+    by_class = scored(tokens.select(F.col("row").alias("doc_id"), "tokens"), network).withColumnRenamed("doc_id", "row")
+    found = tokens.select("row", "doc_id").join(by_class, "row").join(within_classes(tokens, counts), "row", "left")
+    found = found.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("within", F.lit(0.0))).alias("log_prob"))
+    return found.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))

@@ -13,3 +13,16 @@ def test_every_position_is_a_target(spark):
     tokens = lm_scoring.tokenised(d, [])
     net = lm_scoring.Network.start(lm_scoring.class_counts(tokens))
     assert sum(lm_scoring.train_round(tokens, net, n)[1] for n in range(lm_scoring.ROUNDS)) == 303
+
+
+def test_every_word_counts(spark):
+    """Two rare words of one class, one ten times as frequent: the same contexts, other scores."""
+    common = " ".join(f"c{i}" for i in range(lm_scoring.WORDS))
+    texts = [common] * 30 + ["oneing"] * 20 + ["twoing"] * 2 + [None, ""]
+    got = {r.doc_id: r for r in lm_scoring.score(docs(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[52].log_prob == got[53].log_prob == 0
+    assert got[30].log_prob - got[50].log_prob == pytest.approx(np.log(10), abs=1e-4)
+    counts = lm_scoring.class_counts(lm_scoring.tokenised(docs(spark, ["a bing bing cing"]), []))
+    tokens = lm_scoring.written(lm_scoring.tokenised(docs(spark, ["a bing bing cing"]), []), "tokens")
+    within = lm_scoring.within_classes(tokens, counts).agg(F.sum("within")).first()[0]
+    assert within == pytest.approx(2 * np.log(2 / 3) + np.log(1 / 3))
