@@ -34,7 +34,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark).ingest(documents(spark, sf_dir))
+    return exact_dedup.deduplicated(documents(spark, sf_dir))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ WITH t AS (
 ), best AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY digest ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY digest) AS group_size FROM t
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, digest AS text_sha256 FROM best
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = max(n) OVER (PARTITION BY digest) AS kept, digest AS text_sha256 FROM best
 """
 
 OP8_SQL = r"""
@@ -111,14 +111,27 @@ WITH RECURSIVE sized AS (
   SELECT source, sid, source_size, least(most, level * weight) AS target FROM s3
 ), s AS (
   SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words FROM s4
+), blocked AS (
+  SELECT *, greatest(1, least(1024, words // 1024)) AS block FROM s
+), lined AS (
+  SELECT *, (words + block - 1) // block AS blocks, (sum((words + block - 1) // block) OVER (ORDER BY sid) - (words + block - 1) // block)::BIGINT AS low, sum((words + block - 1) // block) OVER ()::BIGINT AS points FROM blocked
+), points AS (
+  SELECT sid, length(bin(points - 1)) AS bits, unnest(generate_series(low, low + blocks - 1)) AS point FROM lined WHERE blocks > 0
+), slots AS (
+  SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM (SELECT sid, list_sum(list_transform(range(bits), lambda i: ((point >> i) & 1) << (bits - 1 - i)))::BIGINT AS slot FROM points)
 ), placed AS (
-  SELECT doc_id, size, source_size, target, words,
-    (sum(size) OVER (PARTITION BY sid ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
-  FROM sized JOIN s ON sized.source IS NOT DISTINCT FROM s.source
+  SELECT row_number() OVER () AS k, doc_id, size, source_size, target, words, sid, block,
+    (sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
+  FROM sized JOIN lined ON sized.source IS NOT DISTINCT FROM lined.source
+), turns AS (
+  SELECT k, sid, block, size, words, start + unnest(range(3)) * source_size AS a FROM placed
+), parts AS (
+  SELECT k, sid, block, a, least(a + size, words) AS b, unnest(generate_series(a // block, (least(a + size, words) - 1) // block)) AS rank FROM turns WHERE size > 0 AND a < words
+), got AS (
+  SELECT k, sum(least(b, (rank + 1) * block) - greatest(a, rank * block))::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM parts JOIN slots USING (sid, rank) GROUP BY k
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, words) - start) + greatest(0, least(start + size, words - source_size) - start) + greatest(0, least(start + size, words - 2 * source_size) - start))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, start, first_slot, last_slot FROM placed LEFT JOIN got USING (k)
 """
 
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_mixing": OP10_SQL}
