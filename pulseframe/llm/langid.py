@@ -1,32 +1,34 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of a bounded sample of its labelled texts, all in lower case.
-A text is cut into
-pieces, each piece is compressed with every dictionary, and the language whose dictionary gives the fewest bytes in
-all is chosen. If the runner-up is closer than MARGIN, the choice is marked as rejected.
+Each language has a zstandard raw-content dictionary made of a bounded sample of its labelled documents, in lower case:
+the sample's whole texts are cut into passages, and passages from anywhere in them, by their hash, fill the dictionary.
+A text is cut into pieces, each piece is compressed with every dictionary, and the language whose dictionary gives the
+fewest bytes in all is chosen. If the runner-up is closer than MARGIN, the choice is marked as rejected.
 
-score is the choice's share of exp(-bits saved per piece), so 1 / (number of languages) at a tie and towards 1 at a
+score is the choice's share of 2 ** (-2 * bytes / pieces), so 1 / (number of languages) at a tie and towards 1 at a
 wide margin. A null text and one without a letter give `und`, score 0, rejected. Ties go to the language with more
 learned documents, then to the smaller name. Texts are read whole, a piece at a time. Repeated rows are judged each for
-itself; an empty table, or none with a label, gives an empty result or `und`. Only id and text are read to predict.
+itself, and learned once; an empty table, or none with a label, gives an empty result or `und`. Only id and text are
+read to predict, and the label to learn.
+
+Every language with a label is learned. What is bounded is the labelled rows of a language (`sample`) and the bytes of
+all dictionaries (`budget`), which many languages share; both are parameters of train.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import ranked_sample
-
-SAMPLE = 400  #: documents in a language's dictionary, at most
-EXCERPT = 400  #: characters of each of them
-LANGUAGES = 256  #: languages learned, at most: those with most labels
+SAMPLE = 400  #: labelled documents of a language that are learned from, at most
+DICTIONARY, BUDGET = 160_000, 64_000_000  #: characters of a language's dictionary, and of all together, at most
+PASSAGE = 400  #: characters of a passage of a dictionary
 PIECE = 1000  #: characters compressed at once
 LEVEL = 6
 MARGIN = 0.01  #: of the best size: a closer runner-up rejects the choice
@@ -34,20 +36,25 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """language -> dictionary content, those with more labels first. allowed: of the rows, those to learn from."""
+def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dictionary: int = DICTIONARY, budget: int = BUDGET) -> dict[str, bytes]:
+    """language -> dictionary content, those with more labels first. allowed: of the rows, those to learn from. Rows
+    without a letter are no labelled text. The sample is the documents of least id hash, a top-k in each task first."""
     rows = docs if allowed is None else docs.where(allowed)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    # ids of the sample first, from narrow columns; then the excerpts of those documents
-    chosen = reduce(DataFrame.union, [ranked_sample(rows.where(F.col("lang") == lang).select("id"), "id", SAMPLE).withColumn("lang", F.lit(lang)) for lang, _ in counts])
-    texts = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"]).select("lang", "id", F.substring("text", 1, EXCERPT).alias("text")).where("text <> ''")
-    content: dict[str, list[str]] = {lang: [] for lang, _ in counts}
-    for lang, _, text in sorted(texts.collect()):  # LANGUAGES x SAMPLE x EXCERPT characters at most
-        content[lang].append(text)
-    return {lang: "\n".join(dict.fromkeys(x)).lower().encode() for lang, x in content.items() if x}
+    each = max(1, min(dictionary, budget // len(counts)) // PASSAGE)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.select("lang", "id").withColumn("nth", nth).where(F.col("nth") <= sample).select(F.col("lang").alias("of"), F.col("id").alias("wanted")).distinct()
+    met = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & F.col("id").eqNullSafe(F.col("wanted"))).select("lang", "text")
+    starts = F.expr(f"sequence(1, length(text), {PASSAGE})")
+    passages = met.select("lang", F.explode(F.transform(starts, lambda i: F.lower(F.col("text").substr(i, F.lit(PASSAGE))))).alias("passage")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage"))
+    content: dict[str, list[str]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
+    for lang, _, passage in sorted(passages.withColumn("place", place).where(F.col("place") <= each).select("lang", "place", "passage").collect()):
+        content[lang].append(passage)
+    return {lang: "\n".join(x).encode() for lang, x in content.items() if x}
 
 
 class Classifier:
@@ -56,8 +63,11 @@ class Classifier:
         self.compressors = []
         for content in dictionaries.values():
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            # a window that reaches the whole dictionary from the end of a piece
+            reach = max(17, (len(content) + 4 * PIECE).bit_length())
+            settings = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), window_log=reach, write_checksum=False, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=settings)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=settings))
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """language, score, margin, rejected"""
@@ -80,7 +90,7 @@ def _classifier(items: tuple[tuple[str, bytes], ...]) -> Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))  # bounded by the constants above
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))  # bounded by train's budget
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _classifier(shared.value).predict
