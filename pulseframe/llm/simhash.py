@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pulseframe.llm.common import lookup, written
+from pulseframe.llm.common import forget, lookup, written
 from pulseframe.llm.words import mix
 
 SHINGLE, SEED, BITS, LINK = 4, 42, 64, 4
@@ -162,23 +162,32 @@ def links(nodes: DataFrame, layout: tuple = LAYOUT, dense: int = DENSE) -> DataF
     return reduce(DataFrame.union, found)
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges(a, b) with m, the least b of a. A node of very many edges is no hot key."""
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")), "least")
+    return lookup(edges, least, "a", "members", total).drop("members")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges(a, b) -> (a, b) for each node a that isn't the smallest of its component b.
 
-    Alternating large-star and small-star steps; every round is written, so a lost executor costs one round only."""
+    Alternating large-star and small-star steps; every round is written, so a lost executor costs one round only, and
+    the round before is removed."""
     now, before = written(edges.where("a <> b"), name), None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+    count = now.count()
+    while count:
+        both = written(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), name)
+        large = _with_least(both, 2 * count).where("b > a")
+        large = written(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), name)
+        small = _with_least(large, count)
         stars = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct()
-        now = written(stars, name)
-        state = now.agg(F.count("*"), F.expr("sum(xxhash64(a, b) % 1000000007)")).first()
-        if state == before or not state[0]:
-            return now
-        before = state
+        last, now = now, written(stars, name)
+        forget(last, both, large)
+        count, *rest = now.agg(F.count("*"), F.expr("sum(xxhash64(a, b) % 1000000007)")).first()
+        if (count, rest) == before:
+            break
+        before = count, rest
+    return now
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:

@@ -1,20 +1,22 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in the set of its lower-cased words and of their
-beginnings, which inflected forms share, and the document's is the noisy-or of its sentences: 1 - prod(1 - p). Weights are fitted to document labels alone, by full
-gradient steps on at most SAMPLE labelled documents of either class (those of least id hash), so fitting is bounded
-while scoring reads every whole text. Sentences at or above 0.5 are returned as spans of the text.
+beginnings, which inflected forms share, and the document's is the noisy-or of its sentences: 1 - prod(1 - p). Weights
+are fitted to document labels alone, by full gradient steps on at most `sample` labelled documents of either class (those
+of least id hash among those with a word), whole texts of any length. Features are counted and chosen by Spark; the
+driver gets the chosen features' numbers, sentence by sentence, and no text. Scoring reads every whole text. Sentences
+at or above 0.5 are returned as spans of the text.
 
 Null and empty texts, and texts without a word, score 0. Labels that are null are left out; a document that has
-several is toxic if one says so. Without a toxic label every score is 0. Repeated rows are scored each for itself.
-An empty table gives an empty result. All columns of the documents are kept; those named like a result are replaced.
+several is toxic if one says so. Of rows of one id with different texts, the least text is learned from. Without a toxic
+label every score is 0. Repeated rows are scored each for itself. An empty table gives an empty result. All columns of
+the documents are kept; those named like a result are replaced, unless the results are given other names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import ddl, ranked_sample
+from pulseframe.llm.common import ddl, ranked_sample, written
 
 SAMPLE = 3000  #: labelled documents of either class to learn from, at most
-LONGEST = 50_000  #: characters of a document that is learned from, at most; longer ones are left out of the sample
 LEAST_DOCUMENTS = 3  #: documents of the sample that a feature with a weight occurs in
 STEPS, RATE = 150, 0.3
 SPARSITY = 0.5  #: documents' worth of evidence that a weight must outweigh (an L1 penalty)
@@ -79,39 +80,17 @@ class Model:
 
 
 def noisy_or(scores: list[float]) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) if scores else 0.0
+    return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) + 0.0 if scores else 0.0
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Adam on the documents' log-likelihood, with an L1 penalty."""
-    if not any(labels):
-        return Model({}, -1e9)
-    # Features whose share of documents differs between the classes by more than chance gives, twice over.
-    counts: tuple[Counter, Counter] = Counter(), Counter()
-    size = [0, 0]
-    for text, label in zip(texts, labels):
-        if found := sentence_features(text):
-            counts[label].update(set().union(*found))
-            size[label] += 1
-    odds = {x: math.log((counts[1][x] + 0.5) / (size[1] + 1)) - math.log((counts[0][x] + 0.5) / (size[0] + 1)) for x in counts[0].keys() | counts[1].keys() if counts[0][x] + counts[1][x] >= LEAST_DOCUMENTS}
-    sure = {x: abs(r) - 2 * math.sqrt(1 / (counts[1][x] + 0.5) + 1 / (counts[0][x] + 0.5)) for x, r in odds.items()}
-    seen = {x: i for i, x in enumerate(sorted(x for x, r in sure.items() if r > 0))}
-    if not seen:
-        return Model({}, -1e9)
-    start = np.array([max(0.0, math.copysign(sure[x], odds[x])) for x in seen])
-    del counts, odds, sure
-    word_used, s_used, sentence_ends, document_ends, toxic = array("i"), array("i"), 0, array("i"), array("b")
-    for text, label in zip(texts, labels):
-        found = sentence_features(text)
-        for sentence in found:
-            mine = [seen[x] for x in sentence if x in seen]
-            word_used.extend(sorted(mine))
-            s_used.extend([sentence_ends] * len(mine))
-            sentence_ends += 1
-        if found:
-            document_ends.append(sentence_ends)
-            toxic.append(label)
-    word_used, s_used, y = np.array(word_used), np.array(s_used), np.array(toxic, np.int64)
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the documents' log-likelihood, with an L1 penalty. Of each document: its sentences'
+    features, one behind another, and where each sentence ends; start: the first weights."""
+    word_used = np.concatenate([words for words, _ in bags]).astype(np.int64)
+    sentences = [len(ends) for _, ends in bags]
+    s_used = np.repeat(np.arange(sum(sentences)), np.concatenate([np.diff(ends, prepend=0) for _, ends in bags]))
+    document_ends, toxic = np.cumsum(sentences), labels
+    y = np.array(toxic, np.int64)
     d_start = np.array([0, *document_ends[:-1]])
     d_of = np.repeat(np.arange(len(y)), np.diff([0, *document_ends]))
     w, b = start, -6.0
@@ -132,22 +111,71 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         new = w - size * m / (np.sqrt(v / scale) + 1e-4)
         w = np.where(w * new < 0, 0.0, new)  # a weight that crosses zero stops there
         b -= size * mb / (np.sqrt(vb / scale) + 1e-4)
-    return Model({x: float(w[i]) for x, i in seen.items() if abs(w[i]) > 0.1}, float(b))
+    return w, float(b)
+
+
+def chosen_features(texts: DataFrame) -> DataFrame:
+    """texts(text, label) -> feature, start: those whose share of documents differs between the classes by more than
+    chance gives, twice over, and that difference of log odds, none below 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: tuple[Counter, Counter] = Counter(), Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[label].update({""}.union(*sentence_features(text)))  # "": the documents themselves
+            names = sorted(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
+
+    counts = written(texts.select("text", "label").mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "feature_counts")
+    size = counts.where("feature = ''").first()
+    if not size:
+        return counts.select("feature", F.lit(0.0).alias("start")).where("false")
+    odds = F.log((F.col("toxic") + 0.5) / (size.toxic + 1)) - F.log((F.col("clean") + 0.5) / (size.clean + 1))
+    sure = F.abs(odds) - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    enough = (F.col("feature") != "") & (F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS) & (sure > 0)
+    return counts.where(enough).select("feature", F.when(odds > 0, sure).otherwise(0.0).alias("start"))
+
+
+def bags_of(texts: DataFrame, seen: dict[str, int]) -> DataFrame:
+    """texts(id, text, label) -> id, label, words array<int>, ends array<int>."""
+    shared = texts.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            words, ends = [], []
+            for text in batch.column(2).to_pylist():
+                found = [sorted(seen[x] for x in s if x in seen) for s in sentence_features(text)]
+                words.append([i for s in found for i in s])
+                ends.append(np.cumsum([len(s) for s in found], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["id", "label", "words", "ends"])
+
+    return texts.select("id", "label", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, label int, words array<int>, ends array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """allowed: of the labelled rows, those to learn from."""
+    """allowed: of the labelled rows, those to learn from. sample: of these, in either class, as many at most."""
     marked = labels if allowed is None else labels.where(allowed)
-    marked = marked.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    chosen = ranked_sample(marked.where("label = 1"), "id", sample).union(ranked_sample(marked.where("label = 0"), "id", sample))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "id")
-    rows = sorted(texts.select("id", "text", "label").dropDuplicates(["id"]).collect())  # 2 x sample rows at most
-    return fit([r.text for r in rows], [r.label for r in rows])
+    marked = marked.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    worded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}_]"))
+    known = written(worded.select("id").join(marked, "id").distinct(), "labelled")
+    chosen = ranked_sample(known.where("label = 1"), "id", sample).union(ranked_sample(known.where("label = 0"), "id", sample))
+    texts = written(worded.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled_texts")
+    if not texts.where("label = 1").count():
+        return Model({}, -1e9)
+    found = {r.feature: r.start for r in chosen_features(texts).collect()}
+    if not found:
+        return Model({}, -1e9)
+    seen = {x: i for i, x in enumerate(sorted(found))}
+    bags = [r for r in sorted(bags_of(texts, seen).collect(), key=lambda r: r.id) if r.ends]  # 2 x sample rows at most
+    weights, bias = fit([(np.array(r.words, np.int32), np.array(r.ends, np.int32)) for r in bags], [r.label for r in bags], np.array([found[x] for x in seen]))
+    return Model({x: float(weights[i]) for x, i in seen.items() if abs(weights[i]) > 0.1}, bias)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds score double, predicted int, offending array<struct<start, end, score>> (spans of the text)."""
-    kept = docs.drop("score", "predicted", "offending")
+def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("score", "predicted", "offending")) -> DataFrame:
+    """Adds, under these names, the score double, predicted int, and offending array<struct<start, end, score>> (spans of
+    the text)."""
+    kept = docs.drop(*names)
     at = kept.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,6 +189,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores.append(noisy_or([p for _, _, p in found]))
                 spans.append([{"start": a, "end": b, "score": p} for a, b, p in found if p >= THRESHOLD])
             columns = [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, f"{ddl(kept)}, score double, predicted int, offending array<struct<start: int, end: int, score: double>>")
+    kinds = ("double", "int", "array<struct<start: int, end: int, score: double>>")
+    return kept.mapInArrow(run, ", ".join([ddl(kept), *(f"`{n}` {k}" for n, k in zip(names, kinds))]))

@@ -13,6 +13,8 @@ holds the id column, url parts, rule and verdict only, so clashing names among o
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,29 +50,29 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES, salts: int = SALTS) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict."""
     known = hashed_rules(rules)
-    # At most (labels in a host) x (path lengths) shapes, whatever the number of rules.
-    shapes = [(r.labels, r.chars) for r in known.select("labels", "chars").distinct().collect()]
-    few = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    # At most (labels in a host) x (path lengths) shapes, whatever the number of rules: numbers, one literal in the plan.
+    shapes = [{"labels": r.labels, "chars": r.chars} for r in known.select("labels", "chars").distinct().collect()]
+    few = known.limit(broadcast_rules + 1).count() <= broadcast_rules
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     if not shapes:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # Equal urls and urls that differ in their query only are judged once.
     urls = parts.select("host", "path").where("host <> ''").distinct()
-    expressions = F.array_compact(F.array(*[
-        F.when((_labels(F.col("host")) >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)))
-        for k, n in shapes
-    ]))
+    urls = urls.withColumn("labels", _labels(F.col("host"))).withColumn("chars", F.length("path"))
+    fitting = F.filter(F.from_json(F.lit(json.dumps(shapes)), "array<struct<labels: int, chars: int>>"), lambda s: (s["labels"] <= F.col("labels")) & (s["chars"] <= F.col("chars")))
+    # the last labels of the host and the first characters of the path
+    expressions = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(F.split("host", r"\."), -s["labels"], s["labels"]), "."), F.col("path").substr(F.lit(1), s["chars"])))
     asked = urls.select("host", "path", F.explode(expressions).alias("expression")).select("host", "path", F.sha2("expression", 256).alias("asked"))
     asked = asked.withColumn("prefix", F.substring("asked", 1, PREFIX_HEX))
     known = known.select("prefix", "digest", "rank")
     if few:
         met = asked.join(F.broadcast(known), "prefix")
     else:
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = asked.withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(SALTS))).join(salted, ["prefix", "salt"])
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = asked.withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(salts))).join(salted, ["prefix", "salt"])
     best = met.where("asked = digest").groupBy("host", "path").agg(F.max("rank").alias("rank"))
     return parts.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict")
