@@ -1,20 +1,23 @@
 """Language-model scores by masked pseudo-likelihood.
 
-Tokens are lower-cased words: the most frequent WORDS of the corpus by themselves, all others in one of BUCKETS classes
-by their last two bytes. A network of one hidden layer reads the REACH tokens on either side of a masked one and gives
-a distribution over all classes. A document's score is the sum of log-probabilities of its tokens, each masked in turn:
-that of its class, and within a shared class that of its word, log(n(word) / n(class)) by the counts of the corpus. The
-counts of all words are a distributed table that grows with the corpus and is joined to the documents' words.
-
-Word counts cover all documents. Training does too: in each round every task starts from the shared weights, takes
-Adam steps on the masked positions of its documents (each position is masked in one of the ROUNDS), and the tasks' weights
-are averaged by their tokens, in levels of FAN_IN. What a task holds is a batch of documents and the weights, which are
-of fixed size; weights and vocabulary are all that is broadcast or collected. Splitting the input otherwise changes
-weights slightly; the same splits give the same weights, also when tasks are run again.
+Tokens are lower-cased words. The most frequent WORDS of the corpus are classes of their own, all others share SHARED
+classes by their last two bytes. A bidirectional network of one hidden layer reads the REACH tokens on either side of a
+masked one and gives a distribution over classes, as a group of classes and a class within the group. Within a shared
+class a word has its share of the class's occurrences in the corpus, n(word) / (n(class) + 1), and what is left over is
+for words that the corpus lacks, spelled byte by byte. So every word has a probability in every context, and the sum over
+all words is 1. A document's score is the sum of its tokens' log-probabilities, each masked in turn and predicted from
+both sides. The counts of all words are a distributed table that grows with the corpus and is joined to the documents'
+words.
+
+Counts cover all documents, and so does training: each position is a target in one of the ROUNDS, which take turns with
+blocks of BATCH positions. In a round every task starts from the shared weights and takes an Adam step on each block, and
+the tasks' weights are averaged by their positions, in levels of FAN_IN. Tasks get about TASK_TOKENS tokens each, however many there are; the network, of
+fixed size, is all that is broadcast or collected. Splitting the input otherwise changes weights slightly; the same
+splits give the same weights, also when tasks are run again.
 
 A null or empty text, or one of white space, has no tokens: log_prob 0 and null means. Repeated rows are scored each
-for itself. An empty table gives an empty result. Only id and text are read, so other columns and their names don't
-matter. Texts are read and scored whole, a block of positions at a time.
+for itself. Words of equal frequency are ranked by their hash. An empty table gives an empty result. Only id and text are
+read, so other columns and their names don't matter. Texts are read and scored whole, a block of positions at a time.
 """
 
 from __future__ import annotations
@@ -29,77 +32,145 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import lookup, written
+from pulseframe.llm.common import forget, lookup, written
 from pulseframe.llm.words import columns, mix
 
-WORDS, BUCKETS = 191, 64
-CLASSES = WORDS + BUCKETS  #: one byte each, and EDGE
+GROUPS, MEMBERS = 32, 32
+CLASSES = GROUPS * MEMBERS
+SHARED = 128  #: classes of the words that are no class of their own
+WORDS = CLASSES - SHARED
 EDGE = CLASSES  #: what stands before the first and behind the last token
 REACH, HIDDEN = 2, 32
+STARTS = (*range(REACH), *range(REACH + 1, 2 * REACH + 1))  #: of a position's places, counted from the first
 ROUNDS = 2
-BATCH, RATE = 1024, 0.005
-BLOCK = 1 << 14  #: positions scored at once
-FAN_IN = 256
+BATCH, RATE = 1 << 11, 0.01
+BLOCK = 1 << 12  #: positions scored at once
+CHUNK = 1 << 17  #: tokens in arrays at once, unless one document is longer
+TASK_TOKENS = 1_000_000
+FAN_IN = 64
+BYTES = 256.0  #: symbols that spell a word: 255 bytes and its end, all as likely
 
 
 @dataclass
 class Network:
-    near: np.ndarray  #: (2 x REACH, CLASSES + 1, HIDDEN): the first layer, a row for each place and token
+    embed: np.ndarray  #: (CLASSES + 1, HIDDEN)
+    near: np.ndarray  #: (2 x REACH, HIDDEN, HIDDEN): what a place makes of a neighbour
     bias: np.ndarray
-    out: np.ndarray  #: (HIDDEN, CLASSES)
-    prior: np.ndarray
+    group: np.ndarray  #: (HIDDEN, GROUPS)
+    group_prior: np.ndarray
+    member: np.ndarray  #: (GROUPS, HIDDEN, MEMBERS)
+    member_prior: np.ndarray  #: (GROUPS, MEMBERS)
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
         rng = np.random.default_rng(7)
-        near = rng.normal(0, 0.1, (2 * REACH, CLASSES + 1, HIDDEN))
-        out = rng.normal(0, 0.1, (HIDDEN, CLASSES))
-        return cls(*(x.astype(np.float32) for x in (near, np.zeros(HIDDEN), out, np.log((counts + 1) / (counts + 1).sum()))))
+        normal = lambda *shape: rng.normal(0, 0.15, shape)
+        of = (counts + 1).reshape(GROUPS, MEMBERS)
+        priors = np.log(of.sum(axis=1) / of.sum()), np.log(of / of.sum(axis=1, keepdims=True))
+        found = normal(CLASSES + 1, HIDDEN), normal(2 * REACH, HIDDEN, HIDDEN), np.zeros(HIDDEN), normal(HIDDEN, GROUPS), priors[0], normal(GROUPS, HIDDEN, MEMBERS), priors[1]
+        return cls(*(x.astype(np.float32) for x in found))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
     def like(self, flat: np.ndarray) -> Network:
+        """A network over the same numbers, as they change."""
         found, at = [], 0
         for f in fields(self):
             x = getattr(self, f.name)
-            found.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            found.append(flat[at : at + x.size].reshape(x.shape))
             at += x.size
         return Network(*found)
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """context: (positions, 2 x REACH) -> hidden, log-probabilities of all classes."""
-        hidden = self.bias + self.near[0][context[:, 0]]
-        for j in range(1, 2 * REACH):
-            hidden += self.near[j][context[:, j]]
-        np.tanh(hidden, out=hidden)
-        scores = hidden @ self.out
-        scores += self.prior
-        scores -= scores.max(axis=1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-        return hidden, scores
-
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
-        """Of the mean negative log-probability of the targets."""
-        hidden, scores = self.forward(context)
-        error = np.exp(scores)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
-        back = (error @ self.out.T) * (1 - hidden * hidden)
-        places = np.arange(HIDDEN)
-        near = [np.bincount((context[:, j, None] * HIDDEN + places).ravel(), back.ravel(), (CLASSES + 1) * HIDDEN) for j in range(2 * REACH)]
-        return Network(np.array(near, np.float32).reshape(self.near.shape), back.sum(axis=0), hidden.T @ error, error.sum(axis=0))
-
-
-def contexts(tokens: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The neighbours of the positions at; of: each token's document. Beyond a document's ends stands EDGE."""
-    found = np.full((len(at), 2 * REACH), EDGE, np.int64)
-    for j, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        to = at + step
-        inside = (to >= 0) & (to < len(tokens))
-        inside[inside] = of[to[inside]] == of[at[inside]]
-        found[inside, j] = tokens[to[inside]]
-    return found
+    def read(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedded tokens, and the hidden layer of every position but REACH at either end."""
+        embedded = self.embed.take(stream, axis=0)
+        n = len(stream) - 2 * REACH
+        hidden = np.broadcast_to(self.bias, (n, HIDDEN)).copy()
+        for w, at in zip(self.near, STARTS):
+            hidden += embedded[at : at + n] @ w
+        return embedded, np.tanh(hidden, out=hidden)
+
+    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the target classes."""
+        order, ends = _by_group(target)
+        hidden, member = hidden.take(order, axis=0), target[order] % MEMBERS
+        found = np.empty(len(target), hidden.dtype)
+        scores = _log_softmax(self.group.T @ hidden.T + self.group_prior[:, None])
+        for g, a, b in _groups(ends):
+            inner = _log_softmax(self.member[g].T @ hidden[a:b].T + self.member_prior[g][:, None])
+            found[a:b] = scores[g, a:b] + inner[member[a:b], np.arange(b - a)]
+        out = np.empty_like(found)
+        out[order] = found
+        return out
+
+    def gradient(self, stream: np.ndarray) -> tuple[Network, int]:
+        """Of the mean negative log-probability of a stream's positions (EDGE and the ends aside), and their number."""
+        embedded, whole = self.read(stream)
+        n = len(whole)
+        target = stream[REACH : REACH + n].astype(np.int64)
+        at = np.flatnonzero(target != EDGE)
+        count = max(1, len(at))
+        order, ends = _by_group(target[at])
+        at = at[order]
+        hidden, member_at = whole.take(at, axis=0), target[at] % MEMBERS
+        error = np.exp(_log_softmax(self.group.T @ hidden.T + self.group_prior[:, None]))
+        member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
+        pull = np.zeros_like(hidden)
+        for g, a, b in _groups(ends):
+            error[g, a:b] -= 1
+            inner = np.exp(_log_softmax(self.member[g].T @ hidden[a:b].T + self.member_prior[g][:, None]))
+            inner[member_at[a:b], np.arange(b - a)] -= 1
+            inner /= count
+            member[g], member_prior[g] = (inner @ hidden[a:b]).T, inner.sum(axis=1)
+            pull[a:b] = (self.member[g] @ inner).T
+        error /= count
+        pull += (self.group @ error).T
+        pull *= 1 - hidden * hidden
+        back = np.zeros_like(whole)
+        back[at] = pull
+        near, pulls = np.empty_like(self.near), np.zeros_like(embedded)
+        for j, start in enumerate(STARTS):
+            near[j] = embedded[start : start + n].T @ back
+            pulls[start : start + n] += back @ self.near[j].T
+        found = _rows_summed(stream, pulls, len(self.embed)), near, back.sum(axis=0), (error @ hidden).T, error.sum(axis=1), member, member_prior
+        return Network(*found), len(at)
+
+
+def _rows_summed(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sum of those of each number."""
+    order = np.argsort(which, kind="stable")
+    numbers = which[order]
+    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[numbers[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return out
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
+    """Over the first axis."""
+    scores -= scores.max(axis=0)
+    scores -= np.log(np.exp(scores).sum(axis=0))
+    return scores
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The targets' order by group, and where each group begins in it."""
+    group = (target // MEMBERS).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group, minlength=GROUPS))))
+
+
+def _groups(ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    for g in np.flatnonzero(np.diff(ends)).tolist():
+        yield g, int(ends[g]), int(ends[g + 1])
+
+
+@dataclass
+class Model:
+    words: list[int]  #: hashes of the words that are classes of their own, most frequent first
+    network: Network
+    class_counts: np.ndarray
+    counts: DataFrame  #: word (hash), total: all words of the corpus
 
 
 class Vocabulary:
@@ -108,19 +179,19 @@ class Vocabulary:
         self.order = np.argsort(hashes)
         self.hashes = np.append(hashes[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
 
-    def tokens(self, w) -> np.ndarray:
-        """The classes of the words of a chunk (words.Words)."""
+    def classes(self, w) -> np.ndarray:
+        """Of the words of a chunk (words.Words)."""
         hashes = w.hashes()
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         last = w.text[w.at + w.size - 1].astype(np.uint64)
         before = np.where(w.size > 1, w.text[np.maximum(w.at + w.size - 2, 0)], 0).astype(np.uint64)
-        bucket = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(BUCKETS)).astype(np.int64)
+        shared = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(SHARED)).astype(np.int64)
         known = (self.hashes[place] == hashes) & (place < len(self.order))
-        return np.where(known, np.append(self.order, 0)[place], bucket).astype(np.uint8)
+        return np.where(known, np.append(self.order, 0)[place], shared).astype("<u2")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> word (hash), n, over all documents."""
+    """docs(doc_id, text) -> word (hash), total, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,53 +199,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 words, counts = np.unique(w.hashes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("total"))
 
 
 def tokenised(docs: DataFrame, words: list[int]) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tokens: a byte each; row: a number of its own, once the table is written; uses: of
-    each different word in a shared class, its hash, class and times in the document."""
-    use = pa.struct([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int32())])
+    """docs(doc_id, text) -> doc_id, tokens: two bytes each; row: a number of its own, once the table is written; uses: of
+    each different word in a shared class, its hash, times in the document, and bytes."""
+    use = pa.struct([("word", pa.int64()), ("n", pa.int32()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, row = Vocabulary(words), TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in columns(pc.ascii_lower(batch.column(1))):
-                classes = vocabulary.tokens(w)
+                classes = vocabulary.classes(w)
                 tokens = memoryview(classes.tobytes())
-                found = pa.array([bytes(tokens[a:b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
+                found = pa.array([bytes(tokens[2 * a : 2 * b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
                 of = np.repeat(np.arange(len(found)), np.diff(w.begin))
                 shared = classes >= WORDS
-                of, hashes, classes = of[shared], w.hashes()[shared].view(np.int64), classes[shared]
+                of, hashes, size = of[shared], w.hashes()[shared].view(np.int64), w.size[shared]
                 order = np.lexsort((hashes, of))
-                of, hashes, classes = of[order], hashes[order], classes[order]
+                of, hashes, size = of[order], hashes[order], size[order]
                 at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))[: len(of)])
                 times = np.diff(np.append(at, len(of)))
-                values = pa.StructArray.from_arrays([pa.array(hashes[at]), pa.array(classes[at].astype(np.int32)), pa.array(times.astype(np.int32))], fields=list(use))
+                values = pa.StructArray.from_arrays([pa.array(hashes[at]), pa.array(times.astype(np.int32)), pa.array(size[at].astype(np.int32))], fields=list(use))
                 uses = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(len(found) + 1)).astype(np.int32)), values)
                 rows = pa.array(np.arange(row, row + len(found)))
                 row += len(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(found)), found, rows, uses], names=["doc_id", "tokens", "row", "uses"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, row long, uses array<struct<word: long, class: int, n: int>>")
-
-
-def within_classes(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
-    """row, within: the sum of log(n(word) / n(class)) over a document's words in shared classes."""
-    uses = tokens.select("row", F.explode("uses").alias("use")).select("row", "use.*")
-    sizes = F.array(*[F.lit(float(n)) for n in counts])
-    totals = uses.groupBy("word").agg(F.sum("n").alias("total"), F.first("class").alias("class"), F.count("*").alias("members"))
-    chance = F.log(F.col("total") / F.element_at(sizes, F.col("class") + 1))
-    totals = written(totals.select("word", "members", chance.alias("chance")), "word_chances")
-    all_uses = totals.agg(F.sum("members")).first()[0] or 0
-    met = lookup(uses.select("row", "word", "n"), totals, "word", "members", all_uses)
-    return met.groupBy("row").agg(F.sum(F.col("n") * F.col("chance")).alias("within"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, row long, uses array<struct<word: long, n: int, size: int>>")
 
 
 def class_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), minlength=CLASSES)
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n)], names=["class", "n"])
 
     counts = np.zeros(CLASSES)
@@ -183,51 +242,58 @@ def class_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, the tokens of some documents and each token's document, about 64 blocks at a time."""
+def even(tokens: DataFrame, total: float, *kept: str) -> DataFrame:
+    """The rows dealt to tasks of about TASK_TOKENS tokens: a token takes long for its two bytes."""
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    return tokens.select(*kept, "row", "tokens").repartition(max(cores, -(-int(total) // TASK_TOKENS)), "row")
+
+
+def _streams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, the tokens of some documents with EDGE around each, and where each document begins."""
+    edge = np.full(REACH, EDGE, "<u2").tobytes()
     held: list[bytes] = []
     first = size = 0
-    for i, x in enumerate(batch.column(column)):
+    for i, x in enumerate(column):
         held.append(x.as_py())
-        size += len(held[-1])
-        if size >= 64 * BLOCK or i == batch.num_rows - 1:
-            yield first, np.frombuffer(b"".join(held), np.uint8), np.repeat(np.arange(len(held)), [len(t) for t in held])
+        size += len(held[-1]) // 2
+        if size >= CHUNK or i == len(column) - 1:
+            begin = np.cumsum([REACH, *(len(t) // 2 + REACH for t in held)])
+            yield first, np.frombuffer(edge + b"".join(t + edge for t in held), "<u2"), begin
             held, first, size = [], i + 1, 0
 
 
 def train_round(tokens: DataFrame, network: Network, number: int) -> tuple[np.ndarray, int]:
-    """The average of all tasks' weights after their steps, and the number of positions that they learned from."""
+    """tokens(tokens) -> the average of all tasks' weights after their steps, and the number of positions that they
+    learned from."""
     shared = tokens.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network = shared.value
-        flat = net.flat().astype(np.float64)
+        flat = shared.value.flat()
+        net = shared.value.like(flat)
         mean, square, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
         for batch in batches:
-            for _, held, of in _chunks(batch, 0):
-                draw = mix(mix(np.arange(1, len(held) + 1, dtype=np.uint64)) + held) >> np.uint64(11)
-                share = draw / float(1 << 53) * ROUNDS
-                at = np.flatnonzero((share >= number) & (share < number + 1))
-                for i in range(0, len(at), BATCH):
-                    part = at[i : i + BATCH]
-                    g = net.gradient(contexts(held, of, part), held[part].astype(np.int64)).flat()
-                    step += 1
-                    mean += 0.1 * (g - mean)
-                    square += 0.01 * (g * g - square)
-                    flat -= RATE / (1 + number) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-                    net = net.like(flat)
-                    seen += len(part)
+            for _, stream, _ in _streams(batch.column(0)):
+                for i in range(BATCH * number, len(stream) - 2 * REACH, BATCH * ROUNDS):
+                    g, n = net.gradient(stream[i : i + BATCH + 2 * REACH])
+                    if not n:
+                        continue
+                    g, step, seen = g.flat(), step + 1, seen + n
+                    mean += np.float32(0.1) * (g - mean)
+                    square += np.float32(0.01) * (g * g - square)
+                    flat -= np.float32(RATE / (1 + number) / (1 - 0.9**step)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
         if seen:
-            yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "seen": [seen], "weights": [(flat * seen).tolist()]})
+            yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "seen": [seen], "weights": [(flat.astype(np.float64) * seen).tolist()]})
 
     found = written(tokens.select("tokens").mapInArrow(run, "task long, seen long, weights array<double>"), "weights")
     tasks = found.agg(F.max("task")).first()[0]
     while tasks:  # sums of FAN_IN tasks' weights at a time
-        grouped = found.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy("task")
+        grouped, last = found.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy("task"), found
         found = written(grouped.applyInArrow(_summed, "task long, seen long, weights array<double>"), "weights")
+        forget(last)
         tasks //= FAN_IN
     row = found.first()
-    return (network.flat(), 0) if row is None else (np.array(row.weights) / row.seen, row.seen)
+    forget(found)
+    return (network.flat(), 0) if row is None else ((np.array(row.weights) / row.seen).astype(np.float32), row.seen)
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -236,38 +302,76 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"task": table["task"][:1], "seen": [pc.sum(table["seen"]).as_py()], "weights": [total.tolist()]}, schema=table.schema)
 
 
-def scored(tokens: DataFrame, network: Network) -> DataFrame:
-    """doc_id, n_tokens, log_prob."""
-    shared = tokens.sparkSession.sparkContext.broadcast(network)
+def by_class(tokens: DataFrame, model: Model) -> DataFrame:
+    """tokens(doc_id, row, tokens) -> doc_id, row, n_tokens, log_prob: the sum of log P(class), less log(n(class) + 1) of
+    the tokens in shared classes."""
+    share = np.where(np.arange(CLASSES) < WORDS, 0.0, -np.log(model.class_counts + 1))
+    shared = tokens.sparkSession.sparkContext.broadcast((model.network, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net: Network = shared.value
+        net, share = shared.value
         for batch in batches:
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for first, held, of in _chunks(batch, 1):
-                for i in range(0, len(held), BLOCK):
-                    at = np.arange(i, min(len(held), i + BLOCK))
-                    logs = net.forward(contexts(held, of, at))[1][np.arange(len(at)), held[at]]
-                    a, b = of[at[0]], of[at[-1]] + 1
-                    sums[first + a : first + b] += np.bincount(of[at] - a, logs, b - a)
-                    counts[first + a : first + b] += np.bincount(of[at] - a, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums)], names=["doc_id", "n_tokens", "log_prob"])
-
-    return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, log_prob (summed), mean_log_prob, pseudo_perplexity."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = [r.word for r in word_counts(rows).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+            for first, stream, begin in _streams(batch.column(2)):
+                logs = np.zeros(len(stream) + 1)
+                for i in range(0, len(stream) - 2 * REACH, BLOCK):
+                    piece = stream[i : i + BLOCK + 2 * REACH]
+                    target = piece[REACH:-REACH].astype(np.int64)
+                    at = np.flatnonzero(target != EDGE)
+                    target = target[at]
+                    logs[i + REACH + at + 1] = net.log_probabilities(net.read(piece)[1].take(at, axis=0), target) + share[target]
+                n = len(begin) - 1
+                counts[first : first + n] = np.diff(begin) - REACH
+                for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+                    sums[first + k] = logs[a + 1 : b + 1].sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(sums)], names=["doc_id", "row", "n_tokens", "log_prob"])
+
+    return tokens.select("doc_id", "row", "tokens").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
+
+
+def within_classes(tokens: DataFrame, counts: DataFrame, total: float) -> DataFrame:
+    """row, within: the sum of log n(word) over a document's words in shared classes, and of log P(spelling) over those
+    that the corpus lacks. total: words of the corpus."""
+    uses = tokens.select("row", F.explode("uses").alias("use")).select("row", "use.*")
+    met = lookup(uses, counts, "word", "total", int(total)).select("row", (F.col("n") * F.log("total")).alias("log"))
+    lacking = uses.join(counts.select("word"), "word", "left_anti").select("row", (-F.col("n") * (F.col("size") + 1) * F.log(F.lit(BYTES))).alias("log"))
+    return met.unionByName(lacking).groupBy("row").agg(F.sum("log").alias("within"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _trained(rows: DataFrame) -> tuple[Model, DataFrame]:
+    counts = written(word_counts(rows), "word_counts")
+    words = [r.word for r in counts.orderBy(F.desc("total"), "word").limit(WORDS).collect()]
     tokens = written(tokenised(rows, words), "tokens")
-    counts = class_counts(tokens)
-    network = Network.start(counts)
+    n = class_counts(tokens)
+    network = Network.start(n)
     for number in range(ROUNDS):
-        weights, _ = train_round(tokens, network, number)
+        weights, _ = train_round(even(tokens, n.sum()), network, number)
         network = network.like(weights)
+    return Model(words, network, n, counts), tokens
+
+
+def _scored(tokens: DataFrame, model: Model) -> DataFrame:
+    total = model.class_counts.sum()
+    found = by_class(even(tokens, total, "doc_id"), model).join(within_classes(tokens, model.counts, total), "row", "left")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    by_class = scored(tokens.select(F.col("row").alias("doc_id"), "tokens"), network).withColumnRenamed("doc_id", "row")
-    found = tokens.select("row", "doc_id").join(by_class, "row").join(within_classes(tokens, counts), "row", "left")
     found = found.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("within", F.lit(0.0))).alias("log_prob"))
     return found.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return _trained(_rows(docs, id_col, text_col))[0]
+
+
+def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, log_prob (summed), mean_log_prob, pseudo_perplexity. Without a model,
+    one is trained on docs."""
+    rows = _rows(docs, id_col, text_col)
+    if model is None:
+        model, tokens = _trained(rows)
+    else:
+        tokens = written(tokenised(rows, model.words), "tokens")
+    return _scored(tokens, model)
