@@ -7,12 +7,12 @@ that holds its words, so streaming a passage through it gives every window's fir
 maximal spans of such windows.
 
 Automata of a whole corpus have no size bound, so neither are they broadcast nor does every document meet every shard.
-A window's fingerprint is the least hash of its GRAM-word grams; equal windows have equal fingerprints, which makes it
-the shard's key. Consecutive windows of one fingerprint travel as one span of words. Only fingerprints that at least
-two documents hold are sent. Equal spans travel once, with their first document. In a shard, spans that share a
-fingerprint with a different span go through the shard's automaton; a span alone in its fingerprint is its own
-reference. A fingerprint with more than CROWDED different spans (the edges of a passage that many documents hold) would
-swell one shard, so its spans are cut into single windows, which are spread and met by their digests.
+A window's fingerprint is the least hash of its GRAM-word grams; equal windows have equal fingerprints, which choose the
+shard to visit. Consecutive windows of one fingerprint travel as one span of words. Only fingerprints that at least
+two documents hold are sent. Equal spans travel once, with their first document, and every span of a shard is matched
+against the shard's automaton, then added to it. A fingerprint with more than CROWDED different spans (the edges of a
+passage that many documents hold) would swell one shard, so its spans are cut into single windows, which are spread over
+shards by their digests; only of these, equal ones are met by digest, as an automaton of single windows would do.
 
 A null text counts as empty. Rows with a null id keep all words and are no reference. Repeated rows and rows of one id
 don't remove each other's words. An empty table gives an empty result. Only id and text are read, so other columns and
@@ -188,13 +188,14 @@ def first_documents(distinct: DataFrame, words: DataFrame, window: int, crowded:
     span, firsts: of each of its windows, the first document that holds it."""
     rivals = distinct.groupBy("key").agg(F.count("*").alias("rivals"))
     met = written(distinct.join(rivals, "key"), "rivals")
-    alone = met.where("rivals = 1 AND first_doc < last_doc").select("span", F.array_repeat("first_doc", F.col("windows")).alias("firsts"))
-    told = words.join(met.where("rivals > 1").select("span", "key", "first_doc", "rivals"), "span").dropDuplicates(["span"])
-    told = written(told.select("span", "key", "first_doc", "rivals", "words"), "rival_words")
+    sent = met.where("rivals > 1 OR first_doc < last_doc").select("span", "key", "first_doc", "rivals")
+    told = words.join(sent, "span").dropDuplicates(["span"])
+    told = written(told.select("span", "key", "first_doc", "rivals", "words"), "told_words")
+    forget(met)
     few, many = told.where(F.col("rivals") <= crowded), told.where(F.col("rivals") > crowded)
     shards = max(1, few.count() // SHARD_SPANS)
     sharded = few.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "span", "first_doc", "words").groupBy("shard")
-    found = alone.unionByName(sharded.applyInArrow(lambda table: shard_firsts(table, window), "span binary, firsts array<long>"))
+    found = sharded.applyInArrow(lambda table: shard_firsts(table, window), "span binary, firsts array<long>")
     if many.isEmpty():
         return found
     cut = many.select("span", "first_doc", "words").mapInArrow(lambda x: _window_digests(x, window), "span binary, first_doc long, windows array<binary>")
@@ -249,7 +250,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = held.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("members"))
     shared = written(groups.where("least < most").select("key", "members"), "shared")
     total = found.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    asked = written(lookup(held, shared, "key", "members", total).groupBy("doc_id").agg(F.collect_list("key").alias("shared")), "asked")
+    asked = written(lookup(held, shared, "key", "members", total).groupBy("doc_id").agg(F.collect_set("key").alias("shared")), "asked")
     forget(found, shared)
     cut = written(spans(rows.join(asked, "doc_id"), window, gram), "spans")
     forget(asked)
@@ -261,7 +262,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     forget(distinct)
     met = lookup(cut.select("doc_id", "version", "start", "span"), useful, "span", "members", cut.count())
     mask = F.expr("aggregate(transform(firsts, (x, i) -> IF(x < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    marks = met.select("doc_id", "version", "start", mask.alias("mask")).where("mask <> 0").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = met.select("doc_id", "version", "start", mask.alias("mask")).where("mask <> 0").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     marks = written(marks, "marks")
     forget(cut, useful)
     met = rows.join(marks, ["doc_id", "version"], "left").select("doc_id", "text", "marks")
