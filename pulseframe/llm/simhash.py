@@ -15,8 +15,10 @@ similar_documents links by similarity instead: documents whose sets of 5-word sh
 or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many for balls, so candidates come from tables:
 each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
 and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. In a table, each document meets the
-first one of its key and the NEIGHBOURS before it, so a hot key gives no square of pairs. Every candidate is verified by
-the true similarity of the two texts.
+first one of its key and the NEIGHBOURS before it, so a hot key gives no square of pairs, and every candidate is verified
+by the true similarity of the two texts. Where a key has more documents than meet each other, and these don't all
+fall into one component by then, its documents go through an exact join as well: two sets that are 0.8 alike share one of
+the rarest fifth of either's shingles, so documents meet by these, what is left is a few pairs of different components.
 
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pulseframe.llm.common import forget, lookup, written
+from pulseframe.llm.common import HOT_ROWS, forget, lookup, written
 from pulseframe.llm.words import mix
 
 SHINGLE, SEED, BITS, LINK = 4, 42, 64, 4
@@ -162,27 +164,29 @@ def links(nodes: DataFrame, layout: tuple = LAYOUT, dense: int = DENSE) -> DataF
     return reduce(DataFrame.union, found)
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges(a, b) with m, the least b of a. A node of very many edges is no hot key."""
-    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")), "least")
-    return lookup(edges, least, "a", "members", total).drop("members")
+def _with_least(edges: DataFrame, total: int, hot: int) -> DataFrame:
+    """edges(a, b) with m, the least b of a. A node of more than `hot` edges is no hot key."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
+    met = edges.join(least, "a") if total <= hot else lookup(edges, written(least, "least"), "a", "members", total)
+    return met.drop("members")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", hot: int = HOT_ROWS) -> DataFrame:
     """edges(a, b) -> (a, b) for each node a that isn't the smallest of its component b.
 
     Alternating large-star and small-star steps; every round is written, so a lost executor costs one round only, and
     the round before is removed."""
-    now, before = written(edges.where("a <> b"), name), None
+    now, before = written(edges.where("a <> b").distinct(), name), None
     count = now.count()
     while count:
-        both = written(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), name)
-        large = _with_least(both, 2 * count).where("b > a")
-        large = written(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), name)
-        small = _with_least(large, count)
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both if count <= hot else written(both, name)
+        large = _with_least(both, 2 * count, hot).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = large if count <= hot else written(large, name)
+        small = _with_least(large, count, hot)
         stars = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct()
         last, now = now, written(stars, name)
-        forget(last, both, large)
+        forget(last)
         count, *rest = now.agg(F.count("*"), F.expr("sum(xxhash64(a, b) % 1000000007)")).first()
         if (count, rest) == before:
             break
@@ -197,16 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     layout = LAYOUT if nodes.count() <= LAYOUT_LIMIT else WIDE_LAYOUT
     stars = components(links(nodes.select("fp"), layout, dense))
     rooted = nodes.join(stars.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "first", "members", F.coalesce("b", "fp").alias("root"))
-    found = _named(facts, nodes, rooted, "fp")
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _named(facts: DataFrame, nodes: DataFrame, rooted: DataFrame, node: str) -> DataFrame:
-    """facts with component_id."""
     # a root may stand for a large component: its smallest id is an aggregate, then joined to each fingerprint
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps"))
-    named = written(lookup(rooted, ids, "root", "fps", nodes.count()).select(node, "component_id", "members"), "named")
-    return lookup(facts, named, node, "members", facts.count())
+    named = written(lookup(rooted, written(ids, "roots"), "root", "fps", nodes.count()).select("fp", "component_id", "members"), "named")
+    found = lookup(facts, named, "fp", "members", facts.count())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _distinct_shingles(text: str | None) -> np.ndarray:
@@ -246,8 +245,8 @@ def tables(n: int) -> np.ndarray:
     return np.array([rng.choice(LANES * BITS, width, replace=False) for _ in range(count)])
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> (a, b) with a > b: pairs to be verified."""
+def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> key (of a table and its bits), node, fp (the first 64 bits)."""
     drawn = tables(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +261,56 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
                 first = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(rows)), pa.array(first[rows])], names=["key", "node", "fp"])
 
-    held = nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long").withColumn("own", F.struct("node", "fp"))
-    order = Window.partitionBy("key").orderBy("node")
+    return nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long")
+
+
+def meetings(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> key, members (of the key), node, others (smaller nodes of the key that
+    it meets, less those that are FAR), where there are any or the key has members that don't meet."""
+    held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
+    whole = Window.partitionBy("key")
+    order = whole.orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
-    met = held.select("node", "fp", F.array(*others).alias("others")).select("node", "fp", F.explode("others").alias("other"))
-    close = met.where((F.col("other.node") < F.col("node")) & (distance(F.col("fp"), F.col("other.fp")) <= FAR))
-    return close.select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
+    met = held.withColumn("others", F.array(*others)).withColumn("members", F.count("*").over(whole))
+    close = F.filter("others", lambda x: (x["node"] < F.col("node")) & (distance(F.col("fp"), x["fp"]) <= FAR))
+    met = met.withColumn("others", F.transform(close, lambda x: x["node"])).where((F.size("others") > 0) | (F.col("members") > NEIGHBOURS + 2))
+    return met.select("key", "members", "node", "others")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """meetings -> (a, b) with a > b: pairs to be verified."""
+    return met.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
+
+
+def unsettled(met: DataFrame, rooted: DataFrame) -> DataFrame:
+    """node, root of the documents with a key of which not all documents met, nor are in one component. met: meetings;
+    rooted: node, root."""
+    inside = written(met.where(F.col("members") > NEIGHBOURS + 2).select("key", "node").join(rooted, "node"), "full_keys")
+    open_ = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    found = lookup(inside, written(open_.select("key", "members"), "open_keys"), "key", "members", inside.count())
+    return found.select("node", "root").distinct()
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = _distinct_shingles(batch.column(2)[i].as_py())
+            same = lambda c: batch.column(c).take(pa.array(np.full(len(found), i)))
+            yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(found.view(np.int64)), pa.array(np.full(len(found), len(found)))], names=["node", "root", "shingle", "size"])
+
+
+def rare_pairs(texts: DataFrame) -> DataFrame:
+    """texts(node, root, text) -> (a, b) of different roots that share one of the rarest shingles of both: of n, the first
+    n - ceil(SIMILAR * n) + 1 by rising frequency. No pair of SIMILAR or more is missing."""
+    rows = written(texts.mapInArrow(_shingle_rows, "node long, root long, shingle long, size long"), "shingles")
+    often = written(rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")), "shingle_counts")
+    met = lookup(rows, often, "shingle", "often", rows.count())
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    first = met.withColumn("nth", nth).where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * SIMILAR) + 1) & (F.col("low") < F.col("high")))
+    first = written(first.select("node", "root", "shingle", "size"), "rare_shingles")
+    one, two = (first.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("size").alias(f"size_{n}"), "shingle") for n in ("a", "b"))
+    pairs = one.join(two, "shingle").where((F.col("root_a") > F.col("root_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * SIMILAR))
+    return pairs.select("a", "b").distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,17 +323,40 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are SIMILAR or more. rows(node, text): each node at least once."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "candidate_texts")
+    sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+    found = written(both.mapInArrow(_verified, "a long, b long"), "alike")
+    forget(texts)
+    return found
+
+
+def _rooted(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    return nodes.join(stars.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("b", "node")).drop("b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id (smallest doc_id of the component)."""
+    """One row per row of docs: doc_id, component_id (smallest doc_id of the component), node (hash of the text) and kept:
+    whether it has the component's smallest id and, of several texts with that id or of none with an id, the least node."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
     facts = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, node long, bits binary"), "wide_fingerprints")
     nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
-    pairs = written(candidates(nodes, nodes.count()), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "candidate_texts")
-    sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    stars = components(both.mapInArrow(_verified, "a long, b long"))
-    rooted = nodes.join(stars.withColumnRenamed("a", "node"), "node", "left").select("node", "first", "members", F.coalesce("b", "node").alias("root"))
-    return _named(facts.select("doc_id", "node"), nodes, rooted, "node").select("doc_id", "component_id")
+    n = nodes.count()
+    met = written(meetings(nodes, n), "meetings")
+    stars = components(_alike(written(candidates(met), "candidates"), rows))
+    rest = written(unsettled(met, _rooted(nodes, stars).select("node", "root")), "unsettled")
+    forget(met)
+    if not rest.isEmpty():
+        texts = rows.join(rest, "node").groupBy("node", "root").agg(F.min("text").alias("text"))
+        more = _alike(written(rare_pairs(texts), "rare_pairs"), rows)
+        stars = components(stars.union(more))
+    rooted = _rooted(nodes, stars)
+    best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("best")
+    ids = rooted.groupBy("root").agg(best, F.count("*").alias("fps")).select("root", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node"), "fps")
+    named = written(lookup(rooted, written(ids, "roots"), "root", "fps", n).select("node", "component_id", "kept_node", "members"), "named")
+    found = lookup(facts.select("doc_id", "node"), named, "node", "members", facts.count())
+    return found.select("doc_id", "component_id", "node", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("kept_node"))).alias("kept"))

@@ -43,7 +43,7 @@ def test_stage_drops_near_copies(spark):
     assert linked > 300 and all(want[i] == want[c] for i, c in got.items())  # nothing links that should not
     removed, all_ = sum(c < i for i, c in got.items()), sum(w < i for i, w in enumerate(want))
     assert removed >= 0.9 * all_
-    kept = {r.doc_id for r in corpus_pipeline.distinct_fingerprints(spark, docs(spark, texts), "").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.distinct_near_copies(spark, docs(spark, texts), "").collect()}
     assert kept == {i for i, c in got.items() if c == i}
     by_bits = sum(r.component_id < r.doc_id for r in simhash.near_duplicates(docs(spark, texts)).collect())
     print("removed", removed, "of", all_, "; within 4 bits", by_bits)
@@ -53,7 +53,7 @@ def test_hot_group(spark):
     base = " ".join(f"w{i}" for i in range(200))
     d = docs(spark, [f"{base} x{i}" for i in range(600)] + ["other words that stand here alone"])
     nodes = d.select("doc_id", "text").selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
-    assert simhash.candidates(nodes, 601).count() < 600 * 60
+    assert simhash.candidates(simhash.meetings(nodes, 601)).count() < 600 * 60
     assert {r.component_id for r in simhash.similar_documents(d).collect()} == {0, 600}
     assert simhash.similar_documents(d.where("false")).count() == 0
 
