@@ -6,8 +6,8 @@ masked one and gives a distribution over classes, as a group of classes and a cl
 class a word has its share of the class's occurrences in the corpus, n(word) / (n(class) + 1), and what is left over is
 for words that the corpus lacks, spelled byte by byte. So every word has a probability in every context, and the sum over
 all words is 1. A document's score is the sum of its tokens' log-probabilities, each masked in turn and predicted from
-both sides. The counts of all words are a distributed table that grows with the corpus and is joined to the documents'
-words.
+both sides. The counts of all words are a distributed table that grows with the corpus. Those of the KNOWN most frequent
+words are broadcast; the documents' other words are joined with the table.
 
 Counts cover all documents, and so does training: each position is a target in one of the ROUNDS, which take turns with
 blocks of BATCH positions. In a round every task starts from the shared weights and takes an Adam step on each block, and
@@ -32,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import forget, lookup, written
+from pulseframe.llm.common import forget, written
 from pulseframe.llm.words import columns, mix
 
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 SHARED = 128  #: classes of the words that are no class of their own
 WORDS = CLASSES - SHARED
+KNOWN = 1 << 20  #: words whose counts every task holds, 16 bytes each, at most
 EDGE = CLASSES  #: what stands before the first and behind the last token
 REACH, HIDDEN = 2, 32
 STARTS = (*range(REACH), *range(REACH + 1, 2 * REACH + 1))  #: of a position's places, counted from the first
@@ -165,29 +166,58 @@ def _groups(ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield g, int(ends[g]), int(ends[g + 1])
 
 
+@dataclass
+class Vocabulary:
+    """The most frequent words."""
+
+    hashes: np.ndarray  #: sorted
+    classes: np.ndarray  #: of those that are classes of their own, else -1
+    logs: np.ndarray  #: of their counts
+
+    def look_up(self, w) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of a chunk (words.Words): the class, and the log of its count in a shared class, 0 in one of its
+        own, NaN of a word that isn't here."""
+        hashes = w.hashes()
+        last = w.text[w.at + w.size - 1].astype(np.uint64)
+        before = np.where(w.size > 1, w.text[np.maximum(w.at + w.size - 2, 0)], 0).astype(np.uint64)
+        classes = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(SHARED)).astype(np.int64)
+        logs = np.full(len(hashes), np.nan)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            here = self.hashes[place] == hashes
+            own = here & (self.classes[place] >= 0)
+            classes = np.where(own, self.classes[place], classes)
+            logs[here] = self.logs[place[here]]
+            logs[own] = 0.0
+        return classes.astype("<u2"), logs
+
+
 @dataclass
 class Model:
-    words: list[int]  #: hashes of the words that are classes of their own, most frequent first
+    vocabulary: Vocabulary
     network: Network
     class_counts: np.ndarray
     counts: DataFrame  #: word (hash), total: all words of the corpus
 
 
-class Vocabulary:
-    def __init__(self, words: list[int]):
-        hashes = np.array(words, np.int64).view(np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = np.append(hashes[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
-
-    def classes(self, w) -> np.ndarray:
-        """Of the words of a chunk (words.Words)."""
-        hashes = w.hashes()
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        last = w.text[w.at + w.size - 1].astype(np.uint64)
-        before = np.where(w.size > 1, w.text[np.maximum(w.at + w.size - 2, 0)], 0).astype(np.uint64)
-        shared = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(SHARED)).astype(np.int64)
-        known = (self.hashes[place] == hashes) & (place < len(self.order))
-        return np.where(known, np.append(self.order, 0)[place], shared).astype("<u2")
+def vocabulary_of(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """counts(word, total): words from some frequency up, as many as fit. A histogram finds that frequency."""
+    level = F.floor(F.log2("total") * 16)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # 16 a doubling
+    taken, least = 0, None
+    for r in sizes:
+        taken += r.n
+        if taken > known:
+            break
+        least = r.level
+    chosen = counts.where(level >= (least if least is not None else 1 << 20)).toArrow()
+    words, totals = chosen["word"].to_numpy(), chosen["total"].to_numpy()
+    classes = np.full(len(words), -1, np.int32)
+    own = np.lexsort((words, -totals))[:WORDS]
+    classes[own] = np.arange(len(own))
+    hashes = words.view(np.uint64)
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], classes[order], np.log(totals[order]).astype(np.float32))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -202,21 +232,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("total"))
 
 
-def tokenised(docs: DataFrame, words: list[int]) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, tokens: two bytes each; row: a number of its own, once the table is written; uses: of
-    each different word in a shared class, its hash, times in the document, and bytes."""
+def tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, tokens: two bytes each; row: a number of its own, once the table is written; known:
+    the sum of the logs of its known words' counts; uses: of each other word, its hash, times in the document, and bytes."""
     use = pa.struct([("word", pa.int64()), ("n", pa.int32()), ("size", pa.int32())])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, row = Vocabulary(words), TaskContext.get().partitionId() << 33
+        vocabulary, row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in columns(pc.ascii_lower(batch.column(1))):
-                classes = vocabulary.classes(w)
+                classes, logs = vocabulary.look_up(w)
                 tokens = memoryview(classes.tobytes())
                 found = pa.array([bytes(tokens[2 * a : 2 * b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
-                of = np.repeat(np.arange(len(found)), np.diff(w.begin))
-                shared = classes >= WORDS
-                of, hashes, size = of[shared], w.hashes()[shared].view(np.int64), w.size[shared]
+                of, other = np.repeat(np.arange(len(found)), np.diff(w.begin)), np.isnan(logs)
+                known = np.bincount(of[~other], logs[~other], len(found))
+                of, hashes, size = of[other], w.hashes()[other].view(np.int64), w.size[other]
                 order = np.lexsort((hashes, of))
                 of, hashes, size = of[order], hashes[order], size[order]
                 at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))[: len(of)])
@@ -225,9 +256,9 @@ def tokenised(docs: DataFrame, words: list[int]) -> DataFrame:
                 uses = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(len(found) + 1)).astype(np.int32)), values)
                 rows = pa.array(np.arange(row, row + len(found)))
                 row += len(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(found)), found, rows, uses], names=["doc_id", "tokens", "row", "uses"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(found)), found, rows, pa.array(known), uses], names=["doc_id", "tokens", "row", "known", "uses"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, row long, uses array<struct<word: long, n: int, size: int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary, row long, known double, uses array<struct<word: long, n: int, size: int>>")
 
 
 def class_counts(tokens: DataFrame) -> np.ndarray:
@@ -303,8 +334,8 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def by_class(tokens: DataFrame, model: Model) -> DataFrame:
-    """tokens(doc_id, row, tokens) -> doc_id, row, n_tokens, log_prob: the sum of log P(class), less log(n(class) + 1) of
-    the tokens in shared classes."""
+    """tokens(doc_id, row, known, tokens) -> doc_id, row, n_tokens, log_prob: the sum of log P(class) and of the logs of
+    known words' counts, less log(n(class) + 1) of the tokens in shared classes."""
     share = np.where(np.arange(CLASSES) < WORDS, 0.0, -np.log(model.class_counts + 1))
     shared = tokens.sparkSession.sparkContext.broadcast((model.network, share))
 
@@ -312,7 +343,7 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
         net, share = shared.value
         for batch in batches:
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for first, stream, begin in _streams(batch.column(2)):
+            for first, stream, begin in _streams(batch.column(3)):
                 logs = np.zeros(len(stream) + 1)
                 for i in range(0, len(stream) - 2 * REACH, BLOCK):
                     piece = stream[i : i + BLOCK + 2 * REACH]
@@ -324,18 +355,17 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
                 counts[first : first + n] = np.diff(begin) - REACH
                 for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
                     sums[first + k] = logs[a + 1 : b + 1].sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(sums)], names=["doc_id", "row", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(sums + batch.column(2).to_numpy())], names=["doc_id", "row", "n_tokens", "log_prob"])
 
-    return tokens.select("doc_id", "row", "tokens").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
+    return tokens.select("doc_id", "row", "known", "tokens").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
 
 
-def within_classes(tokens: DataFrame, counts: DataFrame, total: float) -> DataFrame:
-    """row, within: the sum of log n(word) over a document's words in shared classes, and of log P(spelling) over those
-    that the corpus lacks. total: words of the corpus."""
+def within_classes(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """row, within: the sum of log n(word) over a document's words that aren't known, and of log P(spelling) over those
+    that the corpus lacks. No such word is frequent, so none is a hot key."""
     uses = tokens.select("row", F.explode("uses").alias("use")).select("row", "use.*")
-    met = lookup(uses, counts, "word", "total", int(total)).select("row", (F.col("n") * F.log("total")).alias("log"))
-    lacking = uses.join(counts.select("word"), "word", "left_anti").select("row", (-F.col("n") * (F.col("size") + 1) * F.log(F.lit(BYTES))).alias("log"))
-    return met.unionByName(lacking).groupBy("row").agg(F.sum("log").alias("within"))
+    log = F.coalesce(F.log("total"), -(F.col("size") + 1) * F.log(F.lit(BYTES)))
+    return uses.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * log).alias("within"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -344,19 +374,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _trained(rows: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(rows), "word_counts")
-    words = [r.word for r in counts.orderBy(F.desc("total"), "word").limit(WORDS).collect()]
-    tokens = written(tokenised(rows, words), "tokens")
+    vocabulary = vocabulary_of(counts)
+    tokens = written(tokenised(rows, vocabulary), "tokens")
     n = class_counts(tokens)
     network = Network.start(n)
     for number in range(ROUNDS):
         weights, _ = train_round(even(tokens, n.sum()), network, number)
         network = network.like(weights)
-    return Model(words, network, n, counts), tokens
+    return Model(vocabulary, network, n, counts), tokens
 
 
 def _scored(tokens: DataFrame, model: Model) -> DataFrame:
-    total = model.class_counts.sum()
-    found = by_class(even(tokens, total, "doc_id"), model).join(within_classes(tokens, model.counts, total), "row", "left")
+    found = by_class(even(tokens, model.class_counts.sum(), "doc_id", "known"), model).join(within_classes(tokens, model.counts), "row", "left")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     found = found.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("within", F.lit(0.0))).alias("log_prob"))
     return found.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
@@ -373,5 +402,5 @@ def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", t
     if model is None:
         model, tokens = _trained(rows)
     else:
-        tokens = written(tokenised(rows, model.words), "tokens")
+        tokens = written(tokenised(rows, model.vocabulary), "tokens")
     return _scored(tokens, model)
