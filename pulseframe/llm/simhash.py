@@ -16,9 +16,8 @@ or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many f
 each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
 and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. In a table, each document meets the
 first one of its key and the NEIGHBOURS before it, so a hot key gives no square of pairs, and every candidate is verified
-by the true similarity of the two texts. Where a key has more documents than meet each other, and these don't all
-fall into one component by then, its documents go through an exact join as well: two sets that are 0.8 alike share one of
-the rarest fifth of either's shingles, so documents meet by these, what is left is a few pairs of different components.
+by the true similarity of the two texts. Links within one key that
+neither the first nor the nearest ones have are left to the other tables; README tells the recall.
 
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
@@ -264,53 +263,14 @@ def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long")
 
 
-def meetings(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> key, members (of the key), node, others (smaller nodes of the key that
-    it meets, less those that are FAR), where there are any or the key has members that don't meet."""
+def candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> (a, b) with a > b: pairs to be verified."""
     held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
-    whole = Window.partitionBy("key")
-    order = whole.orderBy("node")
+    order = Window.partitionBy("key").orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
-    met = held.withColumn("others", F.array(*others)).withColumn("members", F.count("*").over(whole))
-    close = F.filter("others", lambda x: (x["node"] < F.col("node")) & (distance(F.col("fp"), x["fp"]) <= FAR))
-    met = met.withColumn("others", F.transform(close, lambda x: x["node"])).where((F.size("others") > 0) | (F.col("members") > NEIGHBOURS + 2))
-    return met.select("key", "members", "node", "others")
-
-
-def candidates(met: DataFrame) -> DataFrame:
-    """meetings -> (a, b) with a > b: pairs to be verified."""
-    return met.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
-
-
-def unsettled(met: DataFrame, rooted: DataFrame) -> DataFrame:
-    """node, root of the documents with a key of which not all documents met, nor are in one component. met: meetings;
-    rooted: node, root."""
-    inside = written(met.where(F.col("members") > NEIGHBOURS + 2).select("key", "node").join(rooted, "node"), "full_keys")
-    open_ = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
-    found = lookup(inside, written(open_.select("key", "members"), "open_keys"), "key", "members", inside.count())
-    return found.select("node", "root").distinct()
-
-
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            found = _distinct_shingles(batch.column(2)[i].as_py())
-            same = lambda c: batch.column(c).take(pa.array(np.full(len(found), i)))
-            yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(found.view(np.int64)), pa.array(np.full(len(found), len(found)))], names=["node", "root", "shingle", "size"])
-
-
-def rare_pairs(texts: DataFrame) -> DataFrame:
-    """texts(node, root, text) -> (a, b) of different roots that share one of the rarest shingles of both: of n, the first
-    n - ceil(SIMILAR * n) + 1 by rising frequency. No pair of SIMILAR or more is missing."""
-    rows = written(texts.mapInArrow(_shingle_rows, "node long, root long, shingle long, size long"), "shingles")
-    often = written(rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")), "shingle_counts")
-    met = lookup(rows, often, "shingle", "often", rows.count())
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    first = met.withColumn("nth", nth).where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * SIMILAR) + 1) & (F.col("low") < F.col("high")))
-    first = written(first.select("node", "root", "shingle", "size"), "rare_shingles")
-    one, two = (first.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"), F.col("size").alias(f"size_{n}"), "shingle") for n in ("a", "b"))
-    pairs = one.join(two, "shingle").where((F.col("root_a") > F.col("root_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * SIMILAR))
-    return pairs.select("a", "b").distinct()
+    met = held.select("node", "fp", F.array(*others).alias("others")).select("node", "fp", F.explode("others").alias("other"))
+    close = met.where((F.col("other.node") < F.col("node")) & (distance(F.col("fp"), F.col("other.fp")) <= FAR))
+    return close.select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,14 +306,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     facts = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, node long, bits binary"), "wide_fingerprints")
     nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
     n = nodes.count()
-    met = written(meetings(nodes, n), "meetings")
-    stars = components(_alike(written(candidates(met), "candidates"), rows))
-    rest = written(unsettled(met, _rooted(nodes, stars).select("node", "root")), "unsettled")
-    forget(met)
-    if not rest.isEmpty():
-        texts = rows.join(rest, "node").groupBy("node", "root").agg(F.min("text").alias("text"))
-        more = _alike(written(rare_pairs(texts), "rare_pairs"), rows)
-        stars = components(stars.union(more))
+    stars = components(_alike(written(candidates(nodes, n), "candidates"), rows))
     rooted = _rooted(nodes, stars)
     best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("best")
     ids = rooted.groupBy("root").agg(best, F.count("*").alias("fps")).select("root", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node"), "fps")
