@@ -246,7 +246,7 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 tokens = memoryview(classes.tobytes())
                 found = pa.array([bytes(tokens[2 * a : 2 * b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
                 of, other = np.repeat(np.arange(len(found)), np.diff(w.begin)), np.isnan(logs)
-                known = np.bincount(of[~other], logs[~other], len(found))
+                known = np.bincount(of[~other], logs[~other], len(found)).astype(np.float64)
                 of, hashes, size = of[other], w.hashes()[other].view(np.int64), w.size[other]
                 order = np.lexsort((hashes, of))
                 of, hashes, size = of[order], hashes[order], size[order]

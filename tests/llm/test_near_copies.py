@@ -1,12 +1,9 @@
 """Near copies against brute force."""
 
-from collections import Counter
-
 import numpy as np
 
 import corpus_pipeline
 from pulseframe.llm import simhash
-from tests.llm import test_pipeline
 from tests.llm.test_text_operators import docs
 
 
@@ -58,16 +55,9 @@ def test_hot_group(spark):
     assert simhash.similar_documents(d.where("false")).count() == 0
 
 
-def test_pipeline_with_similar_documents(spark, monkeypatch):
-    """test_pipeline's plain version with all pairs by similarity in place of those within 4 bits."""
-    def closest(texts):
-        ids = sorted(texts)
-        root, _ = groups([texts[i] for i in ids])
-        return {i: ids[r] for i, r in zip(ids, root)}
-
-    monkeypatch.setattr(test_pipeline, "fingerprint", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "closest", closest)
-    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{test_pipeline.SF}/documents.parquet").collect()]
-    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{test_pipeline.SF}/labels.parquet").collect()]
-    found = Counter(r.doc_id for r in corpus_pipeline.run(spark, test_pipeline.SF).collect())
-    assert found == test_pipeline.by_hand(rows, labels)
+def test_hot_roots(spark):
+    """Components by both ways to join, of a star, a chain, and pairs."""
+    edges = [(i, 0) for i in range(1, 40)] + [(i, i - 1) for i in range(101, 130)] + [(200, 201), (5, 5)]
+    d = spark.createDataFrame(edges, "a long, b long")
+    one, two = ({r.a: r.b for r in simhash.components(d, hot=hot).collect()} for hot in (10**6, 1))
+    assert one == two == {i: 0 for i in range(1, 40)} | {i: 100 for i in range(101, 130)} | {201: 200}

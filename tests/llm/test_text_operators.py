@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+import pyarrow as pa
+import zstandard
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
@@ -56,8 +58,6 @@ def test_sql(spark, name):
 # Words
 
 def test_words(spark):
-    import pyarrow as pa
-
     column = pa.array([*ODD, "two  words"])
     got = [w.joined(i) for w in words.columns(column) for i in range(len(w.begin) - 1)]
     assert got == [b" ".join((t or "").encode().split()) for t in column.to_pylist()]
@@ -87,31 +87,118 @@ def test_langid_edges(spark):
     assert langid.identify(d.where("false"), model).count() == 0
 
 
+def test_langid_learns_all(spark):
+    """300 languages; long labelled texts, whose language shows behind their beginning only; rows without text."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: alphabet[k % 26] * 2 + alphabet[k // 26 % 26] + str(k) + alphabet[(i * 7 + k) % 26]
+    rows = [(k, " ".join(word(k, i) for i in range(40)), f"l{k:03d}") for k in range(300)]
+    rows += [(1000 + i, ("shared header of all documents " * 30) + w, lang) for i, (w, lang) in enumerate((("guten tag die leute sind hier " * 60, "xx"), ("bonjour les gens sont la " * 60, "yy")))]
+    rows += [(2000 + i, None, "xx") for i in range(900)] + [(3000, "", "zz")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5, budget=600_000)
+    assert len(model) == 302 and len(model["xx"]) > 1000 and sum(map(len, model.values())) < 700_000
+    classifier = langid.Classifier(model)
+    assert classifier.predict("guten tag die leute sind hier")[0] == "xx" and classifier.predict("bonjour les gens sont la")[0] == "yy"
+    assert sum(classifier.predict(t)[0] == lang for _, t, lang in rows[:300]) > 290
+
+
+def test_langid_equals_plain_sizes(spark, corpus, texts):
+    model = langid.train(corpus, sample=50, dictionary=20_000)
+    samples = [*list(texts.values())[:30], "ab " * 40_000, "x"]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, samples), model).collect()}
+    for i, t in enumerate(samples):
+        if not t or not any(c.isalpha() for c in t):
+            continue
+        sizes = {}
+        for lang, content in model.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            settings = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(content), window_log=max(17, (len(content) + 4000).bit_length()), write_checksum=False, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=settings)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress(t.lower()[a : a + 1000].encode())) for a in range(0, len(t.lower()), 1000))
+        assert got[i].lang_pred == min(sizes, key=sizes.get) and got[i].rejected == ((sorted(sizes.values())[1] - min(sizes.values())) / min(sizes.values()) < langid.MARGIN)
+    twice = docs(spark, ["the same text", "the same text"], ids=[1, 1])
+    assert len({tuple(r) for r in langid.identify(twice, model).collect()}) == 1
+
+
 # Language model
 
+def plain_scores(texts, model, totals):
+    """Log-probabilities of whole texts, a position and a class at a time."""
+    net, voc = model.network, model.vocabulary
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    out = []
+    for t in texts:
+        chunk = next(words.columns(pa.array([(t or "").encode().lower().decode()])))
+        classes, hashes, total = voc.look_up(chunk)[0].astype(int), chunk.hashes().view(np.int64).tolist(), 0.0
+        padded = [lm_scoring.EDGE] * 2 + classes.tolist() + [lm_scoring.EDGE] * 2
+        for i, c in enumerate(classes):
+            around = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
+            h = np.tanh(net.bias + sum(net.embed[n] @ w for n, w in zip(around, net.near)))
+            g = c // lm_scoring.MEMBERS
+            total += np.log(softmax(h @ net.group + net.group_prior)[g]) + np.log(softmax(h @ net.member[g] + net.member_prior[g])[c % lm_scoring.MEMBERS])
+            if c >= lm_scoring.WORDS:
+                n = totals.get(hashes[i])
+                total += (np.log(n) if n else -(chunk.size[i] + 1) * np.log(256)) - np.log(model.class_counts[c] + 1)
+        out.append((len(classes), total))
+    return out
+
+
+@pytest.mark.parametrize("known", [lm_scoring.KNOWN, 1000])
+def test_lm_equals_plain_python(spark, corpus, texts, known, monkeypatch):
+    """Of the corpus, and of texts with words that it lacks; most words' counts by the join, where few are known."""
+    monkeypatch.setattr(lm_scoring.vocabulary_of, "__defaults__", (known,))
+    model = lm_scoring.train(corpus)
+    totals = {r.word: r.total for r in model.counts.collect()}
+    samples = [*list(texts.values())[:6], None, "", "entirelyunheardof wordzzz", *ODD[2:5]]
+    got = {r.doc_id: r for r in lm_scoring.score(docs(spark, samples), model).collect()}
+    for i, (n, total) in enumerate(plain_scores(samples, model, totals)):
+        assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_lm_is_a_distribution_and_learns(spark, corpus):
-    tokens = lm_scoring.tokenised(corpus.select("doc_id", "text"), [r.word for r in lm_scoring.word_counts(corpus).orderBy(F.desc("n"), "word").limit(lm_scoring.WORDS).collect()])
-    counts = lm_scoring.class_counts(tokens)
-    start = lm_scoring.Network.start(counts)
-    weights, seen = lm_scoring.train_round(tokens, start, 0)
-    net = start.like(weights)
-    held = np.frombuffer(b"".join(r.tokens for r in tokens.where("doc_id < 5").collect()), np.uint8)
-    _, logs = net.forward(lm_scoring.contexts(held, np.zeros(len(held), int), np.arange(len(held))))
-    assert seen > 0 and np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
-    loss = [lm_scoring.scored(tokens, n).agg(F.sum("log_prob")).first()[0] for n in (start, net)]
+    counts = lm_scoring.written(lm_scoring.word_counts(corpus), "counts")
+    vocabulary = lm_scoring.vocabulary_of(counts)
+    tokens = lm_scoring.written(lm_scoring.tokenised(corpus.select("doc_id", "text"), vocabulary), "tokens")
+    n = lm_scoring.class_counts(tokens)
+    start = lm_scoring.Network.start(n)
+    rounds = [lm_scoring.train_round(tokens, start, k) for k in range(lm_scoring.ROUNDS)]
+    assert sum(seen for _, seen in rounds) == n.sum()  # every position is a target in one round
+    net = start.like(rounds[0][0])
+    hidden = np.repeat(net.read(np.array([1, 2, 3, 4, 5], "<u2"))[1], lm_scoring.CLASSES, axis=0)
+    assert np.exp(net.log_probabilities(hidden, np.arange(lm_scoring.CLASSES))).sum() == pytest.approx(1, abs=1e-3)
+    in_class = {}
+    shared = set(vocabulary.hashes[vocabulary.classes >= 0].view(np.int64).tolist())
+    for r in counts.collect():
+        if r.word not in shared:
+            in_class[0] = in_class.get(0, 0) + r.total
+    assert in_class.get(0, 0) == n[lm_scoring.WORDS :].sum()  # n(word) / (n(class) + 1) leaves 1 / (n(class) + 1) for other words
+    loss = [lm_scoring._scored(tokens, lm_scoring.Model(vocabulary, x, n, counts)).agg(F.sum("log_prob")).first()[0] for x in (start, net)]
     assert loss[1] > loss[0]
-    share = counts / counts.sum()
-    assert loss[1] / counts.sum() > (share[share > 0] * np.log(share[share > 0])).sum()
+
+
+def test_lm_averages_tasks(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    tokens = lm_scoring.written(lm_scoring.tokenised(corpus.select("doc_id", "text").repartition(5, "doc_id"), lm_scoring.vocabulary_of(lm_scoring.word_counts(corpus))), "tokens")
+    start = lm_scoring.Network.start(lm_scoring.class_counts(tokens))
+    weights, seen = lm_scoring.train_round(tokens.repartition(5, "row"), start, 0)
+    parts = [lm_scoring.train_round(tokens.where(F.pmod(F.hash("row"), F.lit(5)) == k).repartition(1), start, 0) for k in range(5)]
+    assert seen > 0 and abs(seen - sum(s for _, s in parts)) < 0.05 * seen and np.abs(weights - sum(w * s for w, s in parts) / sum(s for _, s in parts)).max() < 0.05
 
 
 def test_lm_gradient():
     rng = np.random.default_rng(0)
     net = lm_scoring.Network.start(rng.integers(1, 9, lm_scoring.CLASSES).astype(float))
-    wide = lm_scoring.Network(*(getattr(net, f).astype(np.float64) for f in ("near", "bias", "out", "prior")))
-    context, target = rng.integers(0, lm_scoring.CLASSES, (20, 4)), rng.integers(0, lm_scoring.CLASSES, 20)
-    loss = lambda n: -n.forward(context)[1][np.arange(20), target].mean()
-    g = wide.gradient(context, target)
-    for name, at in (("near", (1, context[3, 1], 5)), ("bias", (7,)), ("out", (3, target[0])), ("prior", (target[0],))):
+    wide = lm_scoring.Network(*(getattr(net, f).astype(np.float64) for f in ("embed", "near", "bias", "group", "group_prior", "member", "member_prior")))
+    stream = rng.integers(0, 40, 70).astype("<u2")
+    stream[30] = lm_scoring.EDGE
+
+    def loss(n):
+        target = stream[2:-2].astype(int)
+        at = np.flatnonzero(target != lm_scoring.EDGE)
+        return -n.log_probabilities(n.read(stream)[1][at], target[at]).mean()
+
+    g, n = wide.gradient(stream)
+    assert n == 65
+    for name, at in (("embed", (stream[5], 3)), ("near", (1, 4, 5)), ("bias", (7,)), ("group", (3, 0)), ("group_prior", (1,)), ("member", (0, 4, 5)), ("member_prior", (1, 3))):
         x = getattr(wide, name)
         x[at] += 1e-5
         up = loss(wide)
@@ -127,8 +214,6 @@ def test_lm_scores(spark):
     assert [got[i].n_tokens for i in range(4)] == [0, 0, 0, 1] and got[0].log_prob == 0 and got[0].mean_log_prob is None
     assert got[5].n_tokens == 30_000 and got[7].log_prob == pytest.approx(got[8].log_prob) and got[7].log_prob < 0
     assert lm_scoring.score(d.where("false")).count() == 0
-    a, b = (np.array([1, 2, 3, 0]), np.array([0, 0, 0, 1]))
-    assert lm_scoring.contexts(a, b, np.array([0, 3])).tolist() == [[lm_scoring.EDGE] * 2 + [2, 3], [lm_scoring.EDGE] * 4]
 
 
 # Exact deduplication
@@ -139,19 +224,47 @@ def test_exact_dedup(spark):
     assert got == [(1, 2, 5, False), (2, 2, 5, True), (3, 3, 1, True), (4, 4, 1, True), (5, 2, 5, False), (6, 9, 3, False), (7, 9, 3, False), (8, 2, 5, False), (8, 2, 5, False), (9, 9, 3, True)]
 
 
+@pytest.mark.parametrize("batches", [1, 4])
+def test_whole_table(spark, batches):
+    long, before = "y " * 200_000, len(spark.catalog.listTables())
+    d = docs(spark, ["a b", "ab", " a\tb ", None, "", long, long + " ", "z"], ids=[5, 1, 2, 7, 6, 3, 4, 8])
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicated(clash(d), batches=batches).collect()}
+    assert got == {(5, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (7, 6, 2, False), (6, 6, 2, True), (3, 4, 2, False), (4, 4, 2, True), (8, 8, 1, True)}
+    assert exact_dedup.deduplicated(d.where("false")).count() == 0 and len(spark.catalog.listTables()) == before
+
+
 def test_index_is_persistent(spark):
     index = exact_dedup.DigestIndex(spark, buckets=2)
-    assert index.ingest(docs(spark, ["a", "b"])).where("kept").count() == 2
-    again = exact_dedup.DigestIndex(spark, index.location, buckets=2)
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.ingest(docs(spark, ["b", "c"], ids=[10, 11])).collect())
-    assert got == [(10, 1, 2, False), (11, 11, 1, True)] and again.entries().count() == 3
-    assert again.ingest(docs(spark, ["a"]).where("false")).count() == 0
+    first = docs(spark, ["a", "b"])
+    assert index.ingest(first).where("kept").count() == 2
+    again = exact_dedup.DigestIndex(spark, index.location, buckets=64)  # keeps the buckets it was made with
+    told = lambda x: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.ingest(x).collect())
+    assert again.buckets == 2 and told(docs(spark, ["b", "c"], ids=[10, 11])) == [(10, 1, 1, False), (11, 11, 1, True)] and again.entries().count() == 3
+    # a batch that comes again, whole or with another, changes nothing
+    assert told(first) == [(0, 0, 1, True), (1, 1, 1, True)] and again.entries().count() == 3
+    assert told(first.union(docs(spark, ["d"], ids=[12]))) == [(0, 0, 1, True), (1, 1, 1, True), (12, 12, 1, True)]
+    # a longer text that comes later takes over; what is replaced goes when the index is compacted
+    assert told(docs(spark, ["a "], ids=[13])) == [(13, 13, 1, True)] and told(first) == [(0, 13, 1, False), (1, 1, 1, True)]
+    small = again.compacted()
+    assert again.entries().count() == 5 and small.entries().count() == 4 and sorted(r.keep_id for r in small.entries().collect()) == [1, 11, 12, 13]
+    assert again.ingest(first.where("false")).count() == 0
+    for x in (index, again, small):
+        x.close()
+
+
+def test_append_without_verdicts(spark):
+    """A job that dies behind the append and runs again keeps the same documents."""
+    index, d = exact_dedup.DigestIndex(spark, buckets=2), docs(spark, ["a", "a ", "b"])
+    index.add(exact_dedup.written(exact_dedup.digested(d), "facts"))
+    assert sorted(r.doc_id for r in index.ingest(d).where("kept").collect()) == [1, 2] and index.entries().count() == 2
+    index.close()
 
 
 def test_null_ids(spark):
     d = spark.createDataFrame([(None, "a"), (3, "a"), (None, "b")], "doc_id long, text string")
     got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.DigestIndex(spark, buckets=2).ingest(d).collect()}
     assert got == {(None, 3, False), (3, 3, True), (None, None, True)}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()} == {(None, 3), (3, 3), (None, None)}
     assert mixing.mix(d.withColumn("source", F.lit(None).cast("string"))).count() == 3
     assert {r.n_removed for r in substring_dedup.strip_repeats(spark.createDataFrame([(None, "w " * 20), (None, "w " * 20)], "doc_id long, text string")).collect()} == {0}
 
@@ -322,8 +435,29 @@ def test_toxicity_locates_sentences(spark):
     assert toxicity.score(d.where("false"), model).count() == 0 and toxicity.noisy_or([0.5, 0.5]) == pytest.approx(0.75)
 
 
+def test_toxicity_whole_texts(spark):
+    """The word that tells lies behind 60,000 characters; repeated rows, ids with several labels, other result names."""
+    filler = "Plain words stand here. " * 2600
+    d = docs(spark, [filler + (f"You grubnik {i}!" if i % 2 else f"Fine day {i}.") for i in range(60)] + [None, ""])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0)], "doc_id long, toxic int")
+    model = toxicity.train(d.union(d), labels)
+    rows = toxicity.score(d.union(d), model, names=("a", "b", "c")).collect()
+    assert len(rows) == 124 and all(r.b == (r.doc_id % 2 if r.doc_id < 60 else 0) for r in rows) and {str(r.a) for r in rows if r.doc_id > 59} == {"0.0"}
+    assert all("grubnik" in r.text[r.c[0].start : r.c[0].end] for r in rows if r.b)
+
+
 # Url filters
 
+def test_many_rules_and_odd_urls(spark):
+    """The shuffled branch gives what the broadcast one gives."""
+    rules = spark.createDataFrame([("com", "/" + "a" * n, "block") for n in range(300)] + [("x.com", "/a", "allow"), ("com", "/ab", "block"), ("com", "/ab", "allow"), ("org", "", "block")], "host string, path string, verdict string")
+    urls = ["http://x.com/aaa", "http://y.com/ab", "http://x.com/" + "a" * 100_000, "http://x.com/aaa", "http://x.com/aaa?q", "http://b.org", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one, two = (sorted((tuple(r) for r in url_filters.filter_urls(pages, rules, **kw).collect()), key=lambda r: r[0]) for kw in ({}, {"broadcast_rules": 10, "salts": 3}))
+    assert one == two and len(one) == 7
+    assert [r[3:] for r in one[:2]] == [("x.com/a", "allow"), ("com/ab", "block")] and one[2][3] == "com/" + "a" * 299 and one[5][3:] == ("org", "block") and one[0][1:] == one[3][1:]
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame(list(enumerate([None, "", "no scheme", "http://A.B.Example.ORG/es/x?y#z", "http://example.org/en/12", "http://notexample.org/es/", "x://fr.com/fr/a", "x://fr.com/de/a", "x://a#b://org/", "http://org", "http://b.org/?://com/de/"])), "page_id long, url string")
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
@@ -359,9 +493,31 @@ def test_caps(spark):
     assert got["a"] == pytest.approx(30) and got[None] == pytest.approx(60) and got["c"] == 0 and got["b"] == pytest.approx(1030 - 90)
 
 
+@pytest.mark.parametrize("broadcast_sources", [mixing.BROADCAST_SOURCES, 1])
+def test_no_source_loses_words(spark, broadcast_sources):
+    """Sources of 241, 463 and 1 words, and one without: each takes its target, to the word."""
+    d = docs(spark, ["w " * 241, "w " * 400, "w " * 63, "w", None, "w " * 63], ids=[0, 1, 2, 3, 4, 2], source=lambda i: "abbcdb"[i])
+    rows = mixing.mix(d.where("doc_id <> 2").union(d.where("doc_id = 2").limit(1)), broadcast_sources=broadcast_sources).collect()
+    taken, target = {}, {}
+    for r in rows:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+    assert set(target) == {241, 463, 1, 0} and all(abs(taken[k] - target[k]) <= 0.5 for k in target) and taken[1] == 3
+    twice = mixing.mix(d).collect()  # repeated rows are rows of their own
+    assert len(twice) == 6 and sum(r.size for r in twice) == 241 + 400 + 126 + 1
+
+
+@pytest.mark.parametrize("bits", [1, 5, 17, 40])
+def test_slots_reverse_bits(spark, bits):
+    points = [0, 1, (1 << bits) - 1, (1 << bits) // 3]
+    got = {r.p: r.slot for r in spark.createDataFrame([(p,) for p in points], "p long").select("p", mixing.slot_of(F.col("p"), bits).alias("slot")).collect()}
+    assert got == {p: int(f"{p:0{bits}b}"[::-1], 2) for p in points}
+
+
 def test_schedule_is_even(spark):
-    sources = spark.createDataFrame([(0, 0.0, 0.7, 70), (1, 0.7, 1.0, 30)], "sid long, low double, high double, blocks long")
-    got = sorted((r.slot, r.sid, r["rank"]) for r in mixing.schedule(spark, sources, 110, 2).collect())
-    for n in (10, 50, 100):
-        assert abs(sum(s == 0 for slot, s, _ in got if slot < n) - 0.7 * n) <= 2
-    assert [k for _, s, k in got if s == 1] == list(range(30))
+    sources = spark.createDataFrame([(0, 0, 70), (1, 70, 30), (2, 100, 0)], "sid long, low long, blocks long")
+    got = sorted((r.slot, r.sid, r["rank"]) for r in mixing.schedule(sources, 7).collect())
+    assert len(got) == 100 and len({slot for slot, *_ in got}) == 100
+    for n in range(1, 101):
+        assert abs(sum(s == 0 for _, s, _ in got[:n]) - 0.7 * n) <= 3
+    assert all([k for _, s, k in got if s == sid] == list(range(n)) for sid, n in ((0, 70), (1, 30)))
