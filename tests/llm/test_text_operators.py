@@ -437,7 +437,7 @@ def test_toxicity_locates_sentences(spark):
 
 def test_toxicity_whole_texts(spark):
     """The word that tells lies behind 60,000 characters; repeated rows, ids with several labels, other result names."""
-    filler = "Plain words stand here. " * 2600
+    filler = ("Plain words stand here" + " and go on" * 300 + ". ") * 20
     d = docs(spark, [filler + (f"You grubnik {i}!" if i % 2 else f"Fine day {i}.") for i in range(60)] + [None, ""])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0)], "doc_id long, toxic int")
     model = toxicity.train(d.union(d), labels)
