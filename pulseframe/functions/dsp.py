@@ -76,25 +76,50 @@ def peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.ndarray
     level = x[starts]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     found = (starts[top] + ends[top]) // 2
-    keep = np.ones(len(found), bool)
-    gap = int(np.ceil(distance))
-    for i in np.argsort(x[found], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(found - found[i]) < gap
-            near[i] = False
-            keep[near] = False
-    found = found[keep]
-    rise = np.array([_prominence(x, p) for p in found])
-    strong = rise >= prominence if len(found) else np.empty(0, bool)
+    found = found[_thinned(found, x[found], int(np.ceil(distance)))]
+    rise = _prominences(x, found)
+    strong = rise >= prominence
     return found[strong], rise[strong]
 
 
-def _prominence(x: np.ndarray, at: int) -> float:
-    higher = np.flatnonzero(x[:at] > x[at])
-    left = x[(higher[-1] + 1 if len(higher) else 0) : at + 1].min()
-    higher = np.flatnonzero(x[at + 1 :] > x[at])
-    right = x[at : (at + 1 + higher[0] if len(higher) else len(x))].min()
-    return float(x[at] - max(left, right))
+def _thinned(places: np.ndarray, heights: np.ndarray, gap: int) -> np.ndarray:
+    """Which places stay if, from the highest down (of equal ones the last first), each drops those nearer than gap. Each
+    place is dropped once, and walks end at the first one that is far, so steps are as many as places and their neighbours."""
+    keep, at = np.ones(len(places), bool), places.tolist()
+    for i in np.argsort(heights, kind="stable")[::-1].tolist():
+        if keep[i]:
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(at) and abs(at[j] - at[i]) < gap:
+                    keep[j] = False
+                    j += step
+    return keep
+
+
+def _prominences(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Heights above the higher of the lowest points on either side, up to a higher sample."""
+    if not len(places):
+        return np.empty(0)
+    left = _lowest_before_higher(x)
+    right = _lowest_before_higher(x[::-1])[::-1]
+    return x[places] - np.maximum(left[places], right[places])
+
+
+def _lowest_before_higher(x: np.ndarray) -> np.ndarray:
+    """Of each sample, the lowest one from it back to, not with, the last higher one: a stack of falling heights, each
+    with the lowest point since the one below it."""
+    heights: list[float] = []
+    lows: list[float] = []
+    out = []
+    for v in x.tolist():
+        low = v
+        while heights and heights[-1] <= v:
+            heights.pop()
+            low = min(low, lows.pop())
+        heights.append(v)
+        lows.append(low)
+        out.append(low)
+    return np.array(out)
 
 
 def welch(x: np.ndarray, rate: float, segment: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -121,11 +121,12 @@ def _value_stats(points: DataFrame, digits: int | None) -> DataFrame:
 
 
 def _with_errors(summary: DataFrame, errors: DataFrame | None) -> DataFrame:
-    """Adds ParseErrors: rows of errors(subject, ...)."""
+    """Adds ParseErrors: rows of errors(subject, ...). Subjects with errors alone get a row of nulls and zero counts."""
     if errors is None:
         return summary.withColumn("ParseErrors", F.lit(0).cast("long"))
     counts = errors.groupBy("subject").agg(F.count("*").alias("ParseErrors"))
-    return summary.join(counts, "subject", "left").withColumn("ParseErrors", F.coalesce("ParseErrors", F.lit(0)))
+    met = summary.join(counts, "subject", "full")
+    return met.withColumns({c: F.coalesce(c, F.lit(0)) for c, t in met.dtypes if t in ("bigint", "int")})
 
 
 def _flags(rules: dict[str, Column], mode_format: str, flat_mode: float) -> Column:
@@ -143,7 +144,7 @@ def gsr_summary(points: DataFrame, errors: DataFrame | None = None, rules: GsrRu
     found = _with_errors(counts.join(_value_stats(points if signal is None else signal, None), "subject", "left"), errors)
     for name, part in (("AnomalyFraction", "AnomalyRows"), ("ZeroOrOneFraction", "_low"), ("HighGe1000Fraction", "_high")):
         found = found.withColumn(name, _share(F.col(part), F.col("Rows")))
-    flags = _flags({"many_zero_or_one": F.col("ZeroOrOneFraction") >= rules.many, "many_high_ge_1000": F.col("HighGe1000Fraction") >= rules.many}, "%.1f", rules.flat_mode)
+    flags = _flags({"empty_target_rows": F.col("Rows") == 0, "many_zero_or_one": F.col("ZeroOrOneFraction") >= rules.many, "many_high_ge_1000": F.col("HighGe1000Fraction") >= rules.many}, "%.1f", rules.flat_mode)
     columns = ["Rows", "AnomalyRows", "AnomalyFraction", "Min", "P01", "Median", "P99", "Max", "ModeValue", "ModeFraction", "ZeroOrOneFraction", "HighGe1000Fraction", *GSR_COUNTS, "ParseErrors"]
     return found.select(F.col("subject").alias("Subject"), *columns, flags.alias("Flags"))
 
@@ -168,7 +169,7 @@ def ecg_summary(points: DataFrame, errors: DataFrame | None = None, rules: EcgRu
     found = _with_errors(counts.join(by_task, "subject", "left").join(_value_stats(points if signal is None else signal, 6), "subject", "left"), errors)
     for name, part in (("SeriousAnomalyFraction", "SeriousAnomalyPoints"), ("AllAnomalyFraction", "AllAnomalyPoints"), ("ExtremeFraction", "_extreme")):
         found = found.withColumn(name, _share(F.col(part), F.col("TotalPoints")))
-    flags = _flags({"many_extreme_amplitude": F.col("ExtremeFraction") >= rules.many}, "%.4f", rules.flat_mode)
+    flags = _flags({"empty_target_rows": F.col("TotalPoints") == 0, "many_extreme_amplitude": F.col("ExtremeFraction") >= rules.many}, "%.4f", rules.flat_mode)
     columns = ["TotalPoints", "SeriousAnomalyPoints", "SeriousAnomalyFraction", "AllAnomalyPoints", "AllAnomalyFraction", "AnomalyRows", *[f"{t}_{k}" for k in ("SeriousFrac", "AllFrac") for t in tasks]]
     columns += ["Min", "P01", "Median", "P99", "Max", "ModeValue", "ModeFraction", "ExtremeFraction", *ECG_COUNTS, "ParseErrors"]
     return found.select(F.col("subject").alias("Subject"), *columns, flags.alias("Flags"))

@@ -8,29 +8,38 @@ from pyspark.sql import functions as F
 from pulseframe.sources.tables import settled
 
 BUCKETS = 1024
+LARGEST = 1 << 20  #: different values sorted in one task
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, asked: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
     """Exact quantiles with linear interpolation (name -> share) of the non-null values of each group, and their number
-    as n. Values are counted first; then equal-width buckets find where the wanted ranks lie, and only these are sorted,
-    so no group meets in one task. Values must be finite."""
+    as n. Values are counted first; then equal-width buckets find where the wanted ranks lie, and only these are sorted.
+    A wanted bucket of more than `largest` different values (one far outlier is enough for that) is cut into buckets
+    again, between its own extremes, so no group meets in one task. Values must be finite."""
     counts = settled(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
-    ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("n"))
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS), F.lit(BUCKETS - 1)))
-    placed = counts.join(ranges, keys).withColumn("_bucket", F.coalesce(place, F.lit(0)).cast("int")).drop("_low", "_high")
-    sizes = placed.groupBy(*keys, "_bucket", "n").agg(F.sum("_n").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_size")
     ranks = F.array_distinct(F.array(*[f((F.col("n") - 1) * F.lit(q)).cast("long") for q in asked.values() for f in (F.floor, F.ceil)]))
-    wanted = sizes.withColumn("_before", before).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))))
-    wanted = wanted.where(F.size("_ranks") > 0).select(*keys, "_bucket", "_before", "_ranks")
-    inside = placed.join(wanted, [*keys, "_bucket"])
-    inside = inside.withColumn("_start", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy("_v")) - F.col("_n"))
+    rows = counts.join(counts.groupBy(*keys).agg(F.sum("_n").alias("n")), keys).select("*", F.lit(0).cast("long").alias("_at"), ranks.alias("_ranks"))
+    part = [*keys, "_at"]  # _at: how many values of the group lie below the part
+    while True:
+        ranges = rows.groupBy(*part).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS), F.lit(BUCKETS - 1)))
+        placed = rows.join(ranges, part).withColumn("_bucket", F.coalesce(place, F.lit(0)).cast("int")).drop("_low", "_high")
+        sizes = placed.groupBy(*part, "_bucket").agg(F.sum("_n").alias("_size"), F.count("*").alias("_values"), F.first("_ranks").alias("_ranks"))
+        sizes = sizes.withColumn("_before", F.col("_at") + F.sum("_size").over(Window.partitionBy(*part).orderBy("_bucket")) - F.col("_size"))
+        hit = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
+        wanted = settled(sizes.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*part, "_bucket", "_before", "_hit", "_values"))
+        inside = placed.drop("_ranks").join(wanted.drop("_values"), [*part, "_bucket"])
+        inside = inside.select(*keys, "n", "_v", "_n", F.col("_before").alias("_at"), F.col("_hit").alias("_ranks"))
+        if (wanted.agg(F.max("_values")).first()[0] or 0) <= largest:
+            break
+        rows = settled(inside)
+    inside = inside.withColumn("_start", F.col("_at") + F.sum("_n").over(Window.partitionBy(*part).orderBy("_v")) - F.col("_n"))
     found = inside.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")))).where(F.size("_ranks") > 0)
-    found = found.groupBy(*keys, "n").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("_ranks", lambda r: F.struct(r, F.col("_v")))))).alias("_at"))
+    found = found.groupBy(*keys, "n").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("_ranks", lambda r: F.struct(r, F.col("_v")))))).alias("_found"))
 
     def quantile(q: float) -> Column:
         at = (F.col("n") - 1) * F.lit(q)
-        low, high = F.element_at("_at", F.floor(at).cast("long")), F.element_at("_at", F.ceil(at).cast("long"))
+        low, high = F.element_at("_found", F.floor(at).cast("long")), F.element_at("_found", F.ceil(at).cast("long"))
         return low + (high - low) * (at - F.floor(at))
 
     return found.select(*keys, "n", *[quantile(q).alias(name) for name, q in asked.items()])

@@ -10,8 +10,8 @@ from pulseframe.functions import faces as geometry
 from pulseframe.functions.values import finite
 from pulseframe.operators import anomalies, expand, features, quality, resample, stats
 from pulseframe.operators.ordered import with_previous
-from pulseframe.plans import proxies
-from pulseframe.plans.oracles import ORACLES
+from pulseframe.plans import proxies, roundtrips
+from pulseframe.plans.oracles import ORACLES as SIGNAL_ORACLES
 
 DIGITS = 6
 __all__ = ["ORACLES", "QUERIES"]
@@ -220,3 +220,5 @@ QUERIES = {
 for _name, _measures in (("ear_geometry", geometry.ear), ("face3d_geometry", geometry.face3d), ("au_geometry", geometry.action_units)):
     for _profile in geometry.PROFILES:
         QUERIES[f"{_name}_{_profile}"] = _geometry(_measures, _profile)
+QUERIES |= roundtrips.QUERIES
+ORACLES = SIGNAL_ORACLES | roundtrips.ORACLES

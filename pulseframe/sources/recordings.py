@@ -23,12 +23,37 @@ NPY_COLUMNS = ["Timestamp", RESISTANCE, "Trigger"]
 LEAST_BYTES = 20 * 1024  #: smaller .npy files hold no recording
 
 
-def text_rows(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+def text_rows(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, positional: bool = False) -> DataFrame:
     """CSV with a header (a byte-order mark aside) as text columns, with file, subject and row: where its piece of the file starts,
-    and a number that rises with the lines of a piece. in_file_order makes dense numbers of it."""
+    and a number that rises with the lines of a piece. in_file_order makes dense numbers of it.
+
+    Columns go by their names in each file: files whose headers differ, in order too, are read apart. A column that a
+    file lacks is null there. positional: all files together, by the place of the columns."""
+    if positional:
+        return _text_rows(spark, paths, None)
+    headers: dict[str, list[str]] = {}
+    for r in _first_lines(spark, paths).collect():  # one line a file
+        headers.setdefault(r.header.strip(), []).append(r.file)
+    if not headers:
+        return _text_rows(spark, paths, columns)
+    found = [_text_rows(spark, files, columns) for _, files in sorted(headers.items())]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def _first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    return lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+
+
+def _text_rows(spark: SparkSession, paths: str | list[str], columns: list[str] | None) -> DataFrame:
     rows = spark.read.option("header", True).csv(paths)
-    data = columns or rows.columns
-    rows = rows.select(*[F.col(f"`{c}`") for c in data], F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    known = {c.lstrip("\ufeff").strip(): c for c in rows.columns}
+    data = columns or list(known)
+    named = [F.col(f"`{known[c]}`").alias(c) if c in known else F.lit(None).cast("string").alias(c) for c in data]
+    rows = rows.select(*named, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     rows = rows.withColumn("row", F.struct("_start", "_id")).drop("_start", "_id")
     return rows.withColumn("subject", F.upper(labels.path_subject(F.col("file"))))
 
@@ -40,7 +65,7 @@ def _numbers(names: list[str]) -> Column:
 def ecg_rows(spark: SparkSession, paths: str | list[str], positional: bool = False) -> DataFrame:
     """subject, file, row, t, samples array<double>, trigger. positional: first column time, the next 50 samples, the
     last the trigger, whatever their names."""
-    rows = text_rows(spark, paths)
+    rows = text_rows(spark, paths, positional=positional)
     data = [c for c in rows.columns if c not in ("file", "row", "subject")]
     names, time, trigger = (data[1:51], data[0], data[-1]) if positional else (CHANNELS, "Timestamp", "Trigger")
     return rows.select("subject", "file", "row", times.micros(times.parse(F.col(f"`{time}`"))).alias("t"), _numbers(names).alias("samples"), F.col(f"`{trigger}`").alias("trigger"))
@@ -48,7 +73,7 @@ def ecg_rows(spark: SparkSession, paths: str | list[str], positional: bool = Fal
 
 def gsr_rows(spark: SparkSession, paths: str | list[str], positional: bool = False) -> DataFrame:
     """subject, file, row, t, value, trigger."""
-    rows = text_rows(spark, paths)
+    rows = text_rows(spark, paths, positional=positional)
     data = [c for c in rows.columns if c not in ("file", "row", "subject")]
     time, value, trigger = (data[0], data[1], data[-1]) if positional else ("Timestamp", RESISTANCE, "Trigger")
     return rows.select("subject", "file", "row", times.micros(times.parse(F.col(f"`{time}`"))).alias("t"), parsed(F.col(f"`{value}`")).alias("value"), F.col(f"`{trigger}`").alias("trigger"))
@@ -112,7 +137,7 @@ def subjects(rows: DataFrame, first: int | None = None, last: int | None = None,
     n = labels.subject_number(F.col("subject"))
     kept = F.lit(True)
     if first is not None or last is not None:
-        kept = n.between(first if first is not None else 0, last if last is not None else 10**6)
+        kept = (n >= F.lit(first) if first is not None else kept) & (n <= F.lit(last) if last is not None else F.lit(True))
     if names is not None:
         kept = kept & F.col("subject").isin(*[x.upper() for x in names])
     return rows.where(kept & ~F.col("subject").isin(*without) if without else kept)

@@ -34,12 +34,13 @@ def write_face_tables(features: DataFrame, path: str) -> None:
     features.where("error IS NOT NULL").select("image_name", labels.message(F.col("error")).alias("reason")).write.mode("overwrite").parquet(f"{path}/failed")
 
 
-def html_table(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A page with the frame's first rows. For summaries: one row per subject."""
+def html_table(rows: DataFrame, title: str, most: int | None = None) -> str:
+    """A page with the frame's rows, for summaries of one row per subject; most: only the first so many, which the page says."""
     cell = lambda x: html.escape("" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x))
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows.limit(most).collect())
-    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in (rows if most is None else rows.limit(most)).collect())
+    note = "" if most is None else f"<p>The first {most} rows at most.</p>"
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{note}<table><tr>{head}</tr>{body}</table>"
 
 
 def quality_report(graded: DataFrame, status: DataFrame, reasons: DataFrame, most: int = 10) -> str:

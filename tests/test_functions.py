@@ -192,3 +192,32 @@ def test_boxes(spark):
 
 def test_helpers_order(spark):
     assert rows(spark.createDataFrame([(2.0, "b"), (None, "a")], "x double, y string")) == [(2.0, "b"), (None, "a")]
+
+
+def test_peaks_equal_plain_definition():
+    import numpy as np
+
+    from pulseframe.functions import dsp
+
+    def plain(x, gap, least):
+        places = [(i + j) // 2 for i in range(1, len(x)) for j in range(i, len(x) - 1) if x[i] > x[i - 1] and all(x[k] == x[i] for k in range(i, j + 1)) and x[j + 1] < x[i]]
+        keep = dict.fromkeys(places, True)
+        for p in sorted(places, key=lambda p: (x[p], p), reverse=True):
+            if keep[p]:
+                keep |= {q: False for q in places if q != p and abs(q - p) < gap}
+        out = []
+        for p in (p for p in places if keep[p]):
+            left = next((k for k in range(p, -1, -1) if x[k] > x[p]), -1)
+            right = next((k for k in range(p, len(x)) if x[k] > x[p]), len(x))
+            rise = x[p] - max(min(x[left + 1 : p + 1]), min(x[p:right]))
+            if rise >= least:
+                out.append((p, rise))
+        return out
+
+    rng = np.random.default_rng(3)
+    for n in range(30):
+        x = rng.integers(0, 8, 60).astype(float) if n % 2 else rng.normal(size=60)
+        found, rise = dsp.peaks(x, 1 + n % 7, 0.5)
+        assert list(zip(found.tolist(), rise.tolist())) == plain(x.tolist(), 1 + n % 7, 0.5)
+    wave = np.sin(np.arange(720_000) / 30) + rng.normal(0, 0.1, 720_000)
+    assert len(dsp.peaks(wave, 60, 0.5)[0]) > 3000

@@ -135,3 +135,14 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/f/au"), "image_name", "au1") == [("i", 3.0)] and len(spark.read.parquet(f"{tmp_path}/f/failed").first().reason) == 200
     odd = signal.withColumn("reasons", F.array(F.lit("x")))
     assert rows(sinks.plot_series(odd, "T1", 1.0)) == [(0.0, 0.5, True)]
+
+
+def test_columns_by_name(spark, tmp_path):
+    """Files of one folder whose columns stand in different orders, one with a byte-order mark."""
+    (tmp_path / "T001").mkdir()
+    (tmp_path / "T001" / "a_T12_low.csv").write_text("\ufeffTimestamp,Data,Trust\n2024-01-01 00:00:00.000,1.5,low\n")
+    (tmp_path / "T001" / "b_T12_low.csv").write_text("Timestamp,Trust,Data\n2024-01-01 00:00:01.000,low,2.5\n")
+    good, bad = recordings.processed_rows(spark, str(tmp_path / "T001"))
+    assert sorted((r.value, r.trust) for r in good.collect()) == [(1.5, "low"), (2.5, "low")] and bad.count() == 0
+    rows = spark.createDataFrame([(f"T{n}",) for n in (5, 2_000_000)], "subject string")
+    assert recordings.subjects(rows, first=3).count() == 2 and recordings.subjects(rows, last=10).count() == 1
