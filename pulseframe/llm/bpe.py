@@ -49,6 +49,12 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError(f"not a plain byte-level BPE: {path}")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added tokens with rules of their own: {path}")
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = spec["model"]["vocab"]

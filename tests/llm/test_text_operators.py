@@ -289,6 +289,17 @@ def test_bpe_apart(spark):
     assert bpe.round_trip(d.where("false"), queries.tokenizer_path()).count() == 0
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(path))
+
+
 def test_certain_cuts():
     codec = bpe.codec(queries.tokenizer_path())
     data = "some thing qxzj😀".encode()
