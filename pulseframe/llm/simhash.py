@@ -15,9 +15,10 @@ similar_documents links by similarity instead: documents whose sets of 5-word sh
 or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many for balls, so candidates come from tables:
 each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
 and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. In a table, each document meets the
-first one of its key and the NEIGHBOURS before it, so a hot key gives no square of pairs, and every candidate is verified
-by the true similarity of the two texts. Links within one key that
-neither the first nor the nearest ones have are left to the other tables; README tells the recall.
+first one of its key and the NEIGHBOURS before it, so a hot key of copies gives no square of pairs, and every candidate is
+verified by the true similarity of the two texts. Then documents of one key that aren't in one component yet meet in blocks,
+those in the largest component of the key only the others, so that no pair of a table is left out that could change a
+component; pairs whose fingerprints are too far apart to be similar aren't verified.
 
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -41,7 +42,7 @@ from pulseframe.llm.common import HOT_ROWS, forget, lookup, written
 from pulseframe.llm.words import mix
 
 SHINGLE, SEED, BITS, LINK = 4, 42, 64, 4
-BLOCK = 1 << 15  #: shingles whose bits are counted at once
+BLOCK = 1 << 15  #: shingles, times lanes, whose bits are counted at once
 DENSE = 128  #: fingerprints with one segment value, above which pairs are not enumerated
 #: (bits, radius) of the segments; the radii and the number of segments less one sum to LINK, so no link is missed.
 LAYOUT = ((22, 1), (22, 1), (20, 0))
@@ -54,6 +55,10 @@ RECALL = 0.98  #: of pairs just at SIMILAR, by the angle between them; closer on
 SPARE_BITS = 2  #: key bits beyond those that number the documents
 NEIGHBOURS = 3
 FAR = 20  #: of the first 64 bits; pairs at SIMILAR differ in 9.7, with a standard deviation of 2.9
+FINE_LANES = 32  #: of the fingerprint that candidates have
+FAR_FINE = 382  #: of its 2,048 bits; pairs at SIMILAR differ in 310, with a standard deviation of 16.2
+FAR_WIDE = 64  #: of all 256 bits; pairs at SIMILAR differ in 38.8, with a standard deviation of 5.7
+SIDE = 1000  #: members of a key on one side of a block
 
 
 def _shingles(text: str | None, size: int) -> list[int]:
@@ -211,23 +216,27 @@ def _distinct_shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array(_shingles(text, SIMILAR_SHINGLE), np.uint64))
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """LANES x 64 bits from the set of 5-word shingles; where as many have a bit as don't, the least shingle decides."""
-    hashes = _distinct_shingles(text)
-    counts = np.zeros(LANES * BITS, np.int64)
+def _majorities(hashes: np.ndarray, lanes: int) -> bytes:
+    """lanes x 64 bits of a set of shingles; where as many have a bit as don't, the least shingle decides."""
+    counts = np.zeros(lanes * BITS, np.int64)
     if not len(hashes):
         return np.packbits(counts.astype(bool)).tobytes()
-    lanes = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    steps = np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def bits(block: np.ndarray) -> np.ndarray:
-        return np.unpackbits(mix(block[:, None] + lanes).view(np.uint8).reshape(len(block), -1), axis=1)
+        return np.unpackbits(mix(block[:, None] + steps).view(np.uint8).reshape(len(block), -1), axis=1)
 
-    for at in range(0, len(hashes), BLOCK):
-        counts += bits(hashes[at : at + BLOCK]).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK // lanes):
+        counts += bits(hashes[at : at + BLOCK // lanes]).sum(axis=0, dtype=np.int64)
     counts = 2 * counts - len(hashes)
     return np.packbits(np.where(counts == 0, bits(hashes[:1])[0] > 0, counts > 0)).tobytes()
 
 
+def wide_fingerprint(text: str | None) -> bytes:
+    """LANES x 64 bits from the set of 5-word shingles."""
+    return _majorities(_distinct_shingles(text), LANES)
+
+
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pa.array([wide_fingerprint(x.as_py()) for x in batch.column(2)], pa.binary())
@@ -263,34 +272,96 @@ def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long")
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> (a, b) with a > b: pairs to be verified."""
+def shared_keys(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> key, node, others, members: of each key that several nodes have, each node
+    with those among the first of the key and the NEIGHBOURS before it that may be similar, and how many have the key."""
     held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
     order = Window.partitionBy("key").orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
-    met = held.select("node", "fp", F.array(*others).alias("others")).select("node", "fp", F.explode("others").alias("other"))
-    close = met.where((F.col("other.node") < F.col("node")) & (distance(F.col("fp"), F.col("other.fp")) <= FAR))
-    return close.select(F.col("node").alias("a"), F.col("other.node").alias("b")).distinct()
+    met = held.select("key", "node", "fp", F.array(*others).alias("others"), F.count("*").over(Window.partitionBy("key")).alias("members")).where("members > 1")
+    near = F.filter("others", lambda o: (o["node"] < F.col("node")) & (distance(F.col("fp"), o["fp"]) <= FAR))
+    return met.select("key", "node", F.array_distinct(F.transform(near, lambda o: o["node"])).alias("others"), "members")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """shared_keys -> (a, b) with a > b: pairs to be verified."""
+    return keys.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
+
+
+def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, LANES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(raw[:, k]) for k in range(LANES)]], names=["node", *[f"w{k}" for k in range(LANES)]])
+
+
+def unmet(keys: DataFrame, nodes: DataFrame, stars: DataFrame, side: int = SIDE) -> DataFrame:
+    """shared_keys, nodes(node, bits) and the components found so far -> (a, b) with a > b: the pairs of one key that
+    candidates leaves out, but for those of one component, which no link can change, and those whose fingerprints differ
+    in more than FAR_WIDE bits. In a key, members of all components but the largest meet all members of others, in blocks
+    of about side x side."""
+    crowded = keys.where(F.col("members") > NEIGHBOURS + 1).select("key", "node")
+    lanes = nodes.select("node", "bits").mapInArrow(_lanes, "node long, " + ", ".join(f"w{k} long" for k in range(LANES)))
+    rooted = written(crowded.join(_rooted(lanes, stars), "node"), "crowded")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
+    several = several.select("key", "major", F.ceil((F.col("all") - F.col("most")) / side).alias("rows"), F.ceil(F.col("all") / side).alias("columns"))
+    inside = written(rooted.join(several, "key").withColumn("deal", F.xxhash64("node")), "several_roots")
+
+    def dealt(one: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
+        names = ["node", "root", *[f"w{k}" for k in range(LANES)]]
+        at = [F.pmod("deal", own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)]
+        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in names], *at)
+
+    minor = dealt(inside.where("root <> major"), "rows", "columns", "a_")
+    every = dealt(inside, "columns", "rows", "b_").drop("major")
+    far = sum((distance(F.col(f"a_w{k}"), F.col(f"b_w{k}")) for k in range(LANES)), F.lit(0))
+    pairs = minor.join(every, ["key", "rows", "columns"]).where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_node") > F.col("b_node"))) & (far <= FAR_WIDE))
+    found = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
+    left = written(found.join(candidates(keys), ["a", "b"], "left_anti"), "unmet")
+    forget(rooted, inside)
+    return left
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            found = _distinct_shingles(batch.column(1)[row].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([_majorities(found, FINE_LANES)]), pa.array([found.tobytes()])], names=["node", "fine", "shingles"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+        kept = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= FAR_FINE
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            one, two = _distinct_shingles(x.as_py()), _distinct_shingles(y.as_py())
+            one, two = (np.frombuffer(side.as_py(), np.uint64) for side in (x, y))
             both = len(np.intersect1d(one, two, assume_unique=True))
             kept.append(both >= SIMILAR * (len(one) + len(two) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are SIMILAR or more. rows(node, text): each node at least once."""
+    """The pairs (a, b) whose texts are SIMILAR or more. rows(node, text): each node at least once.
+
+    Each text is cut into shingles once; its finer fingerprint spares most pairs that are less similar the shingles."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "candidate_texts")
-    sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    found = written(both.mapInArrow(_verified, "a long, b long"), "alike")
-    forget(texts)
+    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = written(texts.mapInArrow(_shingled, "node long, fine binary, shingles binary"), "candidate_texts")
+
+    def checked(found: DataFrame, column: str, check: Callable, name: str) -> DataFrame:
+        for side in ("a", "b"):
+            found = found.join(texts.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        return written(found.select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(check, "a long, b long"), name)
+
+    near = checked(pairs, "fine", _near, "near")
+    found = checked(near, "shingles", _verified, "alike")
+    forget(texts, near)
     return found
 
 
@@ -306,7 +377,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     facts = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, node long, bits binary"), "wide_fingerprints")
     nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
     n = nodes.count()
-    stars = components(_alike(written(candidates(nodes, n), "candidates"), rows))
+    keys = written(shared_keys(nodes, n), "shared_keys")
+    pairs = written(candidates(keys), "candidates")
+    alike = _alike(pairs, rows)
+    stars = components(alike)
+    rest = unmet(keys, nodes, stars)
+    forget(keys, pairs, alike)
+    if not rest.isEmpty():
+        stars = components(stars.union(_alike(rest, rows)))
     rooted = _rooted(nodes, stars)
     best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("best")
     ids = rooted.groupBy("root").agg(best, F.count("*").alias("fps")).select("root", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node"), "fps")

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from pulseframe.llm import simhash
+from pulseframe.llm.common import written
 from tests.llm.test_text_operators import docs
 
 
@@ -50,11 +51,43 @@ def test_hot_group(spark):
     base = " ".join(f"w{i}" for i in range(200))
     d = docs(spark, [f"{base} x{i}" for i in range(600)] + ["other words that stand here alone"])
     nodes = d.select("doc_id", "text").selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
-    assert simhash.candidates(nodes, 601).count() < 600 * 60
+    keys = written(simhash.shared_keys(nodes, 601), "keys")
+    found = simhash.candidates(keys)
+    assert found.count() < 600 * 60
+    assert simhash.unmet(keys, nodes, simhash.components(found)).count() == 0  # one component: nothing is left to meet
     assert {r.component_id for r in simhash.similar_documents(d).collect()} == {0, 600}
     assert simhash.similar_documents(d.where("false")).count() == 0
 
 
+def test_keys_of_many_components(spark):
+    """Documents that share half of their words, so keys too, but link in pairs only: no pair of a key is left out."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for k in range(150):
+        own = [f"v{x}" for x in rng.integers(0, 10**6, 40)]
+        texts += [" ".join(base + own), " ".join(base + own[:-4] + [f"y{k}"] * 4)]
+    d = docs(spark, texts)
+    facts = d.selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
+    nodes = written(facts.select("node", "bits"), "nodes")
+    keys = written(simhash.shared_keys(nodes, 300), "keys")
+    met = {(r.a, r.b) for r in simhash.candidates(keys).collect()}
+    bits = {r.node: int.from_bytes(r.bits, "big") for r in nodes.collect()}
+    groups_ = {}
+    for r in keys.collect():
+        groups_.setdefault(r.key, []).append(r.node)
+    close = {(x, y) for g in groups_.values() if len(g) > 4 for x in g for y in g if x > y and (bits[x] ^ bits[y]).bit_count() <= simhash.FAR_WIDE}
+    stars = simhash.components(spark.createDataFrame([(x, y) for x, y in sorted(met)[:5]], "a long, b long"))
+    root = {r.a: r.b for r in stars.collect()}
+    want = {(x, y) for x, y in close - met if root.get(x, x) != root.get(y, y)}
+    for side in (7, 1000):
+        assert {(r.a, r.b) for r in simhash.unmet(keys, nodes, stars, side).collect()} == want
+    assert want
+    roots, _ = groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(d).collect()}
+    assert all(roots[i] == roots[c] for i, c in got.items())
+    assert sum(got[i] == roots[i] for i in got) >= 0.97 * len(got)
+
+
 def test_hot_roots(spark):
     """Components by both ways to join, of a star, a chain, and pairs."""
     edges = [(i, 0) for i in range(1, 40)] + [(i, i - 1) for i in range(101, 130)] + [(200, 201), (5, 5)]
