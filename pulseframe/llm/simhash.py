@@ -14,11 +14,11 @@ fingerprints to the smallest of them.
 similar_documents links by similarity instead: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8
 or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many for balls, so candidates come from tables:
 each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
-and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. In a table, each document meets the
-first one of its key and the NEIGHBOURS before it, so a hot key of copies gives no square of pairs, and every candidate is
-verified by the true similarity of the two texts. Then documents of one key that aren't in one component yet meet in blocks,
-those in the largest component of the key only the others, so that no pair of a table is left out that could change a
-component; pairs whose fingerprints are too far apart to be similar aren't verified.
+and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. First each document meets one other: the
+nearest of those that are first of a key of its or up to NEIGHBOURS before it, so a hot key of copies gives no square of
+pairs. Then documents of one key that aren't in one component yet meet in blocks, those in the largest component of the key
+only the others, so that no pair of a table is left out that could change a component. Every pair is verified by the true
+similarity of the two texts but those whose fingerprints, of 64 to 2,048 bits, are too far apart to be similar.
 
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
@@ -274,52 +274,70 @@ def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
 
 def shared_keys(nodes: DataFrame, n: int) -> DataFrame:
     """nodes(node, bits), n of them, each once -> key, node, others, members: of each key that several nodes have, each node
-    with those among the first of the key and the NEIGHBOURS before it that may be similar, and how many have the key."""
+    with those among the first of the key and the NEIGHBOURS before it that may be similar (distance, node), and how many
+    have the key."""
     held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
     order = Window.partitionBy("key").orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
     met = held.select("key", "node", "fp", F.array(*others).alias("others"), F.count("*").over(Window.partitionBy("key")).alias("members")).where("members > 1")
     near = F.filter("others", lambda o: (o["node"] < F.col("node")) & (distance(F.col("fp"), o["fp"]) <= FAR))
-    return met.select("key", "node", F.array_distinct(F.transform(near, lambda o: o["node"])).alias("others"), "members")
+    return met.select("key", "node", F.array_distinct(F.transform(near, lambda o: F.struct(distance(F.col("fp"), o["fp"]).alias("distance"), o["node"].alias("node")))).alias("others"), "members")
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """shared_keys -> (a, b) with a > b: pairs to be verified."""
-    return keys.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct()
+def nearest(keys: DataFrame) -> DataFrame:
+    """shared_keys -> (a, b) with a > b: each node with the one nearest to it of its others in all keys."""
+    return keys.where(F.size("others") > 0).groupBy(F.col("node").alias("a")).agg(F.min(F.array_min("others"))["node"].alias("b"))
 
 
-def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, LANES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(raw[:, k]) for k in range(LANES)]], names=["node", *[f"w{k}" for k in range(LANES)]])
-
-
-def unmet(keys: DataFrame, nodes: DataFrame, stars: DataFrame, side: int = SIDE) -> DataFrame:
-    """shared_keys, nodes(node, bits) and the components found so far -> (a, b) with a > b: the pairs of one key that
-    candidates leaves out, but for those of one component, which no link can change, and those whose fingerprints differ
-    in more than FAR_WIDE bits. In a key, members of all components but the largest meet all members of others, in blocks
-    of about side x side."""
-    crowded = keys.where(F.col("members") > NEIGHBOURS + 1).select("key", "node")
-    lanes = nodes.select("node", "bits").mapInArrow(_lanes, "node long, " + ", ".join(f"w{k} long" for k in range(LANES)))
-    rooted = written(crowded.join(_rooted(lanes, stars), "node"), "crowded")
+def _lanes(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(raw[:, k]) for k in range(width)]], names=["node", *[f"w{k}" for k in range(width)]])
+
+    return run
+
+
+def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one component."""
+    for side in ("a", "b"):
+        roots = stars.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}"))
+        pairs = pairs.join(roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
+def unmet(keys: DataFrame, rows: DataFrame, stars: DataFrame, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """shared_keys, rows(node, text) and the components found so far -> (a, b) with a > b: the pairs of one key but for
+    those of one component, which no link can change, and those whose fingerprints are too far apart; and _shingles of
+    their nodes. Keys of few members have these pairs in others. In one of many, members of all components but the largest
+    meet all members of others, in blocks of about side x side."""
+    of_few = keys.where(F.col("members") <= NEIGHBOURS + 1).select(F.col("node").alias("a"), F.explode("others.node").alias("b")).distinct()
+    few = written(_apart(of_few, stars), "pairs_of_few")
+    rooted = written(_rooted(keys.where(F.col("members") > NEIGHBOURS + 1).select("key", "node"), stars), "crowded")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
     several = several.select("key", "major", F.ceil((F.col("all") - F.col("most")) / side).alias("rows"), F.ceil(F.col("all") / side).alias("columns"))
-    inside = written(rooted.join(several, "key").withColumn("deal", F.xxhash64("node")), "several_roots")
+    inside = written(rooted.join(several, "key"), "several_roots")
+    texts = _shingles_of(few.select(F.explode(F.array("a", "b")).alias("node")).union(inside.select("node")).distinct(), rows)
+    names = [f"w{k}" for k in range(FINE_LANES)]
+    lanes = texts.select("node", "fine").mapInArrow(_lanes(FINE_LANES), "node long, " + ", ".join(f"{w} long" for w in names))
+    fine = written(inside.join(lanes, "node").withColumn("deal", F.xxhash64("node")), "crowded_lanes")
 
     def dealt(one: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
-        names = ["node", "root", *[f"w{k}" for k in range(LANES)]]
         at = [F.pmod("deal", own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)]
-        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in names], *at)
+        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in ("node", "root", *names)], *at)
 
-    minor = dealt(inside.where("root <> major"), "rows", "columns", "a_")
-    every = dealt(inside, "columns", "rows", "b_").drop("major")
-    far = sum((distance(F.col(f"a_w{k}"), F.col(f"b_w{k}")) for k in range(LANES)), F.lit(0))
-    pairs = minor.join(every, ["key", "rows", "columns"]).where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_node") > F.col("b_node"))) & (far <= FAR_WIDE))
-    found = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
-    left = written(found.join(candidates(keys), ["a", "b"], "left_anti"), "unmet")
-    forget(rooted, inside)
-    return left
+    def far(lanes: int) -> Column:
+        return sum((distance(F.col(f"a_w{k}"), F.col(f"b_w{k}")) for k in range(lanes)), F.lit(0))
+
+    minor = dealt(fine.where("root <> major"), "rows", "columns", "a_")
+    every = dealt(fine, "columns", "rows", "b_").drop("major")
+    apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_node") > F.col("b_node")))
+    pairs = minor.join(every, ["key", "rows", "columns"]).where(apart & (far(LANES) <= FAR_WIDE) & (far(FINE_LANES) <= FAR_FINE))
+    found = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    left = written(found.union(_checked(few, texts, "fine", _near)).distinct(), "unmet")
+    forget(few, rooted, inside, fine)
+    return left, texts
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +347,12 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([_majorities(found, FINE_LANES)]), pa.array([found.tobytes()])], names=["node", "fine", "shingles"])
 
 
+def _shingles_of(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked(node), each once, and rows(node, text), each at least once -> node, fine (a finer fingerprint), shingles."""
+    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return written(texts.mapInArrow(_shingled, "node long, fine binary, shingles binary"), "candidate_texts")
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
@@ -346,23 +370,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are SIMILAR or more. rows(node, text): each node at least once.
-
-    Each text is cut into shingles once; its finer fingerprint spares most pairs that are less similar the shingles."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(texts.mapInArrow(_shingled, "node long, fine binary, shingles binary"), "candidate_texts")
-
-    def checked(found: DataFrame, column: str, check: Callable, name: str) -> DataFrame:
-        for side in ("a", "b"):
-            found = found.join(texts.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-        return written(found.select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(check, "a long, b long"), name)
-
-    near = checked(pairs, "fine", _near, "near")
-    found = checked(near, "shingles", _verified, "alike")
-    forget(texts, near)
-    return found
+def _checked(pairs: DataFrame, texts: DataFrame, column: str, check: Callable) -> DataFrame:
+    """The pairs (a, b) that pass a check of that column of their texts."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(check, "a long, b long")
 
 
 def _rooted(nodes: DataFrame, stars: DataFrame) -> DataFrame:
@@ -378,13 +390,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
     n = nodes.count()
     keys = written(shared_keys(nodes, n), "shared_keys")
-    pairs = written(candidates(keys), "candidates")
-    alike = _alike(pairs, rows)
-    stars = components(alike)
-    rest = unmet(keys, nodes, stars)
-    forget(keys, pairs, alike)
+    first = written(nearest(keys), "nearest")
+    texts = _shingles_of(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows)
+    near = written(_checked(first, texts, "fine", _near), "near")
+    stars = components(_checked(near, texts, "shingles", _verified))
+    forget(texts, first, near)
+    rest, texts = unmet(keys, rows, stars)
     if not rest.isEmpty():
-        stars = components(stars.union(_alike(rest, rows)))
+        stars = components(stars.union(_checked(rest, texts, "shingles", _verified)))
+    forget(texts, rest, keys)
     rooted = _rooted(nodes, stars)
     best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("best")
     ids = rooted.groupBy("root").agg(best, F.count("*").alias("fps")).select("root", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node"), "fps")

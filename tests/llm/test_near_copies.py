@@ -52,9 +52,10 @@ def test_hot_group(spark):
     d = docs(spark, [f"{base} x{i}" for i in range(600)] + ["other words that stand here alone"])
     nodes = d.select("doc_id", "text").selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
     keys = written(simhash.shared_keys(nodes, 601), "keys")
-    found = simhash.candidates(keys)
-    assert found.count() < 600 * 60
-    assert simhash.unmet(keys, nodes, simhash.components(found)).count() == 0  # one component: nothing is left to meet
+    found = simhash.nearest(keys)
+    assert found.count() < 600
+    rows = d.selectExpr("xxhash64(text) AS node", "text")
+    assert simhash.unmet(keys, rows, simhash.components(found))[0].count() == 0  # one component: nothing is left to meet
     assert {r.component_id for r in simhash.similar_documents(d).collect()} == {0, 600}
     assert simhash.similar_documents(d.where("false")).count() == 0
 
@@ -70,17 +71,20 @@ def test_keys_of_many_components(spark):
     facts = d.selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
     nodes = written(facts.select("node", "bits"), "nodes")
     keys = written(simhash.shared_keys(nodes, 300), "keys")
-    met = {(r.a, r.b) for r in simhash.candidates(keys).collect()}
-    bits = {r.node: int.from_bytes(r.bits, "big") for r in nodes.collect()}
+    rows = d.selectExpr("xxhash64(text) AS node", "text")
+    bits = {r.node: [int.from_bytes(x, "big") for x in (r.bits, simhash._majorities(simhash._distinct_shingles(r.text), simhash.FINE_LANES))] for r in nodes.join(rows, "node").collect()}
     groups_ = {}
     for r in keys.collect():
         groups_.setdefault(r.key, []).append(r.node)
-    close = {(x, y) for g in groups_.values() if len(g) > 4 for x in g for y in g if x > y and (bits[x] ^ bits[y]).bit_count() <= simhash.FAR_WIDE}
-    stars = simhash.components(spark.createDataFrame([(x, y) for x, y in sorted(met)[:5]], "a long, b long"))
+    apart = lambda x, y, k: (bits[x][k] ^ bits[y][k]).bit_count()
+    first = (1 << 64) - 1 << 192  # the first lane, all that keys of few members are filtered by
+    near = lambda x, y, n: apart(x, y, 0) <= simhash.FAR_WIDE if n > 4 else ((bits[x][0] ^ bits[y][0]) & first).bit_count() <= simhash.FAR
+    close = {(x, y) for g in groups_.values() for x in g for y in g if x > y and near(x, y, len(g)) and apart(x, y, 1) <= simhash.FAR_FINE}
+    stars = simhash.components(spark.createDataFrame(sorted(close)[:5], "a long, b long"))
     root = {r.a: r.b for r in stars.collect()}
-    want = {(x, y) for x, y in close - met if root.get(x, x) != root.get(y, y)}
+    want = {(x, y) for x, y in close if root.get(x, x) != root.get(y, y)}
     for side in (7, 1000):
-        assert {(r.a, r.b) for r in simhash.unmet(keys, nodes, stars, side).collect()} == want
+        assert {(r.a, r.b) for r in simhash.unmet(keys, rows, stars, side)[0].collect()} == want
     assert want
     roots, _ = groups(texts)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(d).collect()}
