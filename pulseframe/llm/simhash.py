@@ -16,7 +16,7 @@ or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many f
 each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
 and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. First each document meets one other: the
 nearest of those that are first of a key of its or up to NEIGHBOURS before it, so a hot key of copies gives no square of
-pairs. Then documents of one key that aren't in one component yet meet in blocks, those in the largest component of the key
+pairs; then the others of these that aren't in its component yet. Then documents of one key that aren't in one component yet meet in blocks, those in the largest component of the key
 only the others, so that no pair of a table is left out that could change a component. Every pair is verified by the true
 similarity of the two texts but those whose fingerprints, of 64 to 2,048 bits, are too far apart to be similar.
 
@@ -306,26 +306,31 @@ def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b").select("a", "b")
 
 
+def candidates(keys: DataFrame, stars: DataFrame) -> DataFrame:
+    """shared_keys and the components found so far -> (a, b) with a > b: each node with its others of other components.
+    Of keys of up to NEIGHBOURS + 1 members these are all pairs."""
+    return _apart(keys.select(F.col("node").alias("a"), F.explode("others.node").alias("b")).distinct(), stars)
+
+
 def unmet(keys: DataFrame, rows: DataFrame, stars: DataFrame, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
-    """shared_keys, rows(node, text) and the components found so far -> (a, b) with a > b: the pairs of one key but for
-    those of one component, which no link can change, and those whose fingerprints are too far apart; and _shingles of
-    their nodes. Keys of few members have these pairs in others. In one of many, members of all components but the largest
-    meet all members of others, in blocks of about side x side."""
-    of_few = keys.where(F.col("members") <= NEIGHBOURS + 1).select(F.col("node").alias("a"), F.explode("others.node").alias("b")).distinct()
-    few = written(_apart(of_few, stars), "pairs_of_few")
+    """shared_keys, rows(node, text) and the components found so far -> (a, b) with a > b: the pairs of one key of more
+    members than candidates pairs, but for those of one component, which no link can change, and those whose fingerprints are
+    too far apart; and _shingles_of their nodes. In a key, members of all components but the largest meet all members of
+    others, in blocks of about side x side; a pair of several keys is found in the least of them."""
     rooted = written(_rooted(keys.where(F.col("members") > NEIGHBOURS + 1).select("key", "node"), stars), "crowded")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
     several = several.select("key", "major", F.ceil((F.col("all") - F.col("most")) / side).alias("rows"), F.ceil(F.col("all") / side).alias("columns"))
     inside = written(rooted.join(several, "key"), "several_roots")
-    texts = _shingles_of(few.select(F.explode(F.array("a", "b")).alias("node")).union(inside.select("node")).distinct(), rows)
+    held = inside.groupBy("node").agg(F.collect_set("key").alias("keys"))  # one of each table at most
+    texts = _shingles_of(inside.select("node").distinct(), rows)
     names = [f"w{k}" for k in range(FINE_LANES)]
     lanes = texts.select("node", "fine").mapInArrow(_lanes(FINE_LANES), "node long, " + ", ".join(f"{w} long" for w in names))
-    fine = written(inside.join(lanes, "node").withColumn("deal", F.xxhash64("node")), "crowded_lanes")
+    fine = written(inside.join(lanes.join(held, "node"), "node").withColumn("deal", F.xxhash64("node")), "crowded_lanes")
 
     def dealt(one: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
         at = [F.pmod("deal", own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)]
-        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in ("node", "root", *names)], *at)
+        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in ("node", "root", "keys", *names)], *at)
 
     def far(lanes: int) -> Column:
         return sum((distance(F.col(f"a_w{k}"), F.col(f"b_w{k}")) for k in range(lanes)), F.lit(0))
@@ -333,10 +338,11 @@ def unmet(keys: DataFrame, rows: DataFrame, stars: DataFrame, side: int = SIDE)
     minor = dealt(fine.where("root <> major"), "rows", "columns", "a_")
     every = dealt(fine, "columns", "rows", "b_").drop("major")
     apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_node") > F.col("b_node")))
-    pairs = minor.join(every, ["key", "rows", "columns"]).where(apart & (far(LANES) <= FAR_WIDE) & (far(FINE_LANES) <= FAR_FINE))
+    least = F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    pairs = minor.join(every, ["key", "rows", "columns"]).where(apart & (far(LANES) <= FAR_WIDE) & (far(FINE_LANES) <= FAR_FINE) & least)
     found = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
-    left = written(found.union(_checked(few, texts, "fine", _near)).distinct(), "unmet")
-    forget(few, rooted, inside, fine)
+    left = written(found, "unmet")
+    forget(rooted, inside, fine)
     return left, texts
 
 
@@ -381,6 +387,16 @@ def _rooted(nodes: DataFrame, stars: DataFrame) -> DataFrame:
     return nodes.join(stars.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("b", "node")).drop("b")
 
 
+def _linked(pairs: DataFrame, rows: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """Components of the stars and of those of the pairs (written) that are SIMILAR."""
+    texts = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows)
+    near = written(_checked(pairs, texts, "fine", _near), "near")
+    alike = written(_checked(near, texts, "shingles", _verified), "alike")
+    found = components(alike if stars is None else stars.union(alike))
+    forget(pairs, texts, near, alike)
+    return found
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, component_id (smallest doc_id of the component), node (hash of the text) and kept:
     whether it has the component's smallest id and, of several texts with that id or of none with an id, the least node."""
@@ -390,11 +406,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
     n = nodes.count()
     keys = written(shared_keys(nodes, n), "shared_keys")
-    first = written(nearest(keys), "nearest")
-    texts = _shingles_of(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows)
-    near = written(_checked(first, texts, "fine", _near), "near")
-    stars = components(_checked(near, texts, "shingles", _verified))
-    forget(texts, first, near)
+    stars = _linked(written(nearest(keys), "nearest"), rows)
+    stars = _linked(written(candidates(keys, stars), "candidates"), rows, stars)
     rest, texts = unmet(keys, rows, stars)
     if not rest.isEmpty():
         stars = components(stars.union(_checked(rest, texts, "shingles", _verified)))
