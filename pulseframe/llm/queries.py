@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import bpe, exact_dedup, langid, lm_scoring, media, mixing, simhash, substring_dedup, toxicity, url_filters
+from pulseframe.llm import bpe, exact_dedup, hard_negatives, langid, lm_scoring, media, mixing, ngram_join, prefix_trie, simhash, substring_dedup, toxicity, url_filters
 from pulseframe.llm.common import remainder, written
 
 #: Fixed rules of op8: host, path, verdict.
@@ -70,7 +70,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op9_media": op9_media, "op10_mixing": op10_mixing}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, label)
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_lm_scoring": op2_lm_scoring, "op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filters": op8_url_filters, "op9_media": op9_media, "op10_mixing": op10_mixing, "op11_prefix_trie": op11_prefix_trie, "op12_hard_negatives": op12_hard_negatives, "op13_ngram_join": op13_ngram_join}
 
 OP3_SQL = r"""
 WITH t AS (
@@ -134,4 +147,56 @@ WITH RECURSIVE sized AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, start, first_slot, last_slot FROM placed LEFT JOIN got USING (k)
 """
 
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_mixing": OP10_SQL}
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT *, conv_id - conv_id % 20 AS base,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h FROM turns
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS s FROM heads a LEFT JOIN turns b ON a.base = b.conv_id
+), prefixes AS (
+  SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM prefixes GROUP BY p, d
+), family AS (
+  SELECT a.conv_id, a.depth, a.n_convs, a.ends_sha256, b.conv_id AS parent_conv_id, a.p,
+    (SELECT count(*) FROM nodes c WHERE c.depth = a.depth + 1 AND c.p[1:a.depth] = a.p) AS n_children FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth - 1 AND b.p = a.p[1:a.depth - 1]
+), below AS (
+  SELECT p[1:up] AS p, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[depth].x, '[^\x20\x09-\x0D]+')) END)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM family) GROUP BY 1, 2
+)
+SELECT conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM family f JOIN below USING (p, depth)
+"""
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT k, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(list_zip(ws[:-3], ws[2:-2], ws[3:]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3]) END) AS sh FROM w
+), t AS (
+  SELECT k, len(sh) AS n, unnest(sh) AS x FROM s
+), p AS (
+  SELECT a.k AS a, b.k AS b FROM t a JOIN t b USING (x) GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(min(o.doc_id), s.doc_id) AS component_id FROM s LEFT JOIN r ON s.k = r.a LEFT JOIN s o ON o.k = r.b GROUP BY s.k, s.doc_id, len(s.sh)
+"""
+
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_mixing": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_ngram_join": OP13_SQL}

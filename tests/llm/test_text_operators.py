@@ -41,7 +41,7 @@ def texts(corpus):
 
 def duck(sql):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con.sql(sql)
 
