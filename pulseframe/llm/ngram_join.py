@@ -40,6 +40,7 @@ from pulseframe.llm.words import columns, grams
 #: Shingles of more nodes than this are frequent, and k of them make a signature: (nodes, k), the last that fits.
 CLASSES = ((0, 1), (64, 2), (4096, 3))
 SINGLE_LEVEL = 3  #: sets of fewer than 2 to this have signatures of one shingle only
+BROADCAST_NODES = 1 << 22  #: nodes that are left up to which their ids (8 bytes each) go to the texts, not the texts to them
 SIDE = 1000  #: members of a signature on one side of a block
 
 
@@ -158,7 +159,9 @@ CORE = "node long, n long, shingles array<long>, counts array<long>"
 def cores(rows: DataFrame, left: DataFrame, rule: Rule) -> DataFrame:
     """text_rows and alive nodes -> node, n, shingles that others have too and in how many nodes each; without nodes that
     have too many of their own."""
-    texts = rows.join(left.select("text_node"), "text_node", "left_semi").groupBy("text_node").agg(F.min("text").alias("text"))
+    asked = left.select("text_node")
+    asked = F.broadcast(asked) if left.count() <= BROADCAST_NODES else asked
+    texts = rows.join(asked, "text_node", "left_semi").groupBy("text_node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
