@@ -36,6 +36,11 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, members: str, total: int)
     return facts.join(hot, key).unionByName(cold.join(dim.where(F.col(members) <= least), key))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

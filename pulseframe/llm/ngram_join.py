@@ -23,7 +23,7 @@ are cut whole. Shingles are told apart by hashes of 64 bits.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -237,10 +237,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     return written(lookup(rows, heads, "signature", "members", rows.count()), "shared_signatures")
 
 
-def _nearest(shared: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) with a > b: each node with the head of most of its signatures that it may be similar to."""
+def _nearest(shared: DataFrame, rule: Rule, stars: DataFrame | None = None) -> DataFrame:
+    """(a, b) with a > b: each node with the head of most of its signatures that it may be similar to; not those in one
+    component of the stars."""
     flat = shared.where("node <> head.node").select("node", "n", "most", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("node", "n", "most")])
     met = flat.where(_possible(rule, "", "head_")).groupBy("node", "head_node").agg(F.count("*").alias("times"))
+    if stars is not None:
+        heads = stars.select(F.col("a").alias("head_node"), F.col("b").alias("head_root"))
+        met = _rooted(met, stars).join(heads, "head_node", "left").where(F.col("root") != F.coalesce("head_root", "head_node"))
     best = met.groupBy("node").agg(F.max_by("head_node", F.struct("times", "head_node")).alias("other"))
     return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
 
@@ -285,25 +289,29 @@ def similar_pairs(pairs: DataFrame, core: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(partial(_verified, rule), "a long, b long")
 
 
-def linked(core: DataFrame, rule: Rule, first: DataFrame | None = None, side: int = SIDE) -> DataFrame:
-    """cores -> (a, b): the component b of each node a that isn't its least. first: pairs to look at before all others."""
+def linked(core: DataFrame, rule: Rule, stars: DataFrame | None = None, side: int = SIDE) -> DataFrame:
+    """cores -> (a, b): the component b of each node a that isn't its least. stars: the same of links already known."""
     shared = _shared(written(signed(core, rule), "signatures"))
-    pairs = written(_nearest(shared, rule) if first is None else _nearest(shared, rule).union(first).distinct(), "nearest")
-    stars = components(written(similar_pairs(pairs, core, rule), "alike"))
+    pairs = written(_nearest(shared, rule, stars), "nearest")
+    alike = written(similar_pairs(pairs, core, rule), "alike")
+    stars = components(alike if stars is None else stars.union(alike))
     rest = _unmet(shared, stars, rule, side)
     if not rest.isEmpty():
         stars = components(stars.union(written(similar_pairs(rest, core, rule), "alike")))
-    forget(shared, pairs, rest)
+    forget(shared, pairs, rest, alike)
     return stars
 
 
-def named(found: DataFrame, stars: DataFrame, by: Callable[[DataFrame], dict[str, Column]]) -> DataFrame:
-    """facts(doc_id, node, ...) with a node, and the columns that `by` aggregates over the rows of each component."""
-    nodes = written(_rooted(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_node").alias("text_node"), F.count("*").alias("members")), stars), "nodes")
-    wanted = by(nodes)
+def named(found: DataFrame, stars: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """facts(doc_id, text_node, node, ...) with a node -> the same with columns aggregated over each component's nodes, of which
+    `first` is the least id and text_node the hash of its text."""
+    known = found.where("node IS NOT NULL")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_node")).alias("least")
+    nodes = known.groupBy("node").agg(least, F.count("*").alias("members")).select("node", F.col("least.doc_id").alias("first"), "least.text_node", "members")
+    nodes = written(_rooted(nodes, stars), "nodes")
     ids = written(nodes.groupBy("root").agg(*[c.alias(k) for k, c in wanted.items()], F.count("*").alias("nodes")), "roots")
     back = written(lookup(nodes.select("node", "root", "members"), ids, "root", "nodes", nodes.count()).select("node", *wanted, "members"), "named")
-    return lookup(found.where("node IS NOT NULL"), back, "node", "members", found.count()).drop("members")
+    return lookup(known, back, "node", "members", found.count()).drop("members")
 
 
 def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,5 +320,5 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_i
     found = facts(rows, rule)
     stars = linked(cores(rows, alive(found, rule), rule), rule)
     found = found.select("doc_id", "text_node", "node", "n")
-    inside = named(found, stars, lambda _: {"component_id": F.min("first")}).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    inside = named(found, stars, {"component_id": F.min("first")}).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return inside.unionByName(found.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

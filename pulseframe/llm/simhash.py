@@ -11,14 +11,7 @@ ask for such a value are linked another way, exact too: two fingerprints differ
 balls of radius 2 share a point, and a point is shared by 2,081 fingerprints at most. Each point links its
 fingerprints to the smallest of them.
 
-similar_documents links by similarity instead: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8
-or more. At 0.8 two SimHash fingerprints differ in 15% of their bits, too many for balls, so candidates come from tables:
-each keys a fingerprint of 256 bits by some of its bits, drawn at random; their number rises with that of the documents
-and there are as many tables as a pair at 0.8 needs to meet in one with RECALL. First each document meets one other: the
-nearest of those that are first of a key of its or up to NEIGHBOURS before it, so a hot key of copies gives no square of
-pairs; then the others of these that aren't in its component yet. Then documents of one key that aren't in one component yet meet in blocks, those in the largest component of the key
-only the others, so that no pair of a table is left out that could change a component. Every pair is verified by the true
-similarity of the two texts but those whose fingerprints, of 64 to 2,048 bits, are too far apart to be similar.
+Wide fingerprints and their tables, for links by similarity, are used by near_copies.
 
 Null and empty texts, and texts of white space, have the fingerprint zero and are linked like any other. Texts of
 fewer than four words have one shingle. Repeated rows keep a row each. An empty table gives an empty result. Only id
@@ -29,7 +22,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -48,20 +41,15 @@ DENSE = 128  #: fingerprints with one segment value, above which pairs are not e
 LAYOUT = ((22, 1), (22, 1), (20, 0))
 #: For more fingerprints than LAYOUT_LIMIT, wider segments: about 280 probes each, but next to no chance matches.
 LAYOUT_LIMIT, WIDE_LAYOUT = 1 << 26, ((32, 2), (32, 1))
-#: Of similar_documents.
-SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+#: Of wide fingerprints.
+SIMILAR = 0.8
 LANES = 4  #: hashes of 64 bits in a wide fingerprint
-RECALL = 0.98  #: of pairs just at SIMILAR, by the angle between them; closer ones are met more often
+RECALL = 0.98  #: of pairs just at SIMILAR, by the angle between sets of equal size; closer ones are met more often
 SPARE_BITS = 2  #: key bits beyond those that number the documents
 NEIGHBOURS = 3
-FAR = 20  #: of the first 64 bits; pairs at SIMILAR differ in 9.7, with a standard deviation of 2.9
-FINE_LANES = 32  #: of the fingerprint that candidates have
-FAR_FINE = 382  #: of its 2,048 bits; pairs at SIMILAR differ in 310, with a standard deviation of 16.2
-FAR_WIDE = 64  #: of all 256 bits; pairs at SIMILAR differ in 38.8, with a standard deviation of 5.7
-SIDE = 1000  #: members of a key on one side of a block
 
 
-def _shingles(text: str | None, size: int) -> list[int]:
+def _shingles(text: str | None, size: int = SHINGLE) -> list[int]:
     """The hashes of all runs of so many words, or of all words if there are fewer."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     n = len(words) - size + 1
@@ -212,11 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _distinct_shingles(text: str | None) -> np.ndarray:
-    return np.unique(np.array(_shingles(text, SIMILAR_SHINGLE), np.uint64))
-
-
-def _majorities(hashes: np.ndarray, lanes: int) -> bytes:
+def majorities(hashes: np.ndarray, lanes: int) -> bytes:
     """lanes x 64 bits of a set of shingles; where as many have a bit as don't, the least shingle decides."""
     counts = np.zeros(lanes * BITS, np.int64)
     if not len(hashes):
@@ -232,21 +216,9 @@ def _majorities(hashes: np.ndarray, lanes: int) -> bytes:
     return np.packbits(np.where(counts == 0, bits(hashes[:1])[0] > 0, counts > 0)).tobytes()
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """LANES x 64 bits from the set of 5-word shingles."""
-    return _majorities(_distinct_shingles(text), LANES)
-
-
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array([wide_fingerprint(x.as_py()) for x in batch.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["doc_id", "node", "bits"])
-
-
 def tables(n: int) -> np.ndarray:
     """For n documents: of each table, the bits of its key."""
     width = min(48, math.ceil(math.log2(max(n, 256))) + SPARE_BITS)
-    # two sets of equal size; those of unequal ones have a smaller angle at the same similarity
     agree = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**width))
     rng = np.random.default_rng(5)
@@ -273,148 +245,15 @@ def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def shared_keys(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> key, node, others, members: of each key that several nodes have, each node
-    with those among the first of the key and the NEIGHBOURS before it that may be similar (distance, node), and how many
-    have the key."""
+    """nodes(node, bits), n of them, each once -> node, others: of each key that several nodes have, each node with those
+    among the first of the key and the NEIGHBOURS before it, and their distance in the first 64 bits."""
     held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
     order = Window.partitionBy("key").orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
-    met = held.select("key", "node", "fp", F.array(*others).alias("others"), F.count("*").over(Window.partitionBy("key")).alias("members")).where("members > 1")
-    near = F.filter("others", lambda o: (o["node"] < F.col("node")) & (distance(F.col("fp"), o["fp"]) <= FAR))
-    return met.select("key", "node", F.array_distinct(F.transform(near, lambda o: F.struct(distance(F.col("fp"), o["fp"]).alias("distance"), o["node"].alias("node")))).alias("others"), "members")
+    met = held.select("node", "fp", F.filter(F.array(*others), lambda o: o["node"] < F.col("node")).alias("others")).where(F.size("others") > 0)
+    return met.select("node", F.array_distinct(F.transform("others", lambda o: F.struct(distance(F.col("fp"), o["fp"]).alias("distance"), o["node"].alias("node")))).alias("others"))
 
 
 def nearest(keys: DataFrame) -> DataFrame:
     """shared_keys -> (a, b) with a > b: each node with the one nearest to it of its others in all keys."""
-    return keys.where(F.size("others") > 0).groupBy(F.col("node").alias("a")).agg(F.min(F.array_min("others"))["node"].alias("b"))
-
-
-def _lanes(width: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(raw[:, k]) for k in range(width)]], names=["node", *[f"w{k}" for k in range(width)]])
-
-    return run
-
-
-def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one component."""
-    for side in ("a", "b"):
-        roots = stars.select(F.col("a").alias(side), F.col("b").alias(f"root_{side}"))
-        pairs = pairs.join(roots, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    return pairs.where("root_a <> root_b").select("a", "b")
-
-
-def candidates(keys: DataFrame, stars: DataFrame) -> DataFrame:
-    """shared_keys and the components found so far -> (a, b) with a > b: each node with its others of other components.
-    Of keys of up to NEIGHBOURS + 1 members these are all pairs."""
-    return _apart(keys.select(F.col("node").alias("a"), F.explode("others.node").alias("b")).distinct(), stars)
-
-
-def unmet(keys: DataFrame, rows: DataFrame, stars: DataFrame, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
-    """shared_keys, rows(node, text) and the components found so far -> (a, b) with a > b: the pairs of one key of more
-    members than candidates pairs, but for those of one component, which no link can change, and those whose fingerprints are
-    too far apart; and _shingles_of their nodes. In a key, members of all components but the largest meet all members of
-    others, in blocks of about side x side; a pair of several keys is found in the least of them."""
-    rooted = written(_rooted(keys.where(F.col("members") > NEIGHBOURS + 1).select("key", "node"), stars), "crowded")
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
-    several = several.select("key", "major", F.ceil((F.col("all") - F.col("most")) / side).alias("rows"), F.ceil(F.col("all") / side).alias("columns"))
-    inside = written(rooted.join(several, "key"), "several_roots")
-    held = inside.groupBy("node").agg(F.collect_set("key").alias("keys"))  # one of each table at most
-    texts = _shingles_of(inside.select("node").distinct(), rows)
-    names = [f"w{k}" for k in range(FINE_LANES)]
-    lanes = texts.select("node", "fine").mapInArrow(_lanes(FINE_LANES), "node long, " + ", ".join(f"{w} long" for w in names))
-    fine = written(inside.join(lanes.join(held, "node"), "node").withColumn("deal", F.xxhash64("node")), "crowded_lanes")
-
-    def dealt(one: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
-        at = [F.pmod("deal", own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)]
-        return one.select("key", "major", *[F.col(c).alias(prefix + c) for c in ("node", "root", "keys", *names)], *at)
-
-    def far(lanes: int) -> Column:
-        return sum((distance(F.col(f"a_w{k}"), F.col(f"b_w{k}")) for k in range(lanes)), F.lit(0))
-
-    minor = dealt(fine.where("root <> major"), "rows", "columns", "a_")
-    every = dealt(fine, "columns", "rows", "b_").drop("major")
-    apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_node") > F.col("b_node")))
-    least = F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
-    pairs = minor.join(every, ["key", "rows", "columns"]).where(apart & (far(LANES) <= FAR_WIDE) & (far(FINE_LANES) <= FAR_FINE) & least)
-    found = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
-    left = written(found, "unmet")
-    forget(rooted, inside, fine)
-    return left, texts
-
-
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            found = _distinct_shingles(batch.column(1)[row].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([_majorities(found, FINE_LANES)]), pa.array([found.tobytes()])], names=["node", "fine", "shingles"])
-
-
-def _shingles_of(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """asked(node), each once, and rows(node, text), each at least once -> node, fine (a finer fingerprint), shingles."""
-    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    return written(texts.mapInArrow(_shingled, "node long, fine binary, shingles binary"), "candidate_texts")
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-        kept = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= FAR_FINE
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            one, two = (np.frombuffer(side.as_py(), np.uint64) for side in (x, y))
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            kept.append(both >= SIMILAR * (len(one) + len(two) - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-
-def _checked(pairs: DataFrame, texts: DataFrame, column: str, check: Callable) -> DataFrame:
-    """The pairs (a, b) that pass a check of that column of their texts."""
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-    return pairs.select("a", "b", f"{column}_a", f"{column}_b").mapInArrow(check, "a long, b long")
-
-
-def _rooted(nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    return nodes.join(stars.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("b", "node")).drop("b")
-
-
-def _linked(pairs: DataFrame, rows: DataFrame, stars: DataFrame | None = None) -> DataFrame:
-    """Components of the stars and of those of the pairs (written) that are SIMILAR."""
-    texts = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows)
-    near = written(_checked(pairs, texts, "fine", _near), "near")
-    alike = written(_checked(near, texts, "shingles", _verified), "alike")
-    found = components(alike if stars is None else stars.union(alike))
-    forget(pairs, texts, near, alike)
-    return found
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, component_id (smallest doc_id of the component), node (hash of the text) and kept:
-    whether it has the component's smallest id and, of several texts with that id or of none with an id, the least node."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    facts = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, node long, bits binary"), "wide_fingerprints")
-    nodes = written(facts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.min("bits").alias("bits")), "nodes")
-    n = nodes.count()
-    keys = written(shared_keys(nodes, n), "shared_keys")
-    stars = _linked(written(nearest(keys), "nearest"), rows)
-    stars = _linked(written(candidates(keys, stars), "candidates"), rows, stars)
-    rest, texts = unmet(keys, rows, stars)
-    if not rest.isEmpty():
-        stars = components(stars.union(_checked(rest, texts, "shingles", _verified)))
-    forget(texts, rest, keys)
-    rooted = _rooted(nodes, stars)
-    best = F.min(F.struct(F.col("first").isNull().alias("nameless"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("best")
-    ids = rooted.groupBy("root").agg(best, F.count("*").alias("fps")).select("root", F.col("best.first").alias("component_id"), F.col("best.node").alias("kept_node"), "fps")
-    named = written(lookup(rooted, written(ids, "roots"), "root", "fps", n).select("node", "component_id", "kept_node", "members"), "named")
-    found = lookup(facts.select("doc_id", "node"), named, "node", "members", facts.count())
-    return found.select("doc_id", "component_id", "node", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("kept_node"))).alias("kept"))
+    return keys.groupBy(F.col("node").alias("a")).agg(F.min(F.array_min("others"))["node"].alias("b"))

@@ -1,9 +1,11 @@
 """Near copies against brute force."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseframe.llm import simhash
+from pulseframe.llm import near_copies, ngram_join, simhash
 from pulseframe.llm.common import written
 from tests.llm.test_text_operators import docs
 
@@ -26,6 +28,10 @@ def groups(texts):
     return root, n
 
 
+def components(spark, texts):
+    return [c for _, c in sorted((r.doc_id, r.component_id) for r in near_copies.similar_documents(docs(spark, texts)).collect())]
+
+
 def test_stage_drops_near_copies(spark):
     rng = np.random.default_rng(3)
     texts = [None, "", "  ", "a b", "a B", "a c"]
@@ -37,58 +43,81 @@ def test_stage_drops_near_copies(spark):
                 other[at] = f"x{k}"
             texts.append(" ".join(other))
     want, linked = groups(texts)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
-    assert linked > 300 and all(want[i] == want[c] for i, c in got.items())  # nothing links that should not
-    removed, all_ = sum(c < i for i, c in got.items()), sum(w < i for i, w in enumerate(want))
-    assert removed >= 0.9 * all_
+    assert linked > 300 and components(spark, texts) == want
     kept = {r.doc_id for r in corpus_pipeline.distinct_near_copies(spark, docs(spark, texts), "").collect()}
-    assert kept == {i for i, c in got.items() if c == i}
-    by_bits = sum(r.component_id < r.doc_id for r in simhash.near_duplicates(docs(spark, texts)).collect())
-    print("removed", removed, "of", all_, "; within 4 bits", by_bits)
+    assert kept == set(want)
+
+
+@pytest.mark.parametrize("short, long", [(8, 9), (12, 14), (20, 24), (59, 72)])
+def test_short_texts(spark, short, long):
+    """Pairs just at 0.8 or above, of texts whose fingerprints say little: all are linked."""
+    texts = []
+    for k in range(150):
+        words = [f"w{k}.{i}" for i in range(long)]
+        texts += [" ".join(words), " ".join(words[:short])]
+    assert groups(texts[:2])[1] == 1
+    assert components(spark, texts) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_most_links_are_found_by_fingerprints(spark):
+    """SimHash finds the links of long texts; the exact join has only the rest to look at."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        other = list(words)
+        for at in rng.integers(0, 300, 5):
+            other[at] = f"x{k}"
+        texts += [" ".join(words), " ".join(other)]
+    rows = ngram_join.text_rows(docs(spark, texts))
+    core = ngram_join.cores(rows, ngram_join.alive(ngram_join.facts(rows, near_copies.RULE), near_copies.RULE), near_copies.RULE)
+    by_bits = ngram_join.similar_pairs(near_copies.nearest_by_fingerprint(core), core, near_copies.RULE).count()
+    assert by_bits >= 0.95 * groups(texts)[1]
 
 
 def test_hot_group(spark):
     base = " ".join(f"w{i}" for i in range(200))
     d = docs(spark, [f"{base} x{i}" for i in range(600)] + ["other words that stand here alone"])
-    nodes = d.select("doc_id", "text").selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
-    keys = written(simhash.shared_keys(nodes, 601), "keys")
-    found = simhash.nearest(keys)
-    assert found.count() < 600
-    rows = d.selectExpr("xxhash64(text) AS node", "text")
-    assert simhash.unmet(keys, rows, simhash.components(found))[0].count() == 0  # one component: nothing is left to meet
-    assert {r.component_id for r in simhash.similar_documents(d).collect()} == {0, 600}
-    assert simhash.similar_documents(d.where("false")).count() == 0
+    rows = ngram_join.text_rows(d)
+    core = ngram_join.cores(rows, ngram_join.alive(ngram_join.facts(rows, near_copies.RULE), near_copies.RULE), near_copies.RULE)
+    pairs = written(near_copies.nearest_by_fingerprint(core))
+    assert pairs.count() < 600
+    stars = simhash.components(pairs)
+    shared = ngram_join._shared(written(ngram_join.signed(core, near_copies.RULE)))
+    assert ngram_join._unmet(shared, stars, near_copies.RULE, 100).count() == 0  # one component: nothing is left to meet
+    assert {r.component_id for r in near_copies.similar_documents(d).collect()} == {0, 600}
+    assert near_copies.similar_documents(d.where("false")).count() == 0
 
 
 def test_keys_of_many_components(spark):
-    """Documents that share half of their words, so keys too, but link in pairs only: no pair of a key is left out."""
+    """Documents that share half of their words, so keys too, but link in pairs only."""
     rng = np.random.default_rng(11)
     base, texts = [f"w{i}" for i in range(150)], []
     for k in range(150):
         own = [f"v{x}" for x in rng.integers(0, 10**6, 40)]
         texts += [" ".join(base + own), " ".join(base + own[:-4] + [f"y{k}"] * 4)]
-    d = docs(spark, texts)
-    facts = d.selectExpr("doc_id", "xxhash64(text) AS node", "text").mapInArrow(simhash._wide_fingerprints, "doc_id long, node long, bits binary")
-    nodes = written(facts.select("node", "bits"), "nodes")
-    keys = written(simhash.shared_keys(nodes, 300), "keys")
-    rows = d.selectExpr("xxhash64(text) AS node", "text")
-    bits = {r.node: [int.from_bytes(x, "big") for x in (r.bits, simhash._majorities(simhash._distinct_shingles(r.text), simhash.FINE_LANES))] for r in nodes.join(rows, "node").collect()}
-    groups_ = {}
-    for r in keys.collect():
-        groups_.setdefault(r.key, []).append(r.node)
-    apart = lambda x, y, k: (bits[x][k] ^ bits[y][k]).bit_count()
-    close = {(x, y) for g in groups_.values() if len(g) > 4 for x in g for y in g if x > y and apart(x, y, 0) <= simhash.FAR_WIDE and apart(x, y, 1) <= simhash.FAR_FINE}
-    stars = simhash.components(spark.createDataFrame(sorted(close)[:5], "a long, b long"))
-    root = {r.a: r.b for r in stars.collect()}
-    want = {(x, y) for x, y in close if root.get(x, x) != root.get(y, y)}
-    for side in (7, 1000):
-        found = [(r.a, r.b) for r in simhash.unmet(keys, rows, stars, side)[0].collect()]
-        assert len(found) == len(want) and set(found) == want  # each pair once
-    assert want
-    roots, _ = groups(texts)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(d).collect()}
-    assert all(roots[i] == roots[c] for i, c in got.items())
-    assert sum(got[i] == roots[i] for i in got) >= 0.97 * len(got)
+    assert components(spark, texts) == groups(texts)[0]
+
+
+def test_kept_rows(spark):
+    """One row of a group stays, whatever its ids; texts of one set of shingles are one group."""
+    base = " ".join(f"w{i}" for i in range(60))
+    d = docs(spark, [base, base.upper(), base + " x", "alone", None, ""], ids=[7, 7, None, None, 4, 4])
+    got = near_copies.similar_documents(d).collect()
+    assert sorted(str(r.component_id) for r in got) == ["4", "4", "7", "7", "7", "None"]
+    assert sum(r.kept for r in got if r.component_id == 7) == 1 and sum(r.kept for r in got if r.component_id is None) == 1
+
+
+def test_columns_of_any_name(spark):
+    """Columns that hold a dot, a map or structs, or are named as a stage's own."""
+    d = docs(spark, ["one two three four five six", "one two three four five  six", "seven eight"]).withColumns({
+        "a.b": F.lit(1), "`": F.lit(2), "row": F.lit("r"), "digest": F.lit("d"), "found_id": F.lit(3), "tags": F.create_map(F.lit("k"), F.col("doc_id")), "parts": F.array(F.struct(F.lit(1).alias("x"))), "node": F.lit(4),
+    })
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, d, "")
+        assert out.columns == d.columns, name
+        d = written(out)
+    assert {r.doc_id for r in d.collect()} <= {0, 1, 2} and d.first()["a.b"] == 1
 
 
 def test_hot_roots(spark):
