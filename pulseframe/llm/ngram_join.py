@@ -41,6 +41,7 @@ from pulseframe.llm.words import columns, grams
 CLASSES = ((0, 1), (64, 2), (4096, 3))
 SINGLE_LEVEL = 3  #: sets of fewer than 2 to this have signatures of one shingle only
 BROADCAST_NODES = 1 << 22  #: nodes that are left up to which their ids (8 bytes each) go to the texts, not the texts to them
+SLICE = 256  #: rows of a batch that a task works on at once
 SIDE = 1000  #: members of a signature on one side of a block
 
 
@@ -87,8 +88,16 @@ def lowered(texts: pa.Array) -> pa.Array:
     texts = texts.fill_null("").cast(pa.large_string())
     if not len(texts) or not texts.buffers()[2]:
         return texts
-    data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)]
-    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], pa.py_buffer(data)], offset=texts.offset)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -125,14 +134,14 @@ def facts(rows: DataFrame, rule: Rule) -> DataFrame:
     """text_rows -> doc_id, text_node, node (of the set; null without words), n (its size), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_pydict(fact_columns(batch.column(0), batch.column(1), list(shingle_sets(batch.column(2), rule.words)), rule))
 
     return written(rows.mapInArrow(run, FACTS), "facts")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         blobs = batch.column(1).to_pylist()
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in blobs])
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(nodes)], names=["shingle", "node"])
@@ -164,7 +173,7 @@ def cores(rows: DataFrame, left: DataFrame, rule: Rule) -> DataFrame:
     texts = rows.join(asked, "text_node", "left_semi").groupBy("text_node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for found in shingle_sets(batch.column(1), rule.words):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(found), node_of(found), np.int64)), "n": pa.array(np.full(len(found), len(found))), "shingle": pa.array(found.view(np.int64))})
 
