@@ -20,9 +20,9 @@ def detrend(x: np.ndarray) -> np.ndarray:
     return x - x.mean() - t * (t @ x / max(t @ t, 1e-300))
 
 
-def butterworth(order: int, edges: tuple[float, ...], rate: float, kind: str = "band") -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital `low`, `high` or `band` pass with the given edges in Hz, by the bilinear
-    transform with pre-warped edges."""
+def _design(order: int, edges: tuple[float, ...], rate: float, kind: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a digital `low`, `high` or `band` pass with the given edges in Hz, by the bilinear transform
+    with pre-warped edges."""
     poles = -np.exp(1j * np.pi * np.arange(1 - order, order, 2) / (2 * order))
     warped = [2 * rate * np.tan(np.pi * f / rate) for f in edges]
     if kind == "band":
@@ -36,7 +36,30 @@ def butterworth(order: int, edges: tuple[float, ...], rate: float, kind: str = "
     twice = 2 * rate
     gain = gain * (np.prod(twice - zeros) / np.prod(twice - analog)).real
     digital = np.concatenate(((twice + zeros) / (twice - zeros), -np.ones(len(analog) - len(zeros))))
-    return np.real(gain * np.poly(digital)), np.real(np.poly((twice + analog) / (twice - analog)))
+    return digital, (twice + analog) / (twice - analog), float(gain)
+
+
+def butterworth(order: int, edges: tuple[float, ...], rate: float, kind: str = "band") -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of such a filter."""
+    zeros, poles, gain = _design(order, edges, rate, kind)
+    return np.real(gain * np.poly(zeros)), np.real(np.poly(poles))
+
+
+def butterworth_sections(order: int, edges: tuple[float, ...], rate: float, kind: str = "band") -> tuple[tuple[float, ...], ...]:
+    """The same filter as a chain of sections (b0, b1, b2, a1, a2) of two poles, or one: their states don't cancel each other,
+    so powers of their transitions stay exact."""
+    zeros, poles, gain = _design(order, edges, rate, kind)
+    upper, real = poles[poles.imag > 1e-9], np.sort(poles[np.abs(poles.imag) <= 1e-9].real)
+    pairs = [[p, p.conjugate()] for p in upper] + [real[i : i + 2].tolist() for i in range(0, len(real), 2)]
+    # a zero from either end for each pair of a band pass
+    left = sorted(zeros.real.tolist())
+    out = []
+    for pair in pairs:
+        own = [left.pop(-1 if i % 2 == 0 else 0) for i in range(len(pair))]
+        top, bottom = np.real(np.poly(own)), np.real(np.poly(pair))
+        out.append((*(gain * np.pad(top, (0, 3 - len(top)))), *np.pad(bottom, (0, 3 - len(bottom)))[1:]))
+        gain = 1.0
+    return tuple(tuple(map(float, x)) for x in out)
 
 
 def filter_once(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -52,18 +75,22 @@ def filter_once(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray)
     return np.array(out)
 
 
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _chained(sections: tuple[tuple[float, ...], ...], x: np.ndarray) -> np.ndarray:
+    """Section after section, each started in the steady state of its first input."""
+    for b0, b1, b2, a1, a2 in sections:
+        level = x[0] * (b0 + b1 + b2) / (1 + a1 + a2)
+        second = b2 * x[0] - a2 * level
+        x = filter_once(np.array([b0, b1, b2]), np.array([1.0, a1, a2]), x, np.array([b1 * x[0] - a1 * level + second, second]))
+    return x
+
+
+def zero_phase(sections: tuple[tuple[float, ...], ...], x: np.ndarray) -> np.ndarray:
     """Filtered forwards and backwards, ends continued by odd reflection, started in the steady state."""
-    n, pad = len(b) - 1, 3 * len(b)
+    pad = 3 * (1 + sum(2 if s[4] else 1 for s in sections))
     if len(x) <= pad:
         raise ValueError("too short to filter")
-    companion = np.zeros((n, n))
-    companion[0], companion[1:, :-1] = -a[1:], np.eye(n - 1)
-    steady = np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
     wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-    forward = filter_once(b, a, wide, steady * wide[0])
-    back = filter_once(b, a, forward[::-1], steady * forward[-1])[::-1]
-    return back[pad:-pad]
+    return _chained(sections, _chained(sections, wide)[::-1])[::-1][pad:-pad]
 
 
 def peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +103,13 @@ def peaks(x: np.ndarray, distance: float, prominence: float) -> tuple[np.ndarray
     level = x[starts]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     found = (starts[top] + ends[top]) // 2
-    found = found[_thinned(found, x[found], int(np.ceil(distance)))]
+    found = found[thinned(found, x[found], int(np.ceil(distance)))]
     rise = _prominences(x, found)
     strong = rise >= prominence
     return found[strong], rise[strong]
 
 
-def _thinned(places: np.ndarray, heights: np.ndarray, gap: int) -> np.ndarray:
+def thinned(places: np.ndarray, heights: np.ndarray, gap: int) -> np.ndarray:
     """Which places stay if, from the highest down (of equal ones the last first), each drops those nearer than gap. Each
     place is dropped once, and walks end at the first one that is far, so steps are as many as places and their neighbours."""
     keep, at = np.ones(len(places), bool), places.tolist()

@@ -49,6 +49,12 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+def event_indexes(found: Column, n: Column) -> Column:
+    """Indexes of events in a series of n samples: what isn't finite goes, fractions are cut off, others outside go."""
+    whole = F.transform(F.filter(found, is_finite), lambda x: x.try_cast("long"))
+    return F.filter(whole, lambda i: (i >= 0) & (i < n))
+
+
 def range_with_margin(low: Column, high: Column, least: Column, most: Column, margin: float = 0.1) -> Column:
     """An axis range from two quantiles, or from the extremes where these coincide: at least 1e-6 wide, with margins."""
     degenerate = ~(high > low)

@@ -51,6 +51,11 @@ def both_modalities(ecg: DataFrame, gsr: DataFrame, subject: str = "subject") ->
     return ecg.join(gsr.select(subject).distinct(), subject, "left_semi")
 
 
+def tasks_in_both(ecg: DataFrame, gsr: DataFrame) -> DataFrame:
+    """subject, task that both modalities have: a subject counts if there is one such task."""
+    return ecg.select("subject", "task").distinct().join(gsr.select("subject", "task").distinct(), ["subject", "task"], "left_semi")
+
+
 def sampling_rate(df: DataFrame, keys: list[str], t: str, previous: str, default: float | None = 50.0) -> DataFrame:
     """keys, rate: one over the median of the positive steps from `previous` to `t` (microseconds), rounded; `default`
     without one, null instead of rates under 2 if there is no default."""

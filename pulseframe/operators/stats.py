@@ -2,61 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.sources.tables import settled
+from pulseframe.functions.values import INF
+from pulseframe.sources.tables import forget, settled
 
-BUCKETS = 1024
 LARGEST = 1 << 20  #: different values sorted in one task
+DIGIT = 10  #: bits of a radix round; ORDER_BITS of them make at most seven rounds
+ORDER_BITS = 64
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
-    """Exact quantiles with linear interpolation (name -> share) of the non-null values of each group, and their number
-    as n. Values are counted first; then equal-width buckets find where the wanted ranks lie, and only these are sorted.
-    A wanted bucket of more than `largest` different values (one far outlier is enough for that) is cut into buckets
-    again, between its own extremes, so no group meets in one task. Values must be finite."""
-    counts = settled(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+def counted(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """keys, _v, _n: how often each value of a group occurs, null and NaN aside; written, for several statistics."""
+    held = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return settled(held.groupBy(*keys, (F.col(value) + F.lit(0.0)).alias("_v")).agg(F.count("*").alias("_n"), *more), "counts")
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, doubles, by whole numbers of the same order."""
+    for batch in batches:
+        bits = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.int64)
+        # of negative doubles the other bits fall as the value rises
+        whole = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(whole)], names=batch.schema.names)
+
+
+def _with_order(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds _o, a long that orders as _v does."""
+    rows = counts.select(*columns, F.col("_v").alias("_o"))
+    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == '_o' else f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_ordered, schema)
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation; equal ends, also infinite ones, stay as they are, and a span beyond doubles doesn't overflow."""
+    span = high - low
+    return F.when((low == high) | (share == 0), low).when(F.abs(span) < INF, low + span * share).otherwise(low * (1 - share) + high * share)
+
+
+def quantiles_of(counts: DataFrame, keys: list[str], asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
+    """counts(keys, _v, _n) -> keys, n and exact quantiles (name -> share) by linear interpolation.
+
+    Values of a group are put in order and their counts summed. A group of more than `largest` different values is first
+    narrowed by radix selection: values become 64-bit numbers of the same order, and in each round the counts of the next
+    DIGIT bits tell which of 1,024 parts hold the wanted ranks. Only these stay, until they are small enough to be sorted:
+    seven rounds at most, whatever the values, infinities included."""
     ranks = F.array_distinct(F.array(*[f((F.col("n") - 1) * F.lit(q)).cast("long") for q in asked.values() for f in (F.floor, F.ceil)]))
-    rows = counts.join(counts.groupBy(*keys).agg(F.sum("_n").alias("n")), keys).select("*", F.lit(0).cast("long").alias("_at"), ranks.alias("_ranks"))
-    part = [*keys, "_at"]  # _at: how many values of the group lie below the part
-    while True:
-        ranges = rows.groupBy(*part).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS), F.lit(BUCKETS - 1)))
-        placed = rows.join(ranges, part).withColumn("_bucket", F.coalesce(place, F.lit(0)).cast("int")).drop("_low", "_high")
-        sizes = placed.groupBy(*part, "_bucket").agg(F.sum("_n").alias("_size"), F.count("*").alias("_values"), F.first("_ranks").alias("_ranks"))
-        sizes = sizes.withColumn("_before", F.col("_at") + F.sum("_size").over(Window.partitionBy(*part).orderBy("_bucket")) - F.col("_size"))
-        hit = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
-        wanted = settled(sizes.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*part, "_bucket", "_before", "_hit", "_values"))
-        inside = placed.drop("_ranks").join(wanted.drop("_values"), [*part, "_bucket"])
-        inside = inside.select(*keys, "n", "_v", "_n", F.col("_before").alias("_at"), F.col("_hit").alias("_ranks"))
-        if (wanted.agg(F.max("_values")).first()[0] or 0) <= largest:
-            break
-        rows = settled(inside)
-    inside = inside.withColumn("_start", F.col("_at") + F.sum("_n").over(Window.partitionBy(*part).orderBy("_v")) - F.col("_n"))
+    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("_values"))
+    rows = counts.select(*keys, "_v", "_n").join(groups, keys).withColumns({"_at": F.lit(0).cast("long"), "_ranks": ranks, "_o": F.lit(0).cast("long")})
+    most = groups.agg(F.max("_values")).first()[0] or 0
+    part, temporary = [*keys, "_at"], []  # _at: how many values of the group lie below the part
+    if most > largest:
+        rows = _with_order(rows.drop("_o"), [*keys, "_v", "_n", "n", "_at", "_ranks"])
+        for low in range(ORDER_BITS - DIGIT, -DIGIT, -DIGIT):
+            low, mask = max(low, 0), (1 << DIGIT) - 1
+            # the sign bit turned, so that negative numbers come first
+            digit = F.shiftrightunsigned(F.col("_o").bitwiseXOR(F.lit(-(1 << 63))), low).bitwiseAND(F.lit(mask))
+            placed = rows.withColumn("_digit", digit)
+            sizes = placed.groupBy(*part, "_digit").agg(F.sum("_n").alias("_size"), F.count("*").alias("_values"), F.first("_ranks").alias("_ranks"))
+            sizes = sizes.withColumn("_before", F.col("_at") + F.sum("_size").over(Window.partitionBy(*part).orderBy("_digit")) - F.col("_size"))
+            hit = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
+            wanted = settled(sizes.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*part, "_digit", "_before", "_hit", "_values"), "wanted")
+            inside = placed.drop("_ranks").join(wanted.drop("_values"), [*part, "_digit"])
+            rows = settled(inside.select(*keys, "_v", "_n", "n", F.col("_before").alias("_at"), F.col("_hit").alias("_ranks"), "_o"), "inside")
+            most = wanted.agg(F.max("_values")).first()[0] or 0
+            forget(wanted, *temporary)
+            temporary = [rows]
+            if most <= largest:
+                break
+    inside = rows.withColumn("_start", F.col("_at") + F.sum("_n").over(Window.partitionBy(*part).orderBy("_v")) - F.col("_n"))
     found = inside.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n")))).where(F.size("_ranks") > 0)
     found = found.groupBy(*keys, "n").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("_ranks", lambda r: F.struct(r, F.col("_v")))))).alias("_found"))
 
     def quantile(q: float) -> Column:
         at = (F.col("n") - 1) * F.lit(q)
         low, high = F.element_at("_found", F.floor(at).cast("long")), F.element_at("_found", F.ceil(at).cast("long"))
-        return low + (high - low) * (at - F.floor(at))
+        return _between(low, high, at - F.floor(at))
 
     return found.select(*keys, "n", *[quantile(q).alias(name) for name, q in asked.items()])
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
+    """Exact quantiles with linear interpolation (name -> share) of the values of each group, null and NaN aside, and their
+    number as n."""
+    return quantiles_of(counted(df, keys, value), keys, asked, largest)
+
+
+def spread_of(counts: DataFrame, keys: list[str], asked: dict[str, float] | None = None, largest: int = LARGEST) -> DataFrame:
+    """counts(keys, _v, _n) -> n, med, mad (median absolute deviation, unscaled) and other quantiles asked for. Deviations
+    are counted from the counts: the rows aren't read again."""
+    med = settled(quantiles_of(counts, keys, {"med": 0.5} | (asked or {}), largest), "medians")
+    away = counts.join(med.select(*keys, "med"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("med")).alias("_v")).agg(F.sum("_n").alias("_n"))
+    return med.join(quantiles_of(settled(away.where(~F.isnan("_v")), "deviations"), keys, {"mad": 0.5}, largest).drop("n"), keys)
+
+
 def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, med and mad (median absolute deviation, unscaled) of the non-null values of each group."""
-    med = settled(quantiles(df, keys, value, {"med": 0.5}))
-    away = df.where(F.col(value).isNotNull()).join(med, keys).withColumn("_away", F.abs(F.col(value) - F.col("med")))
-    return med.join(quantiles(away, keys, "_away", {"mad": 0.5}).drop("n"), keys)
+    """n, med and mad (median absolute deviation, unscaled) of the values of each group, null and NaN aside."""
+    return spread_of(counted(df, keys, value), keys)
+
+
+def modes_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts(keys, _v, _n, _first) -> mode_value (of several, the one met first) and mode_fraction."""
+    best = counts.groupBy(*keys).agg(F.max_by("_v", F.struct(F.col("_n"), (-F.col("_first")).alias("f"))).alias("mode_value"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
+    return best.select(*keys, "mode_value", (F.col("_most") / F.col("_all")).alias("mode_fraction"))
 
 
 def modes(df: DataFrame, keys: list[str], value: str, idx: str) -> DataFrame:
     """mode_value (of several, the one met first) and mode_fraction of the non-null values of each group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"), F.min(idx).alias("_first"))
-    best = counts.groupBy(*keys).agg(F.max_by("_v", F.struct(F.col("_n"), (-F.col("_first")).alias("f"))).alias("mode_value"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
-    return best.select(*keys, "mode_value", (F.col("_most") / F.col("_all")).alias("mode_fraction"))
+    return modes_of(counts, keys)
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -71,7 +130,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """rows, and {value}_mean, _std (sample), _median, _min, _max of each group; NaN counts as missing."""
+    """rows, and {value}_mean, _std (sample), _median, _min, _max of each group; NaN counts as missing, infinities don't."""
     clean = df.select(*keys, *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in values])
     plain = clean.groupBy(*keys).agg(F.count("*").alias("rows"), *[x for v in values for x in (F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_std"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"))])
     long = clean.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).alias("_x")) for v in values])).alias("_e")).select(*keys, "_e.*")

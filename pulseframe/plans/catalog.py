@@ -10,17 +10,14 @@ from pulseframe.functions import faces as geometry
 from pulseframe.functions.values import finite
 from pulseframe.operators import anomalies, expand, features, quality, resample, stats
 from pulseframe.operators.ordered import with_previous
-from pulseframe.plans import proxies, roundtrips
+from pulseframe.plans import kernels, proxies, roundtrips
 from pulseframe.plans.oracles import ORACLES as SIGNAL_ORACLES
+from pulseframe.plans.roundtrips import rounded
+from pulseframe.sources.tables import settled
 
-DIGITS = 6
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def fixed_rate_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = expand.expand_rows(proxies.channel_rows(spark, sf_dir), ["subject"], "order", "t", "samples")
     return rounded(found.select("subject", labels.label(F.col("trigger"), "en").alias("trust"), "sample_idx", times.rounded_ms(F.col("t")).alias("t"), "value"))
@@ -91,17 +88,25 @@ def sampling_rate_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(expand.sampling_rate(rows, ["subject"], "t", "previous_t"))
 
 
+def _signal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The signal, and the counts of its values."""
+    signal = settled(proxies.signal(spark, sf_dir), "signal")
+    return signal, anomalies.value_counts(signal)
+
+
 def gsr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.point_rows(anomalies.gsr_points(proxies.signal(spark, sf_dir), proxies.GSR))
+    signal, values = _signal(spark, sf_dir)
+    return anomalies.point_rows(anomalies.gsr_points(signal, proxies.GSR, values))
 
 
 def gsr_anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = proxies.signal(spark, sf_dir)
-    return rounded(anomalies.gsr_summary(anomalies.gsr_points(signal, proxies.GSR), rules=proxies.GSR, signal=signal))
+    signal, values = _signal(spark, sf_dir)
+    return rounded(anomalies.gsr_summary(anomalies.gsr_points(signal, proxies.GSR, values), rules=proxies.GSR, values=values))
 
 
 def _ecg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.ecg_points(proxies.signal(spark, sf_dir), proxies.ECG)
+    signal, values = _signal(spark, sf_dir)
+    return anomalies.ecg_points(signal, proxies.ECG, counts=values)
 
 
 def ecg_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +114,8 @@ def ecg_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecg_anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = proxies.signal(spark, sf_dir)
-    return rounded(anomalies.ecg_summary(anomalies.ecg_points(signal, proxies.ECG), rules=proxies.ECG, signal=signal))
+    signal, values = _signal(spark, sf_dir)
+    return rounded(anomalies.ecg_summary(anomalies.ecg_points(signal, proxies.ECG, counts=values), rules=proxies.ECG, values=values))
 
 
 def condition_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +171,7 @@ def box_group_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.lit(1280), F.lit(720)
     face = F.struct((F.col("left") * 10 + 300).alias("x"), F.col("top").alias("y"), (F.col("bottom") - 400).alias("w"), (F.col("bottom") - 380).alias("h"))
-    return proxies.box_rows(spark, sf_dir).select("path", boxes.crop_box(F.array(face), w, h).alias("b")).select("path", "b.*")
+    return boxes.with_crop_box(proxies.box_rows(spark, sf_dir).select("path", F.array(face).alias("faces")), F.col("faces"), w, h).select("path", "box.*")
 
 
 def _face(profile: str) -> geometry.Face:
@@ -220,5 +225,5 @@ QUERIES = {
 for _name, _measures in (("ear_geometry", geometry.ear), ("face3d_geometry", geometry.face3d), ("au_geometry", geometry.action_units)):
     for _profile in geometry.PROFILES:
         QUERIES[f"{_name}_{_profile}"] = _geometry(_measures, _profile)
-QUERIES |= roundtrips.QUERIES
-ORACLES = SIGNAL_ORACLES | roundtrips.ORACLES
+QUERIES |= roundtrips.QUERIES | kernels.QUERIES
+ORACLES = SIGNAL_ORACLES | roundtrips.ORACLES | kernels.ORACLES

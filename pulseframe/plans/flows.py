@@ -29,12 +29,22 @@ def ecg_signal(raw: DataFrame, mode: str = "channels") -> DataFrame:
     return found.select("subject", "task", F.col("i").alias("idx"), "t", "value")
 
 
+def processed_signal(good: DataFrame) -> DataFrame:
+    """Good rows of processed files (subject, task, file, row, t, value) -> signal: idx dense in each task, over its files in
+    order of their names, and place dense in each subject, whose tasks stand one behind the other."""
+    rows = settled(in_file_order(good, ["subject", "task"]).select("subject", "task", F.col("seq").alias("idx"), "t", "value", "trust"))
+    tasks = Window.partitionBy("subject").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("subject", "task").agg(F.count("*").alias("_n")).select("subject", "task", F.coalesce(F.sum("_n").over(tasks), F.lit(0)).alias("_before"))
+    return rows.join(before, ["subject", "task"]).withColumn("place", F.col("idx") + F.col("_before")).drop("_before")
+
+
 def ecg_quality(signal: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """signal -> features of each recording, anomaly summary of each subject, and grades."""
     tasks = Window.partitionBy("subject").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     sizes = signal.groupBy("subject", "task").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(tasks), F.lit(0)))
     joined = settled(signal.join(sizes.drop("_n"), ["subject", "task"]).withColumn("idx", F.col("idx") + F.col("_before")).drop("_before"))
-    summary = settled(anomalies.ecg_summary(anomalies.ecg_points(joined), errors, signal=joined))
+    values = anomalies.value_counts(joined)
+    summary = settled(anomalies.ecg_summary(anomalies.ecg_points(joined, counts=values), errors, values=values))
     found = settled(features.ecg_features(signal))
     return found, summary, quality.grade(found, summary)
 

@@ -14,7 +14,8 @@ from pulseframe.plans import proxies
 from pulseframe.sources import recordings, sinks
 from pulseframe.sources.tables import scratch_path
 
-#: Event types and the subjects they stand for.
+#: Folders above those of subjects, and event types with the subjects they stand for.
+FOLDERS = {"T001": "a b", "T002": "p[1]", "T003": "x%20y", "T004": "q{1}", "T005": "a+b"}
 SUBJECTS = {"click": "T001", "error": "T002", "purchase": "T003", "signup": "T004", "view": "T005"}
 
 
@@ -22,28 +23,29 @@ def _subject():
     return F.coalesce(*[F.when(F.col("subject") == k, v) for k, v in SUBJECTS.items()])
 
 
-def _raw_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Raw skin-resistance recordings as CSV, a folder a subject; T002's columns stand in another order."""
+def raw_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Raw skin-resistance recordings as CSV, a folder a subject, some with characters that patterns and addresses use;
+    T002's columns stand in another order."""
     rows = proxies.raw_events(spark, sf_dir).withColumn("subject", _subject())
     text = rows.select("subject", "seq", times.text_ms(F.col("t")).alias("Timestamp"), F.col("value").cast("string").alias(recordings.RESISTANCE), F.col("trigger").alias("Trigger"))
     top = scratch_path(spark, "recordings")
     for subject in SUBJECTS.values():  # one write a folder, as recordings come
         columns = ["Timestamp", "Trigger", recordings.RESISTANCE] if subject == "T002" else ["Timestamp", recordings.RESISTANCE, "Trigger"]
-        sinks.write_csv(text.where(F.col("subject") == subject), f"{top}/{subject}/raw", columns)
-    return [f"{top}/{subject}/raw" for subject in SUBJECTS.values()]
+        sinks.write_csv(text.where(F.col("subject") == subject).orderBy("seq"), f"{top}/{FOLDERS[subject]}/{subject}/raw", columns)
+    return [f"{top}/{FOLDERS[subject]}/{subject}/raw" for subject in SUBJECTS.values()]
 
 
 def csv_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings.gsr_rows(spark, _raw_files(spark, sf_dir)).select("subject", "t", "value", "trigger")
+    return recordings.gsr_rows(spark, raw_files(spark, sf_dir)).select("subject", "t", "value", "trigger")
 
 
 def csv_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recordings.trigger_rows(recordings.gsr_rows(spark, _raw_files(spark, sf_dir)))
+    found = recordings.trigger_rows(recordings.gsr_rows(spark, raw_files(spark, sf_dir)))
     return found.groupBy("subject", "trigger").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
 
 
 def csv_subject_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recordings.gsr_rows(spark, _raw_files(spark, sf_dir))
+    rows = recordings.gsr_rows(spark, raw_files(spark, sf_dir))
     kept = recordings.subjects(rows, first=2, without=["T004"])
     return kept.groupBy("subject").agg(F.count("*").alias("n"))
 
@@ -82,13 +84,13 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proxies_rounded(stats.median_and_mad(proxies.signal(spark, sf_dir), ["subject"], "value"))
+    return rounded(stats.median_and_mad(proxies.signal(spark, sf_dir), ["subject"], "value"))
 
 
 def quantiles_with_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One value of 1e12 beside all others: buckets are cut again."""
     rows = proxies.signal(spark, sf_dir).withColumn("value", F.when((F.col("subject") == "view") & (F.col("idx") == 0), 1e12).otherwise(F.col("value")))
-    return proxies_rounded(stats.quantiles(rows, ["subject"], "value", {"p005": 0.005, "p50": 0.5, "p90": 0.9, "p95": 0.95}, largest=16))
+    return rounded(stats.quantiles(rows, ["subject"], "value", {"p005": 0.005, "p50": 0.5, "p90": 0.9, "p95": 0.95}, largest=16))
 
 
 def rate_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +104,13 @@ def area_under_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trapezoids between neighbours, in value hours."""
     rows = with_previous(proxies.signal(spark, sf_dir), ["subject"], "idx", {"previous_t": "t", "previous": "value"})
     area = (F.col("value") + F.col("previous")) / 2 * (F.col("t") - F.col("previous_t")) / 3.6e9
-    return proxies_rounded(rows.groupBy("subject").agg(F.sum(area).alias("area")), 4)
+    return rounded(rows.groupBy("subject").agg(F.sum(area).alias("area")), 4)
 
 
 def first_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a plot of one subject shows of its first 100 samples."""
     rows = proxies.signal(spark, sf_dir).withColumn("reasons", F.when(F.col("value") > 100, F.array(F.lit("high"))).otherwise(F.array().cast("array<string>")))
-    return proxies_rounded(sinks.plot_series(rows, "view", 10.0, 10.0))
+    return rounded(sinks.plot_series(rows, "view", 10.0, 10.0))
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,7 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.in_report_order(users).limit(20)
 
 
-def proxies_rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 

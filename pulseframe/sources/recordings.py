@@ -1,8 +1,7 @@
 """Reads raw and processed recordings.
 
-Samples are numbered by the place of their line, which Spark doesn't keep across the pieces of a split file. Readers
-therefore take whole lines with their file and an offset in it: `row` rises with the line within a file, files are in
-order of their names. All columns are read as text; bad values go to an errors frame instead of failing the task.
+Samples are numbered by the place of their line: `row` in its file, `seq` over all files of a subject in order of their
+names, both from 0. All columns are read as text; bad values go to an errors frame instead of failing the task.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import labels, times
 from pulseframe.functions.values import parsed
+from pulseframe.operators.ordered import BLOCK, number_rows
+from pulseframe.sources.lines import csv_cells, literal
 
 CHANNELS = [f"raw ecg{i}" for i in range(1, 51)]
 RESISTANCE = "Resistance(Koum)"
@@ -23,64 +24,26 @@ NPY_COLUMNS = ["Timestamp", RESISTANCE, "Trigger"]
 LEAST_BYTES = 20 * 1024  #: smaller .npy files hold no recording
 
 
-def text_rows(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, positional: bool = False) -> DataFrame:
-    """CSV with a header (a byte-order mark aside) as text columns, with file, subject and row: where its piece of the file starts,
-    and a number that rises with the lines of a piece. in_file_order makes dense numbers of it.
-
-    Columns go by their names in each file: files whose headers differ, in order too, are read apart. A column that a
-    file lacks is null there. positional: all files together, by the place of the columns."""
-    if positional:
-        return _text_rows(spark, paths, None)
-    headers: dict[str, list[str]] = {}
-    for r in _first_lines(spark, paths).collect():  # one line a file
-        headers.setdefault(r.header.strip(), []).append(r.file)
-    if not headers:
-        return _text_rows(spark, paths, columns)
-    found = [_text_rows(spark, files, columns) for _, files in sorted(headers.items())]
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out
-
-
-def _first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    return lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
-
-
-def _text_rows(spark: SparkSession, paths: str | list[str], columns: list[str] | None) -> DataFrame:
-    rows = spark.read.option("header", True).csv(paths)
-    known = {c.lstrip("\ufeff").strip(): c for c in rows.columns}
-    data = columns or list(known)
-    named = [F.col(f"`{known[c]}`").alias(c) if c in known else F.lit(None).cast("string").alias(c) for c in data]
-    rows = rows.select(*named, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
-    rows = rows.withColumn("row", F.struct("_start", "_id")).drop("_start", "_id")
-    return rows.withColumn("subject", F.upper(labels.path_subject(F.col("file"))))
-
-
 def _numbers(names: list[str]) -> Column:
     return F.array(*[F.expr(f"try_cast(`{c}` AS double)") for c in names])
 
 
 def ecg_rows(spark: SparkSession, paths: str | list[str], positional: bool = False) -> DataFrame:
-    """subject, file, row, t, samples array<double>, trigger. positional: first column time, the next 50 samples, the
+    """subject, file, row, seq, t, samples array<double>, trigger. positional: first column time, the next 50 samples, the
     last the trigger, whatever their names."""
-    rows = text_rows(spark, paths, positional=positional)
-    data = [c for c in rows.columns if c not in ("file", "row", "subject")]
-    names, time, trigger = (data[1:51], data[0], data[-1]) if positional else (CHANNELS, "Timestamp", "Trigger")
-    return rows.select("subject", "file", "row", times.micros(times.parse(F.col(f"`{time}`"))).alias("t"), _numbers(names).alias("samples"), F.col(f"`{trigger}`").alias("trigger"))
+    samples = {f"s{i}": i + 1 if positional else name for i, name in enumerate(CHANNELS)}
+    rows = csv_cells(spark, paths, {"time": 0 if positional else "Timestamp", "trigger": -1 if positional else "Trigger"} | samples)
+    return rows.select("subject", "file", "row", "seq", times.micros(times.parse(F.col("time"))).alias("t"), _numbers(list(samples)).alias("samples"), "trigger")
 
 
 def gsr_rows(spark: SparkSession, paths: str | list[str], positional: bool = False) -> DataFrame:
-    """subject, file, row, t, value, trigger."""
-    rows = text_rows(spark, paths, positional=positional)
-    data = [c for c in rows.columns if c not in ("file", "row", "subject")]
-    time, value, trigger = (data[0], data[1], data[-1]) if positional else ("Timestamp", RESISTANCE, "Trigger")
-    return rows.select("subject", "file", "row", times.micros(times.parse(F.col(f"`{time}`"))).alias("t"), parsed(F.col(f"`{value}`")).alias("value"), F.col(f"`{trigger}`").alias("trigger"))
+    """subject, file, row, seq, t, value, trigger."""
+    rows = csv_cells(spark, paths, {"time": 0, "value": 1, "trigger": -1} if positional else {"time": "Timestamp", "value": RESISTANCE, "trigger": "Trigger"})
+    return rows.select("subject", "file", "row", "seq", times.micros(times.parse(F.col("time"))).alias("t"), parsed(F.col("value")).alias("value"), "trigger")
 
 
 def trigger_rows(rows: DataFrame) -> DataFrame:
-    """Rows whose trigger is neither empty nor `null`, trimmed."""
+    """Rows whose trigger is neither empty nor `null`, trimmed; with their seq, the index of a label's rows over all files."""
     trimmed = F.trim("trigger")
     return rows.withColumn("trigger", trimmed).where((trimmed != "") & (trimmed != "null"))
 
@@ -89,8 +52,7 @@ def processed_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     """Processed signals (Timestamp, Data, Trust): good rows (subject, task, file, row, t, value, trust), and errors
     (subject, file, row, reason, data), row being the line in the file, its header the first. A row is good only if time
     and value both are."""
-    rows = text_rows(spark, paths, ["Timestamp", "Data", "Trust"])
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("row")).cast("long") + 1)
+    rows = csv_cells(spark, paths, {c: c for c in ("Timestamp", "Data", "Trust")}).withColumn("row", F.col("row") + 2)
     rows = rows.withColumn("t", times.micros(times.parse(F.col("Timestamp")))).withColumn("value", parsed(F.col("Data")))
     task = F.coalesce(F.nullif(F.regexp_extract(labels.stem(F.col("file")), r"(?i)_(T(?:12|22|32))_(?:low|medium|high)", 1), F.lit("")), F.lit("all"))
     rows = rows.withColumn("task", F.upper(task))
@@ -103,7 +65,7 @@ def processed_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
 def npy_rows(spark: SparkSession, paths: str | list[str], least_bytes: int = LEAST_BYTES, trusted: bool = False) -> DataFrame:
     """subject, file, row, t, value, trigger of 2-D arrays in .npy files above a size. The first row is a header if its
     first cell is text that is no time. Arrays of objects are pickled and run code when loaded: only if trusted."""
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") > least_bytes).select("path", "content")
+    files = spark.read.format("binaryFile").load(literal(spark, paths)).where(F.col("length") > least_bytes).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -125,11 +87,11 @@ def npy_rows(spark: SparkSession, paths: str | list[str], least_bytes: int = LEA
 
 
 def in_file_order(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds seq, dense from 0 over a series' files in order of their names, and their rows."""
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "file").orderBy("row")) - 1)
+    """Sets seq, dense from 0 over a series' files in order of their names, and their rows: of the rows that are left."""
+    rows = number_rows(rows.drop("seq"), [*keys, "file"], ["row"], F.expr(f"row div {BLOCK}"), "_r")
     sizes = rows.groupBy(*keys, "file").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(sizes.select(*keys, "file", before.alias("_before")), [*keys, "file"]).withColumn("seq", F.col("_r") + F.col("_before")).drop("_r", "_before")
+    return rows.join(sizes.select(*keys, "file", before.alias("_before")), [*keys, "file"]).withColumn("seq", F.col("_r") + F.col("_before")).drop("_r", "_before")
 
 
 def subjects(rows: DataFrame, first: int | None = None, last: int | None = None, names: list[str] | None = None, without: list[str] = ()) -> DataFrame:

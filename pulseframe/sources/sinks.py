@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import labels, times
+from pulseframe.operators import quality
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -34,6 +35,13 @@ def write_face_tables(features: DataFrame, path: str) -> None:
     features.where("error IS NOT NULL").select("image_name", labels.message(F.col("error")).alias("reason")).write.mode("overwrite").parquet(f"{path}/failed")
 
 
+def write_quality_tables(graded: DataFrame, path: str) -> None:
+    """All grades, those to discard, those to review, and a status for each subject."""
+    tables = {"detail": graded, "discard": graded.where("recommendation = 'drop'"), "review": graded.where("recommendation = 'review'"), "summary": quality.subject_status(graded)}
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def html_table(rows: DataFrame, title: str, most: int | None = None) -> str:
     """A page with the frame's rows, for summaries of one row per subject; most: only the first so many, which the page says."""
     cell = lambda x: html.escape("" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x))

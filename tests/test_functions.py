@@ -93,12 +93,22 @@ def test_butterworth_edges(kind, passed, stopped):
 
 
 def test_zero_phase():
-    b, a = dsp.butterworth(3, (0.5, 5.0), 200.0)
-    assert np.abs(dsp.zero_phase(b, a, np.ones(4000))).max() < 1e-9
+    sections = dsp.butterworth_sections(3, (0.5, 5.0), 200.0)
+    assert np.abs(dsp.zero_phase(sections, np.ones(4000))).max() < 1e-9
     x = np.sin(2 * np.pi * 1.2 * np.arange(6000) / 200)
-    assert np.corrcoef(x[1000:-1000], dsp.zero_phase(b, a, x)[1000:-1000])[0, 1] > 0.999999
+    assert np.corrcoef(x[1000:-1000], dsp.zero_phase(sections, x)[1000:-1000])[0, 1] > 0.999999
     with pytest.raises(ValueError):
-        dsp.zero_phase(b, a, np.ones(10))
+        dsp.zero_phase(sections, np.ones(10))
+
+
+@pytest.mark.parametrize("asked", [(3, (0.5, 5.0), 200.0), (2, (0.05,), 50.0, "high"), (4, (3.0,), 50.0, "low"), (1, (2.0,), 50.0, "low"), (3, (2.0,), 50.0, "high")])
+def test_sections(asked):
+    """Sections multiply to the whole filter."""
+    top, bottom = np.ones(1), np.ones(1)
+    for b0, b1, b2, a1, a2 in dsp.butterworth_sections(*asked):
+        top, bottom = np.convolve(top, [b0, b1, b2]), np.convolve(bottom, [1, a1, a2])
+    b, a = dsp.butterworth(*asked)
+    assert np.allclose(top[: len(b)], b, atol=1e-15) and np.allclose(bottom[: len(a)], a) and not top[len(b) :].any() and not bottom[len(a) :].any()
 
 
 def test_savitzky_golay():
@@ -179,7 +189,7 @@ def test_head_pose(spark):
 
 def boxed(spark, found, w=1280, h=720):
     df = spark.createDataFrame([(found, w, h)], "faces array<struct<x: double, y: double, w: double, h: double>>, w int, h int")
-    return tuple(df.select(boxes.crop_box(F.col("faces"), F.col("w"), F.col("h")).alias("b")).first().b)
+    return tuple(boxes.with_crop_box(df, F.col("faces"), F.col("w"), F.col("h")).first().box)
 
 
 def test_boxes(spark):

@@ -106,6 +106,23 @@ def test_quantiles(spark, seed):
         assert np.allclose([r.med, r.mad], [med, np.median(np.abs(groups[r.k] - med))])
 
 
+@pytest.mark.parametrize("largest", [4, 16])
+def test_quantiles_of_extreme_values(spark, largest):
+    """Infinities, the largest and smallest doubles, both zeros: parts shrink by their bits, so it ends."""
+    rng = np.random.default_rng(largest)
+    values = np.concatenate((rng.normal(size=80), [INF, -INF, 1e308, -1e308, 1.7e308, -1.7e308, 5e-324, -5e-324, 0.0, -0.0, 1e-308, 1.0 + 2**-52, 1.0], np.full(30, 2.5)))
+    df = spark.createDataFrame([("a", float(x)) for x in values] + [("a", NAN), ("b", INF), ("b", INF), ("c", -1.7e308), ("c", 1.7e308)], "k string, v double")
+    asked = {"p0": 0.0, "p1": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r.k: r for r in stats.quantiles(df, ["k"], "v", asked, largest=largest).collect()}
+    ordered_ = np.sort(values)
+    for name, q in asked.items():
+        at = q * (len(values) - 1)
+        low, high = ordered_[math.floor(at)], ordered_[math.ceil(at)]
+        want = low if low == high or at == math.floor(at) else low * (1 - at % 1) + high * (at % 1)
+        assert got["a"][name] == pytest.approx(want)
+    assert got["a"].n == len(values) and got["b"].p50 == INF and got["c"].p50 == 0.0 and got["c"].p25 == pytest.approx(-0.85e308)
+
+
 def test_modes(spark):
     df = spark.createDataFrame([("a", 2.0, 0), ("a", 1.0, 1), ("a", 1.0, 2), ("a", 2.0, 3), ("a", None, 4)], "k string, v double, i long")
     assert rows(stats.modes(df, ["k"], "v", "i")) == [("a", 2.0, 0.5)]
@@ -284,16 +301,6 @@ def test_scr_features(spark):
     assert len(events) == r.scr_count and [round(e.peak_idx / rate) for e in large] == [16, 41, 66]
     assert all(e.onset_idx < e.peak_idx < e.recovery_idx and e.rise_time_sec <= 4 for e in large)
     assert r.scr_amp_sum == pytest.approx(sum(e.amplitude for e in events)) and r.scr_amp_max == max(e.amplitude for e in events)
-    assert features.scr_row(np.array([1.0, NAN, 3.0]), 50.0)["quality_flags"] == "short_duration;no_scr_events"
-
-
-def test_eda_rows(spark):
-    t = np.arange(50 * 60) / 50
-    x = 5 + 0.02 * t + np.where(t >= 20, (1 - np.exp(-(t - 20) / 0.7)) * np.exp(-(t - 20) / 3), 0)
-    found = features.eda_rows(spark.createDataFrame([("T1", "T12", i, float(v)) for i, v in enumerate(x)] + [("T1", "T22", 0, 1.0)], "subject string, task string, idx long, value double")).cache()
-    rows_ = found.where("task = 'T12'").orderBy("idx").collect()
-    assert np.abs(np.array([r.tonic + r.phasic - r.clean for r in rows_])[500:-500]).max() < 0.2 and np.abs(np.array([r.clean - r.raw for r in rows_])).max() < 0.05
-    assert any(20 < r.idx / 50 < 24 for r in rows_ if r.peak) and found.where("task = 'T22' AND phasic = 0").count() == 1
 
 
 def test_face_features_and_summary(spark):

@@ -137,6 +137,46 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.plot_series(odd, "T1", 1.0)) == [(0.0, 0.5, True)]
 
 
+@pytest.mark.parametrize("folder", ["a b", "p[1]", "q{1}", "x%20y", "a+b", "实验", "st*r", "q?"])
+def test_paths_of_any_name(spark, tmp_path, folder):
+    put(tmp_path / folder / "T003/x.csv", "Timestamp,Resistance(Koum),Trigger", "24-05-01 10:00:00.000,1.5,T12")
+    found = recordings.gsr_rows(spark, str(tmp_path / folder / "T003"))
+    r = found.first()
+    assert found.count() == 1 and (r.subject, r.value, r.row, r.seq) == ("T003", 1.5, 0, 0) and f"/{folder}/T003/x.csv" in r.file
+    assert recordings.gsr_rows(spark, [str(tmp_path / folder / "T003/x.csv")]).count() == 1
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Files cut into many pieces, with blank lines, quoted cells, short lines, and one file without a row."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        body = lambda n, s: [x for i in range(n) for x in ([f'"24-05-01 10:00:00.{i:03d}",{i},"T12"'] if i % 7 else ["", f"24-05-01 10:00:00.{i:03d},{i}", "  "])]
+        put(tmp_path / "T001/a.csv", "Timestamp,Resistance(Koum),Trigger", *body(150, 0))
+        put(tmp_path / "T001/b.csv", "", "Resistance(Koum),Timestamp,Trigger", "5,24-05-01 10:00:01.000,T22", bom=False)
+        put(tmp_path / "T001/c.csv", "Timestamp,Resistance(Koum),Trigger")
+        put(tmp_path / "T001/d.csv", "Trigger,Resistance(Koum),More", "T32,7,x")
+        put(tmp_path / "T002/a.csv", "Timestamp,Resistance(Koum),Trigger", *body(40, 1))
+        got = recordings.gsr_rows(spark, [f"{tmp_path}/T001", f"{tmp_path}/T002"]).orderBy("subject", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one, two = [r for r in got if r.subject == "T001"], [r for r in got if r.subject == "T002"]
+    assert [r.seq for r in one] == list(range(152)) and [r.row for r in one] == [*range(150), 0, 0]
+    assert [r.value for r in one] == [*map(float, range(150)), 5.0, 7.0] and [r.trigger for r in one] == [*["T12" if i % 7 else None for i in range(150)], "T22", "T32"]
+    assert [r.t is None for r in one] == [False] * 151 + [True] and [r.seq for r in two] == list(range(40)) and [r.value for r in two] == list(map(float, range(40)))
+
+
+def test_broken_images(spark, tmp_path):
+    bmp(tmp_path / "T005/aT12.bmp", 40, 30, (10, 20, 30))
+    (tmp_path / "T005/bT12.jpg").write_bytes(b"no image")
+    pixels = images.pixels(spark, f"{tmp_path}/T005")
+    assert [(p.rsplit("/")[-1], e) for p, e in rows(pixels, "path", "error")] == [("aT12.bmp", None), ("bT12.jpg", "imread_failed")]
+    found = images.faces(pixels, lambda image: [])
+    assert [e for _, e in rows(found, "path", "error")] == [None, "imread_failed"]
+    group = images.group_boxes(found)
+    assert group.first().image_count == 2 and sorted((r.ok, r.message) for r in images.grey_crops(pixels, group).collect()) == [(False, "imread_failed"), (True, "")]
+    assert [e for _, e in rows(images.landmarks(pixels, lambda image: None), "path", "error")] == ["no_face", "imread_failed"]
+
+
 def test_columns_by_name(spark, tmp_path):
     """Files of one folder whose columns stand in different orders, one with a byte-order mark."""
     (tmp_path / "T001").mkdir()
