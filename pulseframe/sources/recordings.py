@@ -54,7 +54,7 @@ def processed_rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     and value both are."""
     rows = csv_cells(spark, paths, {c: c for c in ("Timestamp", "Data", "Trust")}).withColumn("row", F.col("row") + 2)
     rows = rows.withColumn("t", times.micros(times.parse(F.col("Timestamp")))).withColumn("value", parsed(F.col("Data")))
-    task = F.coalesce(F.nullif(F.regexp_extract(labels.stem(F.col("file")), r"(?i)_(T(?:12|22|32))_(?:low|medium|high)", 1), F.lit("")), F.lit("all"))
+    task = F.coalesce(F.nullif(F.regexp_extract("file", r"(?i)_(T(?:12|22|32))_(?:low|medium|high)[^/]*(?:/part-[^/]*)?$", 1), F.lit("")), F.lit("all"))
     rows = rows.withColumn("task", F.upper(task))
     good = rows.where("t IS NOT NULL AND value IS NOT NULL").select("subject", "task", "file", "row", "t", "value", F.col("Trust").alias("trust"))
     reason = F.when(F.col("t").isNull(), F.concat(F.lit("bad time: "), F.coalesce("Timestamp", F.lit("")))).otherwise(F.concat(F.lit("bad value: "), F.coalesce("Data", F.lit(""))))
