@@ -25,7 +25,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pulseframe.llm.common import forget, lookup, written
+from pulseframe.llm.common import forget, lookup, released, written
 from pulseframe.llm.simhash import components
 from pulseframe.llm.words import columns, grams
 
@@ -137,7 +136,7 @@ def facts(rows: DataFrame, rule: Rule) -> DataFrame:
         for batch in _slices(batches):
             yield pa.RecordBatch.from_pydict(fact_columns(batch.column(0), batch.column(1), list(shingle_sets(batch.column(2), rule.words)), rule))
 
-    return written(rows.mapInArrow(run, FACTS), "facts")
+    return written(rows.mapInArrow(lambda batches: released(run(batches)), FACTS), "facts")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +149,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alive(found: DataFrame, rule: Rule) -> DataFrame:
     """facts -> node, n, text_node (of one text of it): the nodes that step 1 leaves."""
     nodes = found.where("node IS NOT NULL")
-    shingles = nodes.select("node", "prefix").mapInArrow(_exploded, "shingle long, node long")
+    shingles = nodes.select("node", "prefix").mapInArrow(lambda batches: released(_exploded(batches)), "shingle long, node long")
     alone = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
     least = lambda s: F.ceil(F.lit(rule.num) * s / rule.den)
     lost = lambda s: s - least(s)
@@ -177,7 +176,7 @@ def cores(rows: DataFrame, left: DataFrame, rule: Rule) -> DataFrame:
             for found in shingle_sets(batch.column(1), rule.words):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(found), node_of(found), np.int64)), "n": pa.array(np.full(len(found), len(found))), "shingle": pa.array(found.view(np.int64))})
 
-    every = written(texts.mapInArrow(run, "node long, n long, shingle long"), "shingles")
+    every = written(texts.mapInArrow(lambda batches: released(run(batches)), "node long, n long, shingle long"), "shingles")
     counts = written(every.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1"), "shared_shingles")
     met = lookup(every, counts, "shingle", "nodes", every.count())
     held = met.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("nodes", "shingle"))).alias("held"))
@@ -232,7 +231,7 @@ def signed(core: DataFrame, rule: Rule) -> DataFrame:
                 pairs = np.array(list(signatures(n, shingles, counts, rule)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"signature": pa.array(pairs[:, 0]), "node": pa.array(np.full(len(pairs), node, np.int64)), "n": pa.array(np.full(len(pairs), n)), "most": pa.array(pairs[:, 1])})
 
-    return core.mapInArrow(run, SIGNED)
+    return core.mapInArrow(lambda batches: released(run(batches)), SIGNED)
 
 
 def _possible(rule: Rule, a: str, b: str) -> Column:
@@ -295,7 +294,7 @@ def similar_pairs(pairs: DataFrame, core: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sets are similar; nodes without a core are similar to none."""
     for side in ("a", "b"):
         pairs = pairs.join(core.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"set_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(partial(_verified, rule), "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(lambda batches: released(_verified(rule, batches)), "a long, b long")
 
 
 def linked(core: DataFrame, rule: Rule, stars: DataFrame | None = None, side: int = SIDE) -> DataFrame:
