@@ -13,6 +13,7 @@ from pulseframe.operators.ordered import with_previous
 from pulseframe.plans import kernels, proxies, roundtrips
 from pulseframe.plans.oracles import ORACLES as SIGNAL_ORACLES
 from pulseframe.plans.roundtrips import rounded
+from pulseframe.sources import images
 from pulseframe.sources.tables import settled
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -168,10 +169,19 @@ def box_group_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(used.groupBy("subject").agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in ("left", "top", "right", "bottom")]))
 
 
-def box_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = F.lit(1280), F.lit(720)
+def _one_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box rows as images of 1280 x 720 with a face each."""
     face = F.struct((F.col("left") * 10 + 300).alias("x"), F.col("top").alias("y"), (F.col("bottom") - 400).alias("w"), (F.col("bottom") - 380).alias("h"))
-    return boxes.with_crop_box(proxies.box_rows(spark, sf_dir).select("path", F.array(face).alias("faces")), F.col("faces"), w, h).select("path", "box.*")
+    rows = proxies.box_rows(spark, sf_dir)
+    return rows.select(F.col("subject").cast("string").alias("subject"), F.lit("T12").alias("task"), "path", F.lit(1280).alias("width"), F.lit(720).alias("height"), F.array(face).alias("faces"), F.lit(None).cast("string").alias("error"))
+
+
+def box_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.with_crop_box(_one_face(spark, sf_dir), F.col("faces"), F.col("width"), F.col("height")).select("path", "box.*")
+
+
+def group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.group_boxes(_one_face(spark, sf_dir)).select("subject", "image_count", "box.*")
 
 
 def _face(profile: str) -> geometry.Face:
@@ -219,7 +229,7 @@ QUERIES = {
     for f in (
         fixed_rate_expand, fixed_rate_restamp, channel_mean, label_map_filter, trigger_normalise, resample_linear, trigger_asof_forward, segment_resample, trigger_islands, segment_reslice, conductance, sampling_rate_estimate,
         gsr_anomaly_summary, ecg_anomaly_summary, condition_fractions, reason_counts, top_anomaly_subjects, value_mode, value_histogram, quality_grade, quality_subject_status, drop_reason_counts, feature_group_summary,
-        box_group_median, box_expand, dedup_first, set_difference, semi_existing, missing_input_status, scr_features, ecg_features,
+        box_group_median, box_expand, group_boxes, dedup_first, set_difference, semi_existing, missing_input_status, scr_features, ecg_features,
     )
 } | {"gsr_anomaly_points": gsr_points, "ecg_anomaly_points": ecg_points}
 for _name, _measures in (("ear_geometry", geometry.ear), ("face3d_geometry", geometry.face3d), ("au_geometry", geometry.action_units)):

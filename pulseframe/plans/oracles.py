@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from pulseframe.functions.faces import POINTS, PROFILES
+#: Fixed values, written out here too, so that a wrong place in the library shows: places in the 478-point landmark model, and
+#: those in which the two profiles differ.
+POINTS = {
+    "right_inner": 133, "right_outer": 33, "right_upper1": 159, "right_upper2": 160, "right_lower1": 145, "right_lower2": 144,
+    "left_inner": 362, "left_outer": 263, "left_upper1": 386, "left_upper2": 385, "left_lower1": 374, "left_lower2": 373,
+    "right_brow_inner": 107, "right_brow_outer": 55, "right_brow_mid": 66, "left_brow_inner": 336, "left_brow_outer": 285, "left_brow_mid": 296,
+    "nose": 4, "mouth_left": 61, "mouth_right": 291, "mouth_upper": 13, "mouth_lower": 14,
+    "chin": 152, "forehead": 10, "face_left": 234, "face_right": 454, "jaw_left": 172, "jaw_right": 397,
+}
+PROFILES = {
+    "combined": {"nose_base": 2, "nose_left": 98, "nose_right": 327, "right_eye": (33, 133, 157, 158, 159, 160, 161, 173), "left_eye": (362, 263, 384, 385, 386, 387, 388, 398)},
+    "per_subject": {"nose_base": 5, "nose_left": 94, "nose_right": 334, "right_eye": (33, 133, 157, 158, 159, 160, 161, 163, 144, 145, 7, 173), "left_eye": (362, 263, 384, 385, 386, 387, 388, 398, 374, 373, 381, 390)},
+}
 
 TASK = "CASE user_id % 4 WHEN 0 THEN 'T12' WHEN 1 THEN 'T22' WHEN 2 THEN 'T32' END"
 TRIGGERS = "['T12', ' T12 ', 't12', 'null', 'anxitey', 'terrify', 'base.', 'T22', 'T32 ', 'drive']"
@@ -240,6 +252,12 @@ ORACLES = {
         chosen AS (SELECT * FROM o WHERE n <= 15 OR list_contains(list_transform(range(0, 15), lambda k: floor(k * (n - 1) / 14)::BIGINT), i)), u AS (SELECT *, sum(found) OVER (PARTITION BY subject) AS f FROM chosen)
         SELECT subject, count(*) AS n, round(median(l), 6) AS "left", round(median(t), 6) AS top, round(median(r), 6) AS "right", round(median(b), 6) AS bottom FROM u WHERE f < 3 OR found = 1 GROUP BY 1""",
     "box_expand": BOX_EXPAND,
+    "group_boxes": f"""WITH {BOXES}, e AS (SELECT * FROM ({BOX_EXPAND})), o AS (SELECT subject, path, row_number() OVER (PARTITION BY subject ORDER BY path) - 1 AS i, count(*) OVER (PARTITION BY subject) AS n FROM boxes),
+        chosen AS (SELECT o.subject, n, e.* FROM o JOIN e ON o.path = e.path WHERE n <= 15 OR list_contains(list_transform(range(0, 15), lambda k: floor(k * (n - 1) / 14)::BIGINT), i)),
+        u AS (SELECT *, count(*) FILTER (method = 'opencv_haar') OVER (PARTITION BY subject) AS f FROM chosen),
+        m AS (SELECT subject, max(n) AS image_count, median("left") AS l, median(top) AS t, median("right") AS r, median(bottom) AS b, string_agg(DISTINCT method, '+' ORDER BY method) AS methods FROM u WHERE f < 3 OR method = 'opencv_haar' GROUP BY 1),
+        c AS (SELECT *, round_even(greatest(0.0, least(l, 1279.0)), 0)::INT AS x, round_even(greatest(0.0, least(t, 719.0)), 0)::INT AS y FROM m)
+        SELECT subject::VARCHAR AS subject, image_count, x AS "left", y AS top, round_even(greatest(x + 1.0, least(r, 1280)), 0)::INT AS "right", round_even(greatest(y + 1.0, least(b, 720)), 0)::INT AS bottom, 'group_' || methods AS method FROM c""",
     "dedup_first": f"WITH {RAW}, n AS (SELECT *, row_number() OVER (PARTITION BY subject, task ORDER BY seq) AS k FROM raw WHERE task IS NOT NULL) SELECT subject, task, seq, value FROM n WHERE k = 1",
     "set_difference": "SELECT DISTINCT user_id FROM events EXCEPT SELECT user_id FROM events WHERE value > 150",
     "semi_existing": "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id IN (SELECT user_id FROM events WHERE value > 250)",
