@@ -12,13 +12,17 @@ from pulseframe.operators import expand, features, quality, series
 from pulseframe.plans import flows, proxies
 from pulseframe.plans.oracles import GRADED, SIGNAL
 from pulseframe.plans.roundtrips import SUBJECTS, raw_files, rounded
-from pulseframe.sources import recordings, sinks
+from pulseframe.sources import mat, recordings, sinks
 from pulseframe.sources.tables import scratch_path, settled
 
 KEYS = features.KEYS
 SIZE = 512  #: samples of a block: series here are cut into several
 
 
+def _subject(name: str):
+    return F.coalesce(*[F.when(F.col(name) == k, v) for k, v in SUBJECTS.items()]).alias("subject")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = proxies.signal(spark, sf_dir).withColumn("task", F.lit("all"))
     return series.packed(signal, KEYS, SIZE)
@@ -69,6 +73,15 @@ def processed_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flows.processed_signal(good).select("subject", "task", "idx", "place", "value"))
 
 
+def mat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a task as MAT files, of several the last, and back."""
+    rows = proxies.signal(spark, sf_dir).where("task IS NOT NULL").select(_subject("subject"), (F.expr("idx div 100") + 1).alias("segment"), "task", "idx", "t", "value")
+    path = scratch_path(spark, "mat")
+    mat.mat_files(rows).write.parquet(path)
+    files = spark.read.parquet(path).withColumnRenamed("file", "content")
+    return rounded(mat.mat_rows(files).select("user_id", "task_id", "idx", "t", "value"))
+
+
 def both_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects with a task that both of two modalities have: users' clicks and their views."""
     events = proxies.table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), "event_type", F.when(F.col("value") > 60, "T12").when(F.col("value") > 30, "T22").otherwise("T32").alias("task"))
@@ -99,7 +112,7 @@ def head_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (zero_phase_filter, series_peaks, welch_power, tonic_level, csv_trigger_index, csv_positional, processed_signal, both_modalities, event_indexes, quality_tables, head_poses)
+    for f in (zero_phase_filter, series_peaks, welch_power, tonic_level, csv_trigger_index, csv_positional, processed_signal, mat_segments, both_modalities, event_indexes, quality_tables, head_poses)
 }
 
 #: Fixed values of the band pass in three sections (b0, b1, b2, a1, a2), and their states in the long run for an input of ones.
@@ -177,6 +190,9 @@ ORACLES = {
     "csv_positional": f"WITH {SIGNAL} SELECT {_SUBJECT} AS subject, row_number() OVER (PARTITION BY subject ORDER BY seq) - 1 AS seq, t // 1000 * 1000 AS t, value, trim(trigger) AS trigger FROM raw WHERE subject <> 'error'",
     "processed_signal": f"""WITH {SIGNAL}, r AS (SELECT {_SUBJECT} AS subject, trim(trigger) AS task, seq, value FROM raw WHERE trim(trigger) IN ('T12', 'T22', 'T32'))
 SELECT subject, task, row_number() OVER (PARTITION BY subject, task ORDER BY seq) - 1 AS idx, row_number() OVER (PARTITION BY subject ORDER BY task, seq) - 1 AS place, round(value, 6) AS value FROM r""",
+    "mat_segments": f"""WITH {SIGNAL}, r AS (SELECT {_SUBJECT} AS subject, task, idx // 100 AS segment, idx, t, value FROM signal WHERE task IS NOT NULL),
+l AS (SELECT subject, task, max(segment) AS segment FROM r GROUP BY ALL)
+SELECT ltrim(subject, 'T0') AS user_id, task AS task_id, row_number() OVER (PARTITION BY subject, task ORDER BY idx) - 1 AS idx, t // 1000 * 1000 AS t, round(value, 6) AS value FROM r JOIN l USING (subject, task, segment)""",
     "both_modalities": """WITH e AS (SELECT user_id AS subject, event_type, CASE WHEN value > 60 THEN 'T12' WHEN value > 30 THEN 'T22' ELSE 'T32' END AS task FROM events)
 SELECT DISTINCT subject, task FROM e WHERE event_type = 'error' INTERSECT SELECT DISTINCT subject, task FROM e WHERE event_type = 'signup'""",
     "event_indexes": """SELECT vec_id, list_filter(list_transform(list_filter(list_transform(range(64), lambda i: CASE WHEN i % 9 <> 0 AND i % 11 <> 0 THEN embedding[i + 1]::DOUBLE * 100 END), lambda x: x IS NOT NULL), lambda x: trunc(x)::BIGINT), lambda i: i >= 0 AND i < 20) AS at FROM embeddings""",

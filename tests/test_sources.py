@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import quality
 from pulseframe.plans import flows
-from pulseframe.sources import images, recordings, sinks, tables
+from pulseframe.sources import images, mat, recordings, sinks, tables
 from tests.helpers import rows
 
 HEAD = ",".join(["Timestamp", *recordings.CHANNELS, "Trigger"])
@@ -186,3 +186,29 @@ def test_columns_by_name(spark, tmp_path):
     assert sorted((r.value, r.trust) for r in good.collect()) == [(1.5, "low"), (2.5, "low")] and bad.count() == 0
     rows = spark.createDataFrame([(f"T{n}",) for n in (5, 2_000_000)], "subject string")
     assert recordings.subjects(rows, first=3).count() == 2 and recordings.subjects(rows, last=10).count() == 1
+
+
+def test_mat_bytes():
+    """Round trips; small elements, big-endian files, cells, plain and compressed parts by hand."""
+    x = np.array([1.5, -2.0, np.nan])
+    back = mat.decode(mat.encode({"data": x, "Timestamp": ["24-05-01", "24-05-02 ", "é"], "task_id": "joy", "user_id": "7", "none": np.empty(0)}))["mat_dict"]
+    assert np.array_equal(back["data"], x[:, None], equal_nan=True) and back["Timestamp"] == ["24-05-01", "24-05-02", "é"] and (back["task_id"], back["user_id"], back["none"].size) == ("joy", "7", 0)
+    big = lambda kind, data: struct.pack(">II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+    short = lambda kind, data: struct.pack(">HH", len(data), kind) + data.ljust(4, b"\0")
+    head = lambda kind, shape, name: big(6, struct.pack(">II", kind, 0)) + big(5, struct.pack(">2i", *shape)) + short(1, name)
+    text = big(14, head(4, (1, 2), b"") + short(16, b"ab"))
+    file = b" " * 124 + struct.pack(">H", 0x0100) + b"MI" + big(14, head(6, (2, 2), b"m") + big(2, bytes([1, 2, 3, 4]))) + big(14, head(1, (2, 1), b"c") + text + text)
+    found = mat.decode(file)
+    assert found["m"].tolist() == [[1, 3], [2, 4]] and found["c"] == ["ab", "ab"]
+    with pytest.raises(ValueError):
+        mat.decode(b"no file")
+
+
+def test_mat_files(spark, tmp_path):
+    segments = spark.createDataFrame([("T007", s, task, i, 1_714_557_600_000_000 + i * 20_000, float(s * 100 + i)) for s, task, n in ((1, "joy", 4), (2, "fear", 3), (3, "joy", 2)) for i in range(n)], "subject string, segment long, task string, idx long, t long, value double")
+    for r in mat.mat_files(segments).collect():
+        (tmp_path / r.path).write_bytes(bytes(r.file))
+    (tmp_path / "bad.mat").write_bytes(b"x")
+    found = mat.mat_rows(mat.read_mat(spark, str(tmp_path)))
+    assert rows(found.where("error IS NULL"), "task_id", "idx", "value") == [("fear", 0, 200.0), ("fear", 1, 201.0), ("fear", 2, 202.0), ("joy", 0, 300.0), ("joy", 1, 301.0)]
+    assert found.where("error IS NULL AND t = 1714557600000000 + idx * 20000 AND user_id = '7'").count() == 5 and found.where("error IS NOT NULL").count() == 1
