@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.functions import boxes, labels
+from pulseframe.functions import boxes, jpeg, labels
 from pulseframe.operators.quality import evenly_spaced
 from pulseframe.sources.lines import literal
 
@@ -120,6 +120,16 @@ def png_files(crops: DataFrame) -> DataFrame:
     return crops.where("ok").select("path", "width", "height", "grey").mapInPandas(run, "path string, file binary")
 
 
+def jpeg_files(crops: DataFrame, quality: int = 95) -> DataFrame:
+    """grey_crops rows that are ok -> path, file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "file": [jpeg.encode(np.frombuffer(r.grey, np.uint8).reshape(r.height, r.width), quality) for r in batch.itertuples()]})
+
+    return crops.where("ok").select("path", "width", "height", "grey").mapInPandas(run, "path string, file binary")
+
+
 def _points(found) -> list[dict] | None:
     return None if found is None else [dict(zip("xyz", map(float, p))) for p in found]
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseframe.functions import jpeg
 from pulseframe.operators import quality
 from pulseframe.plans import flows
 from pulseframe.sources import images, mat, recordings, sinks, tables
@@ -188,6 +189,29 @@ def test_columns_by_name(spark, tmp_path):
     assert recordings.subjects(rows, first=3).count() == 2 and recordings.subjects(rows, last=10).count() == 1
 
 
+@pytest.mark.parametrize("quality, away", [(100, 1.0), (95, 2.5), (50, 5.0), (5, 20.0)])
+def test_jpeg(spark, tmp_path, quality, away):
+    """Decoded by Spark's image source: no pixel sum is further away than half of each step of quantisation allows, and an image
+    with little noise much less. Any size, flat and noisy parts."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    most = np.sqrt((np.clip(np.floor((jpeg.QUANTA * scale + 50) / 100), 1, 255) ** 2).mean()) / 2 + 1
+    rng = np.random.default_rng(quality)
+    y, x = np.mgrid[0:75, 0:101]
+    smooth = 128 + 60 * np.sin(x / 9) + 50 * np.cos(y / 7)
+    noisy = np.clip(smooth + rng.normal(0, 4, smooth.shape) * (x > 60), 0, 255).astype(np.uint8)
+    shapes = [noisy, np.full((8, 8), 255, np.uint8), np.zeros((1, 1), np.uint8), rng.integers(0, 256, (17, 9)).astype(np.uint8)]
+    for i, image in enumerate(shapes):
+        (tmp_path / f"{i}.jpg").write_bytes(jpeg.encode(image, quality))
+    found = {r.origin.rsplit("/")[-1]: r for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect()}
+    for i, image in enumerate(shapes):
+        r = found[f"{i}.jpg"]
+        back = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)[..., 0].astype(float)
+        assert back.shape == image.shape and (image.size < 64 or np.sqrt(((back - image) ** 2).mean()) < most * np.sqrt(-(-image.shape[0] // 8) * -(-image.shape[1] // 8) * 64 / image.size))
+        assert i or np.abs(back - image).mean() < away
+    with pytest.raises(ValueError):
+        jpeg.encode(np.zeros((0, 3), np.uint8))
+
+
 def test_mat_bytes():
     """Round trips; small elements, big-endian files, cells, plain and compressed parts by hand."""
     x = np.array([1.5, -2.0, np.nan])
