@@ -141,7 +141,7 @@ def similar(texts, rule):
     return [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, root))]
 
 
-RULES = [ngram_join.Rule(), ngram_join.Rule(5, 4, 5), ngram_join.Rule(3, 9, 10, ((0, 1), (3, 2), (8, 3))), ngram_join.Rule(5, 4, 5, ((0, 1), (2, 2), (6, 3)))]
+RULES = [ngram_join.Rule(), ngram_join.Rule(3, 9, 10, ((0, 1), (3, 2), (8, 3))), ngram_join.Rule(5, 4, 5, ((0, 1), (2, 2), (6, 3)))]
 
 
 @pytest.mark.parametrize("rule", RULES, ids=str)
