@@ -26,6 +26,14 @@ def processed_csv(signal: DataFrame, mode: str = "en") -> DataFrame:
     return signal.select(times.text_ms(times.rounded_ms(F.col("t"))).alias("Timestamp"), F.format_string("%.6f", "value").alias("Data"), labels.label(F.col("trigger"), mode).alias("Trust"))
 
 
+def write_splits(signal: DataFrame, path: str, mode: str = "en", tasks: tuple[str, ...] = labels.TASKS) -> None:
+    """signal(t, value, trigger, idx) as processed CSV: all of it under `combined`, and each task's rows apart, a header alone for
+    a task without any."""
+    for name, rows in {"combined": signal, **{t: signal.where(F.trim("trigger") == t) for t in tasks}}.items():
+        ordered = rows.repartitionByRange("idx").sortWithinPartitions("idx")
+        write_csv(processed_csv(ordered.withColumn("trigger", F.trim("trigger")), mode), f"{path}/{name}")
+
+
 def write_face_tables(features: DataFrame, path: str) -> None:
     """Eye, shape and action-unit tables, and the failed images, from one features frame with an error column."""
     base = ["image_name", "subject_id", "task_id", "condition"]

@@ -128,6 +128,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_signal(signal, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").where("task = 'T12'").count() == 1
     assert rows(sinks.processed_csv(signal)) == [("2024-05-01 10:00:00.124", "0.500000", "low")]
+    sinks.write_splits(signal, f"{tmp_path}/split")
+    split = {t: spark.read.option("header", True).csv(f"{tmp_path}/split/{t}") for t in ("combined", "T12", "T22", "T32")}
+    assert [split[t].count() for t in split] == [1, 1, 0, 0] and all(df.columns == ["Timestamp", "Data", "Trust"] for df in split.values())
     sinks.write_csv(signal, f"{tmp_path}/c", ["subject", "value"])
     assert rows(spark.read.option("header", True).csv(f"{tmp_path}/c")) == [("T1", "0.5")]
     assert "&lt;b&gt;" in sinks.html_table(spark.createDataFrame([("<b>", 1.0)], "a string, b double"), "x")
