@@ -199,7 +199,7 @@ def zero_phase(blocks: DataFrame, keys: list[str], sections: tuple[tuple[float,
     filter_ = Filter(sections)
     pad, order, back = filter_.pad, filter_.order, -(-filter_.reach() // size)
     columns = [*keys, "block", "start", "n", "last"]
-    blocks = settled(blocks.select(*columns, "x"), "unfiltered")
+    blocks = blocks if hasattr(blocks, "_scratch") else settled(blocks.select(*columns, "x"), "unfiltered")  # read twice
 
     def opened(block, n, x):
         """The block's input with what lies before the first sample, and the state to start from, None if others give it."""
