@@ -124,7 +124,7 @@ def decode(data: bytes) -> dict:
 def mat_files(segments: DataFrame) -> DataFrame:
     """segments(subject, segment, task, idx, t, value) -> path (`number_task.mat`), file: of the segments of one task the last."""
     last = last_of_trigger(segments.select("subject", "segment", F.col("task").alias("trigger")).distinct(), ["subject"])
-    kept = segments.join(last.select("subject", "segment"), ["subject", "segment"], "left_semi")
+    kept = segments.join(last.select("subject", "segment", F.col("trigger").alias("task")), ["subject", "segment", "task"], "left_semi")
     number = F.coalesce(labels.subject_number(F.col("subject")).cast("string"), F.col("subject"))
     rows = F.array_sort(F.collect_list(F.struct("idx", "value", times.text_ms(F.col("t"), short_year=True).alias("time"))))
     whole = kept.groupBy(number.alias("user_id"), F.col("task").alias("task_id")).agg(rows.alias("rows")).select("user_id", "task_id", "rows.value", "rows.time")
