@@ -5,7 +5,7 @@ a block needs of others comes to it in one of three ways: a halo of their sample
 as filter states or the nearest known value; or, where a peak's surroundings may reach anywhere, a stitch of summaries of
 blocks. No task holds a series.
 
-Series are named by key columns that aren't null; samples are numbered from 0 without gaps. Every block but the last has
+Series are named by key columns that aren't null; blocks number samples from 0 without gaps. Every block but the last has
 `size` samples, the last up to twice as many, so that no block is a short rest.
 """
 
@@ -62,14 +62,21 @@ def _one(value, kind: str) -> pa.Array:
 
 def packed(signal: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
     """signal(keys, idx, value) -> keys, block, start (the first sample's number), x, n (samples of the series), last (its
-    last block); written. Null values are NaN."""
-    rows = signal.select(*keys, F.expr(f"idx div {size}").alias("block"), F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value")).alias("s"))
-    parts = rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("s")).alias("s")).select(*keys, "block", F.col("s.value").alias("x"))
-    counts = parts.groupBy(*keys).agg(F.sum(F.size("x")).alias("n"))
-    last = F.greatest(F.lit(0), F.expr(f"n div {size} - 1"))
-    met = settled(parts, "parts").join(counts, keys).withColumn("last", last).withColumn("to", F.least("block", "last"))
-    whole = met.groupBy(*keys, F.col("to").alias("block")).agg(F.flatten(F.array_sort(F.collect_list(F.struct("block", "x")))["x"]).alias("x"), F.max("n").alias("n"), F.max("last").alias("last"))
-    return settled(whole.select(*keys, "block", (F.col("block") * size).alias("start"), "x", "n", "last"), "blocks")
+    last block); written. Samples are numbered anew in the order of idx, which may have gaps where a filter took rows out:
+    parts by idx are laid end to end and cut again at each `size` samples. Null values are NaN."""
+    rows = signal.select(*keys, F.expr(f"idx div {size}").alias("part"), F.struct("idx", F.coalesce("value", F.lit(float("nan"))).alias("value")).alias("s"))
+    parts = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("s")).alias("s")).select(*keys, "part", F.col("s.value").alias("x"))
+    parts = settled(parts, "parts")
+    counts = parts.select(*keys, "part", F.size("x").cast("long").alias("_n"))
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(*keys, "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("at"), F.sum("_n").over(whole).alias("n"))
+    met = parts.join(places, [*keys, "part"]).withColumns({"last": F.greatest(F.lit(0), F.expr(f"n div {size} - 1")), "end": F.col("at") + F.size("x")})
+    sent = met.select("*", F.explode(F.sequence(F.least(F.expr(f"at div {size}"), "last"), F.least(F.expr(f"(end - 1) div {size}"), "last"))).alias("block"))
+    low = F.greatest("at", F.col("block") * size)
+    high = F.when(F.col("block") == F.col("last"), F.col("end")).otherwise(F.least("end", (F.col("block") + 1) * size))
+    cut = F.struct(low.alias("low"), F.slice("x", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("x"))
+    blocks = sent.groupBy(*keys, "block").agg(F.flatten(F.array_sort(F.collect_list(cut))["x"]).alias("x"), F.max("n").alias("n"), F.max("last").alias("last"))
+    return settled(blocks.select(*keys, "block", (F.col("block") * size).alias("start"), "x", "n", "last"), "blocks")
 
 
 def with_halo(blocks: DataFrame, keys: list[str], column: str, before: Column | int, after: Column | int, size: int, keep: list[str] = ()) -> DataFrame:
@@ -112,10 +119,12 @@ def filled(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def detrended(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """filled blocks less their series' least-squares line."""
+    """filled blocks less their series' least-squares line. Blocks' sums are added from the last to the first, so that the
+    line is the same whatever order they come in."""
     n = F.col("n").cast("double")
-    lines = blocks.groupBy(*keys).agg(F.sum("sx").alias("_sx"), F.sum("stx").alias("_stx"), F.max("n").alias("n"))
-    lines = lines.select(*keys, (F.col("_sx") / n).alias("_mean"), (F.col("_stx") / F.greatest(n * (n * n - 1) / 12, F.lit(1e-300))).alias("_slope"))
+    added = lambda c: F.aggregate(F.reverse("_sums"), F.lit(0.0), lambda s, b: s + b[c])
+    lines = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "sx", "stx"))).alias("_sums"), F.max("n").alias("n"))
+    lines = lines.select(*keys, "n", added("sx").alias("_sx"), added("stx").alias("_stx")).select(*keys, (F.col("_sx") / n).alias("_mean"), (F.col("_stx") / F.greatest(n * (n * n - 1) / 12, F.lit(1e-300))).alias("_slope"))
     middle = F.col("start") - (n - 1) / 2
     return blocks.join(lines, keys).select(*keys, "block", "start", "n", "last", F.transform("x", lambda v, i: v - F.col("_mean") - (middle + i) * F.col("_slope")).alias("x"))
 

@@ -46,6 +46,25 @@ def test_blocks_and_halos(spark, walks):
         assert r["from"] == max(0, r.start - 50) and np.array_equal(r.x, x[r["from"] : min(len(x), stop + 7)], equal_nan=True)
 
 
+@pytest.mark.parametrize("step", [3, 37, 1000])
+def test_blocks_of_numbers_with_gaps(spark, walks, step):
+    """Numbers of a subject's rows of which a task has some only: blocks are as full as those of dense numbers."""
+    got = series.packed(frame(spark, walks).withColumn("idx", F.col("idx") * step + F.col("idx") % 3), KEYS, 32)
+    assert all(np.array_equal(gathered(got)[k], x, equal_nan=True) for k, x in walks.items())
+    plain = lambda f: sorted((r.subject, r.task, r.block, r.start, len(r.x), r.n, r.last) for r in f.collect())
+    assert plain(got) == plain(series.packed(frame(spark, walks), KEYS, 32))
+
+
+def test_scr_features_of_numbers_with_gaps(spark):
+    """Two tasks that take turns within a subject, each over several blocks."""
+    x = np.round(np.cumsum(np.random.default_rng(6).normal(size=2600)), 3)
+    turns = spark.createDataFrame([("T1", f"t{1 + i // 7 % 2}2", i, float(v)) for i, v in enumerate(x)], "subject string, task string, idx long, value double")
+    for r in features.scr_features(turns, 5.0, size=400).collect():
+        want = kernels.scr_row(x[np.arange(2600) // 7 % 2 == (r.task_id == "t22")], 5.0)
+        for c in features.SCR_COLUMNS:
+            assert near(r[c], want.get(c)), (r.task_id, c, r[c], want.get(c))
+
+
 @pytest.mark.parametrize("size", [33, 64, 4096])
 def test_filling_and_filters(spark, walks, size):
     blocks = series.filled(series.packed(frame(spark, walks), KEYS, size), KEYS)
