@@ -107,14 +107,29 @@ def islands(rows: DataFrame, keys: list[str], trigger: str = "trigger", block_us
 
 def reslice(segments: DataFrame, samples: DataFrame, keys: list[str], least: int = 1, block_us: int = BLOCK_US) -> DataFrame:
     """All samples(keys, t, ...) within segments(keys, segment, trigger, start_t, end_t), ends included, for segments of
-    at least `least` samples. An equi-join on time buckets that a segment overlaps, then on the times."""
-    spread = segments.withColumn("_bucket", F.explode(F.expr(f"sequence(start_t div {block_us}, end_t div {block_us})")))
-    of = spread.select(*keys, "_bucket", "segment", F.col("trigger").alias("segment_trigger"), "start_t", "end_t")
-    found = samples.withColumn("_bucket", _block(block_us)).join(of, [*keys, "_bucket"]).where("t BETWEEN start_t AND end_t").drop("_bucket")
-    if least <= 1:
-        return found
-    long = found.groupBy(*keys, "segment").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return found.join(long, [*keys, "segment"], "left_semi")
+    at least `least` samples. Segments are numbered without gaps in an order in which neither starts nor ends fall, as islands
+    gives them; several may meet in one time.
+
+    So a sample's segments are those from the first that ends at or after it to the last that starts at or before it: both
+    are carried to it in time order, and no pairs are tried. Samples of one such range and time block are counted once."""
+    segments = segments if hasattr(segments, "_scratch") else settled(segments, "segments")
+    mark = F.struct(F.col("segment"))
+    starts = segments.select(*keys, F.col("start_t").alias("t"), F.lit(0).alias("_kind"), F.col("segment").alias("_n"), mark.alias("_start"))
+    stops = segments.select(*keys, F.col("end_t").alias("t"), F.lit(2).alias("_kind"), F.col("segment").alias("_n"), mark.alias("_stop"))
+    both = samples.withColumns({"_kind": F.lit(1), "_n": F.lit(0).cast("long")}).unionByName(starts, allowMissingColumns=True).unionByName(stops, allowMissingColumns=True)
+    order = (F.col("t"), F.col("_kind"), F.col("_n"))
+    met = carried(both, keys, _block(block_us), Carry("_to", "_start", order), Carry("_from", "_stop", order, backward=True))
+    of = [*keys, "_bucket", "_first", "_final"]
+    met = met.where("_kind = 1 AND _from.segment <= _to.segment").withColumns({"_bucket": _block(block_us), "_first": F.col("_from.segment"), "_final": F.col("_to.segment")})
+    met = settled(met.select(*samples.columns, *of[len(keys) :]), "met")
+    ranges = met.groupBy(*of).agg(F.count("*").alias("_n")).select(*of, "_n", F.explode(F.sequence("_first", "_final")).alias("segment"))
+    kept = segments.select(*keys, "segment", F.col("trigger").alias("segment_trigger"), "start_t", "end_t")
+    if least > 1:
+        ranges = settled(ranges, "ranges")
+        kept = kept.join(ranges.groupBy(*keys, "segment").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).drop("_n"), [*keys, "segment"])
+    added = ("segment", "segment_trigger", "start_t", "end_t")
+    held = ranges.drop("_n").join(kept, [*keys, "segment"]).groupBy(*of).agg(F.collect_list(F.struct(*added)).alias("_held"))
+    return met.join(held, of).select(*samples.columns, F.explode("_held").alias("_s")).select(*samples.columns, *[F.col(f"_s.{c}").alias(c) for c in added])
 
 
 def least_samples(rate: float) -> int:

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,6 +76,23 @@ def test_reslice(spark):
     assert resample.least_samples(50) == 100 and resample.least_samples(2) == 10
 
 
+def test_reslice_tries_no_pairs(spark):
+    """Segments of random runs, many of which meet in one time, over blocks of any length; joins compare no times."""
+    draw = random.Random(5)
+    data = [(k, draw.randrange(60), i, draw.choice("AB C".split() + ["none"])) for k in "xyz" for i in range(120)]
+    raw = spark.createDataFrame(data, "k string, t long, seq long, trigger string")
+    for block in (7, 1000):
+        segments = resample.islands(raw, ["k"], block_us=block)
+        spans = [(r.k, r.segment, r.trigger, r.start_t, r.end_t) for r in segments.collect()]
+        for least in (1, 4):
+            met = [(k, s, x, seq) for k, s, x, a, b in spans for own, t, seq, _ in data if own == k and a <= t <= b]
+            sizes = Counter((k, s) for k, s, _, _ in met)
+            found = resample.reslice(segments, raw.select("k", "t", "seq"), ["k"], least, block)
+            assert rows(found, "k", "segment", "segment_trigger", "seq") == sorted(m for m in met if sizes[m[:2]] >= least)
+            joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+            assert joins and not any("start_t" in line for line in joins)
+
+
 def test_uniform_resample(spark):
     raw = spark.createDataFrame([("s", 0, 0, 1.0, "a"), ("s", 50, 1, None, "x"), ("s", 40, 2, 3.0, "b")], "k string, t long, seq long, value double, trigger string")
     assert rows(resample.uniform_resample(raw, ["k"], 20, 16), "i", "value", "trigger") == [(0, 1.0, "a"), (1, 2.0, "b"), (2, 3.0, "b")]
