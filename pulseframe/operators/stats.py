@@ -15,6 +15,8 @@ from pulseframe.sources.tables import forget, settled
 LARGEST = 1 << 20  #: different values sorted in one task
 DIGIT = 10  #: bits of a radix round; ORDER_BITS of them make at most seven rounds
 ORDER_BITS = 64
+STEPS = 256  #: parts of a power of two in which values are counted before they are told apart
+WIDTHS, ROUNDS = 4096, 4  #: equal parts of a part that is still too large, and how often it is divided
 
 
 def counted(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
@@ -52,13 +54,20 @@ def quantiles_of(counts: DataFrame, keys: list[str], asked: dict[str, float], la
     narrowed by radix selection: values become 64-bit numbers of the same order, and in each round the counts of the next
     DIGIT bits tell which of 1,024 parts hold the wanted ranks. Only these stay, until they are small enough to be sorted:
     seven rounds at most, whatever the values, infinities included."""
-    ranks = F.array_distinct(F.array(*[f((F.col("n") - 1) * F.lit(q)).cast("long") for q in asked.values() for f in (F.floor, F.ceil)]))
     groups = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("_values"))
-    rows = counts.select(*keys, "_v", "_n").join(groups, keys).withColumns({"_at": F.lit(0).cast("long"), "_ranks": ranks, "_o": F.lit(0).cast("long")})
-    most = groups.agg(F.max("_values")).first()[0] or 0
+    rows = counts.select(*keys, "_v", "_n").join(groups, keys).withColumns({"_at": F.lit(0).cast("long"), "_ranks": _asked_ranks(asked)})
+    return _picked(rows, keys, asked, groups.agg(F.max("_values")).first()[0] or 0, largest)
+
+
+def _asked_ranks(asked: dict[str, float]) -> Column:
+    return F.array_distinct(F.array(*[f((F.col("n") - 1) * F.lit(q)).cast("long") for q in asked.values() for f in (F.floor, F.ceil)]))
+
+
+def _picked(rows: DataFrame, keys: list[str], asked: dict[str, float], most: int, largest: int) -> DataFrame:
+    """rows(keys, _v, _n, n, _at, _ranks), each value of a part once, of which a part has at most `most` -> keys, n, quantiles."""
     part, temporary = [*keys, "_at"], []  # _at: how many values of the group lie below the part
     if most > largest:
-        rows = _with_order(rows.drop("_o"), [*keys, "_v", "_n", "n", "_at", "_ranks"])
+        rows = _with_order(rows, [*keys, "_v", "_n", "n", "_at", "_ranks"])
         for low in range(ORDER_BITS - DIGIT, -DIGIT, -DIGIT):
             low, mask = max(low, 0), (1 << DIGIT) - 1
             # the sign bit turned, so that negative numbers come first
@@ -87,10 +96,46 @@ def quantiles_of(counts: DataFrame, keys: list[str], asked: dict[str, float], la
     return found.select(*keys, "n", *[quantile(q).alias(name) for name, q in asked.items()])
 
 
+def _scale(v: Column) -> Column:
+    """A whole number that never falls as v rises: STEPS to a power of two, 0 of zero, infinities at the ends."""
+    size = F.when(F.abs(v) < INF, F.floor(F.log2(F.abs(v)) * STEPS)).otherwise(F.lit(1200 * STEPS)) + 1200 * STEPS
+    return F.when(v == 0, F.lit(0).cast("long")).when(v < 0, -size).otherwise(size)
+
+
+def _hit(start: str, size: str) -> Column:
+    return F.filter("_ranks", lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(size)))
+
+
+def narrowed(df: DataFrame, keys: list[str], value: str, asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
+    """keys, _v, _n, n, _at, _ranks: how often each value occurs in the parts that hold the wanted ranks; written.
+
+    A table of all values would grow with them in each task. So rows are first counted by _scale, a few thousand parts, and only
+    those of the parts that hold a rank go on; parts of more than `largest` rows that differ are cut into equal widths again."""
+    held = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, (F.col(value) + F.lit(0.0)).alias("_v"))
+    ends = [F.count("*").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    placed, part, columns = held.withColumn("_digit", _scale(F.col("_v"))), list(keys), ["_at", "n", "_ranks", "_low", "_high"]
+    group = Window.partitionBy(*keys)
+    sizes = placed.groupBy(*keys, "_digit").agg(*ends).withColumns({"n": F.sum("_size").over(group), "_before": F.sum("_size").over(group.orderBy("_digit")) - F.col("_size")})
+    sizes = sizes.withColumn("_ranks", _asked_ranks(asked))
+    for _ in range(ROUNDS):
+        wanted = settled(sizes.withColumn("_ranks", _hit("_before", "_size")).where(F.size("_ranks") > 0).select(*part, "_digit", F.col("_before").alias("_start"), *columns[1:], "_size"), "wanted")
+        inside = placed.select(*part, "_v", "_digit").join(wanted.drop("_size"), [*part, "_digit"]).select(*keys, "_v", F.col("_start").alias("_at"), *columns[1:])
+        if wanted.where((F.col("_size") > largest) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
+        part, span = [*keys, "_at"], F.col("_high") - F.col("_low")
+        share = F.when((span > 0) & (span < INF), (F.col("_v") - F.col("_low")) / span).otherwise(0.0)
+        placed = settled(inside, "inside").withColumn("_digit", F.least(F.floor(share * WIDTHS), F.lit(WIDTHS - 1)))
+        sizes = placed.groupBy(*part, "_digit").agg(*ends, F.first("n").alias("n"), F.first("_ranks").alias("_ranks"))
+        sizes = sizes.withColumn("_before", F.col("_at") + F.sum("_size").over(Window.partitionBy(*part).orderBy("_digit")) - F.col("_size"))
+    return settled(inside.groupBy(*keys, "n", "_at", "_v").agg(F.count("*").alias("_n"), F.first("_ranks").alias("_ranks")), "counts")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, asked: dict[str, float], largest: int = LARGEST) -> DataFrame:
     """Exact quantiles with linear interpolation (name -> share) of the values of each group, null and NaN aside, and their
-    number as n."""
-    return quantiles_of(counted(df, keys, value), keys, asked, largest)
+    number as n. df is read twice."""
+    rows = narrowed(df, keys, value, asked, largest)
+    most = rows.groupBy(*keys, "_at").count().agg(F.max("count")).first()[0] or 0
+    return _picked(rows, keys, asked, most, largest)
 
 
 def spread_of(counts: DataFrame, keys: list[str], asked: dict[str, float] | None = None, largest: int = LARGEST) -> DataFrame:

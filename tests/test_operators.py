@@ -76,6 +76,22 @@ def test_reslice(spark):
     assert resample.least_samples(50) == 100 and resample.least_samples(2) == 10
 
 
+def test_quantiles_count_few_values(spark):
+    """Of many different values only those near the wanted ranks are told apart, whatever their scale."""
+    rng = np.random.default_rng(12)
+    drawn = {"wide": rng.lognormal(0, 30, 3001) * rng.choice([-1, 1], 3001), "close": 37 + rng.random(3000) / 1000, "ends": np.array([-INF, -0.0, 0.0, INF, INF]), "same": np.full(2000, 0.1), "price": np.round(rng.uniform(900, 105_000, 3000), 2), "one": np.array([5e-324])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in drawn.items() for v in [*x, NAN]], "k string, v double")
+    asked = {"low": 0.01, "med": 0.5, "high": 0.99}
+    for r in stats.quantiles(df, ["k"], "v", asked, 200).collect():
+        x = np.sort(drawn[r.k])
+        for name, q in asked.items():
+            at = (len(x) - 1) * q
+            a, b, share = float(x[math.floor(at)]), float(x[math.ceil(at)]), at - math.floor(at)
+            assert r.n == len(x) and r[name] == (a if a == b or not share else pytest.approx(a * (1 - share) + b * share, rel=1e-9)), (r.k, name)
+    counts = {r.k: r["count"] for r in stats.narrowed(df, ["k"], "v", asked, 200).groupBy("k").count().collect()}
+    assert counts["wide"] < 100 and counts["price"] < 400 and counts["close"] < 100
+
+
 def test_reslice_tries_no_pairs(spark):
     """Segments of random runs, many of which meet in one time, over blocks of any length; joins compare no times."""
     draw = random.Random(5)
