@@ -92,7 +92,7 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that what is made of them stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
@@ -133,14 +133,14 @@ def facts(rows: DataFrame, rule: Rule) -> DataFrame:
     """text_rows -> doc_id, text_node, node (of the set; null without words), n (its size), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict(fact_columns(batch.column(0), batch.column(1), list(shingle_sets(batch.column(2), rule.words)), rule))
 
     return written(rows.mapInArrow(lambda batches: released(run(batches)), FACTS), "facts")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         blobs = batch.column(1).to_pylist()
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in blobs])
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(nodes)], names=["shingle", "node"])
@@ -172,7 +172,7 @@ def cores(rows: DataFrame, left: DataFrame, rule: Rule) -> DataFrame:
     texts = rows.join(asked, "text_node", "left_semi").groupBy("text_node").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for found in shingle_sets(batch.column(1), rule.words):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(found), node_of(found), np.int64)), "n": pa.array(np.full(len(found), len(found))), "shingle": pa.array(found.view(np.int64))})
 

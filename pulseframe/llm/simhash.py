@@ -47,6 +47,8 @@ LANES = 4  #: hashes of 64 bits in a wide fingerprint
 RECALL = 0.98  #: of pairs just at SIMILAR, by the angle between sets of equal size; closer ones are met more often
 SPARE_BITS = 2  #: key bits beyond those that number the documents
 NEIGHBOURS = 3
+WAVE = 32  #: tables whose keys are on disk at once
+ROWS = 255  #: bits of so many rows add up in one byte
 
 
 def _shingles(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -210,8 +212,8 @@ def majorities(hashes: np.ndarray, lanes: int) -> bytes:
     def bits(block: np.ndarray) -> np.ndarray:
         return np.unpackbits(mix(block[:, None] + steps).view(np.uint8).reshape(len(block), -1), axis=1)
 
-    for at in range(0, len(hashes), BLOCK // lanes):
-        counts += bits(hashes[at : at + BLOCK // lanes]).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), ROWS):
+        counts += bits(hashes[at : at + ROWS]).sum(axis=0, dtype=np.uint8)
     counts = 2 * counts - len(hashes)
     return np.packbits(np.where(counts == 0, bits(hashes[:1])[0] > 0, counts > 0)).tobytes()
 
@@ -225,9 +227,8 @@ def tables(n: int) -> np.ndarray:
     return np.array([rng.choice(LANES * BITS, width, replace=False) for _ in range(count)])
 
 
-def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> key (of a table and its bits), node, fp (the first 64 bits)."""
-    drawn = tables(n)
+def _table_keys(nodes: DataFrame, drawn: np.ndarray) -> DataFrame:
+    """nodes(node, bits), each once -> key (of a table and its bits), node, fp (the first 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(drawn.shape[1], dtype=np.int64)
@@ -244,16 +245,25 @@ def _table_keys(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.select("node", "bits").mapInArrow(run, "key long, node long, fp long")
 
 
-def shared_keys(nodes: DataFrame, n: int) -> DataFrame:
-    """nodes(node, bits), n of them, each once -> node, others: of each key that several nodes have, each node with those
+def shared_keys(nodes: DataFrame, drawn: np.ndarray) -> DataFrame:
+    """nodes(node, bits), each once -> node, others: of each key of the tables that several nodes have, each node with those
     among the first of the key and the NEIGHBOURS before it, and their distance in the first 64 bits."""
-    held = _table_keys(nodes, n).withColumn("own", F.struct("node", "fp"))
+    held = _table_keys(nodes, drawn).withColumn("own", F.struct("node", "fp"))
     order = Window.partitionBy("key").orderBy("node")
     others = [F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag("own", k).over(order) for k in range(1, NEIGHBOURS + 1)]]
     met = held.select("node", "fp", F.filter(F.array(*others), lambda o: o["node"] < F.col("node")).alias("others")).where(F.size("others") > 0)
     return met.select("node", F.array_distinct(F.transform("others", lambda o: F.struct(distance(F.col("fp"), o["fp"]).alias("distance"), o["node"].alias("node")))).alias("others"))
 
 
-def nearest(keys: DataFrame) -> DataFrame:
-    """shared_keys -> (a, b) with a > b: each node with the one nearest to it of its others in all keys."""
-    return keys.groupBy(F.col("node").alias("a")).agg(F.min(F.array_min("others"))["node"].alias("b"))
+def nearest(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes(node, bits), n of them, each once -> (a, b) with a > b: each node with the one nearest to it of its others in all
+    keys; written. Keys are made for WAVE tables at a time, so their disk doesn't rise with the number of tables."""
+    drawn, waves = tables(n), []
+    best = F.min("best").alias("best")
+    for at in range(0, len(drawn), WAVE):
+        keys = shared_keys(nodes, drawn[at : at + WAVE]).select("node", F.array_min("others").alias("best"))
+        waves.append(written(keys.groupBy("node").agg(best), "nearest_of_wave"))
+    found = reduce(DataFrame.union, waves).groupBy("node").agg(best)
+    pairs = written(found.select(F.col("node").alias("a"), F.col("best.node").alias("b")), "nearest")
+    forget(*waves)
+    return pairs

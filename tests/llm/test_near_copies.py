@@ -1,11 +1,13 @@
 """Near copies against brute force."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulseframe.llm import near_copies, ngram_join, simhash
 from pulseframe.llm.common import written
+from pulseframe.llm.words import mix
 from tests.llm.test_text_operators import docs
 
 
@@ -125,3 +127,33 @@ def test_hot_roots(spark):
     d = spark.createDataFrame(edges, "a long, b long")
     one, two = ({r.a: r.b for r in simhash.components(d, hot=hot).collect()} for hot in (10**6, 1))
     assert one == two == {i: 0 for i in range(1, 40)} | {i: 100 for i in range(101, 130)} | {201: 200}
+
+
+def test_fingerprints_of_all_texts_come_first(spark, monkeypatch):
+    """SimHash is given every document with words, by its whole set, and links most pairs without the exact join, short ones too."""
+    rng, texts = np.random.default_rng(5), ["alone here", None, "", "nothing like any of the other texts that stand here", "a b c", "A  b c"]
+    for short, long in ((8, 9), (20, 24), (59, 72), (290, 300)):
+        for _ in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, long)]
+            texts += [" ".join(words), " ".join(words[:short])]
+    given, search = [], near_copies.nearest_by_fingerprint
+
+    def watched(sets):
+        given.append({r.doc_id: bytes(r.bits) for r in sets.where("node IS NOT NULL").select("doc_id", "bits").collect()})
+        return search(sets)
+
+    monkeypatch.setattr(near_copies, "nearest_by_fingerprint", watched)
+    monkeypatch.setattr(ngram_join, "linked", lambda core, rule, stars: stars)
+    got = components(spark, texts)
+    whole = [next(ngram_join.shingle_sets(pa.array([t], pa.string()), 5)) for t in texts]
+    counts = [2 * np.unpackbits(mix(x[:, None] + np.arange(4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8), axis=1).sum(axis=0, dtype=int) - len(x) for x in whole]
+    assert given[0].keys() == {i for i, x in enumerate(whole) if len(x)}
+    for i, bits in given[0].items():
+        mine = np.unpackbits(np.frombuffer(bits, np.uint8))
+        assert (mine == (counts[i] > 0))[counts[i] != 0].all()
+    want = groups(texts)[0]
+    pairs = [i for i in range(len(texts)) if want[i] != i and len(whole[i])]
+    assert all(g in (i, w) for i, (g, w) in enumerate(zip(got, want)))  # nothing is linked that brute force doesn't link
+    found = [got[i] == want[i] for i in pairs]
+    print("found by fingerprints alone", [sum(found[k : k + 60]) for k in range(1, len(found), 60)])
+    assert sum(found) >= 0.8 * len(found)
