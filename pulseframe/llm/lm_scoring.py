@@ -92,17 +92,32 @@ class Network:
             hidden += embedded[at : at + n] @ w
         return embedded, np.tanh(hidden, out=hidden)
 
+    def placed(self) -> np.ndarray:
+        """(2 x REACH, CLASSES + 1, HIDDEN): what each place makes of each class, for many streams of one network."""
+        return self.embed @ self.near
+
+    def hidden(self, stream: np.ndarray, placed: np.ndarray) -> np.ndarray:
+        """The hidden layer as `read` has it, by sums of `placed`."""
+        n = len(stream) - 2 * REACH
+        out = np.broadcast_to(self.bias, (n, HIDDEN)).copy()
+        for of, at in zip(placed, STARTS):
+            out += of.take(stream[at : at + n], axis=0)
+        return np.tanh(out, out=out)
+
+    def scores(self, hidden: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of groups, and of the members of each position's own group; hidden is in the order of groups."""
+        inner = np.repeat(self.member_prior, np.diff(ends), axis=0)
+        for g, a, b in _groups(ends):
+            inner[a:b] += hidden[a:b] @ self.member[g]
+        return self.group.T @ hidden.T + self.group_prior[:, None], np.ascontiguousarray(inner.T)
+
     def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the target classes."""
         order, ends = _by_group(target)
-        hidden, member = hidden.take(order, axis=0), target[order] % MEMBERS
-        found = np.empty(len(target), hidden.dtype)
-        scores = _log_softmax(self.group.T @ hidden.T + self.group_prior[:, None])
-        for g, a, b in _groups(ends):
-            inner = _log_softmax(self.member[g].T @ hidden[a:b].T + self.member_prior[g][:, None])
-            found[a:b] = scores[g, a:b] + inner[member[a:b], np.arange(b - a)]
-        out = np.empty_like(found)
-        out[order] = found
+        target = target[order]
+        group, inner = self.scores(hidden.take(order, axis=0), ends)
+        out = np.empty(len(target), hidden.dtype)
+        out[order] = _log_softmax_at(group, target // MEMBERS) + _log_softmax_at(inner, target % MEMBERS)
         return out
 
     def gradient(self, stream: np.ndarray) -> tuple[Network, int]:
@@ -115,18 +130,17 @@ class Network:
         order, ends = _by_group(target[at])
         at = at[order]
         hidden, member_at = whole.take(at, axis=0), target[at] % MEMBERS
-        error = np.exp(_log_softmax(self.group.T @ hidden.T + self.group_prior[:, None]))
+        error, inner = map(_softmax, self.scores(hidden, ends))
+        error[target[at] // MEMBERS, np.arange(len(at))] -= 1
+        inner[member_at, np.arange(len(at))] -= 1
+        error /= count
+        inner /= count
         member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
-        pull = np.zeros_like(hidden)
+        inner = np.ascontiguousarray(inner.T)
+        pull = np.ascontiguousarray((self.group @ error).T)
         for g, a, b in _groups(ends):
-            error[g, a:b] -= 1
-            inner = np.exp(_log_softmax(self.member[g].T @ hidden[a:b].T + self.member_prior[g][:, None]))
-            inner[member_at[a:b], np.arange(b - a)] -= 1
-            inner /= count
-            member[g], member_prior[g] = (inner @ hidden[a:b]).T, inner.sum(axis=1)
-            pull[a:b] = (self.member[g] @ inner).T
-        error /= count
-        pull += (self.group @ error).T
+            member[g], member_prior[g] = hidden[a:b].T @ inner[a:b], inner[a:b].sum(axis=0)
+            pull[a:b] += inner[a:b] @ self.member[g].T
         pull *= 1 - hidden * hidden
         back = np.zeros_like(whole)
         back[at] = pull
@@ -140,18 +154,26 @@ class Network:
 
 def _rows_summed(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """n rows: the sum of those of each number."""
-    order = np.argsort(which, kind="stable")
-    numbers = which[order]
-    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[numbers[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    which = which.astype(np.int64)
+    out = np.empty((n, rows.shape[1]), rows.dtype)
+    for k in range(rows.shape[1]):
+        out[:, k] = np.bincount(which, rows[:, k], n)
     return out
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
+def _log_softmax_at(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Over the first axis, at one place of each column."""
+    scores -= scores.max(axis=0)
+    told = scores[which, np.arange(len(which))]
+    np.exp(scores, out=scores)
+    return told - np.log(scores.sum(axis=0))
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
     """Over the first axis."""
     scores -= scores.max(axis=0)
-    scores -= np.log(np.exp(scores).sum(axis=0))
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=0)
     return scores
 
 
@@ -301,7 +323,7 @@ def train_round(tokens: DataFrame, network: Network, number: int) -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = shared.value.flat()
         net = shared.value.like(flat)
-        mean, square, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+        mean, square, move, step, seen = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0, 0
         for batch in batches:
             for _, stream, _ in _streams(batch.column(0)):
                 for i in range(BATCH * number, len(stream) - 2 * REACH, BATCH * ROUNDS):
@@ -309,9 +331,19 @@ def train_round(tokens: DataFrame, network: Network, number: int) -> tuple[np.nd
                     if not n:
                         continue
                     g, step, seen = g.flat(), step + 1, seen + n
-                    mean += np.float32(0.1) * (g - mean)
-                    square += np.float32(0.01) * (g * g - square)
-                    flat -= np.float32(RATE / (1 + number) / (1 - 0.9**step)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
+                    np.multiply(g, g, out=move)
+                    move -= square
+                    move *= np.float32(0.01)
+                    square += move
+                    g -= mean
+                    g *= np.float32(0.1)
+                    mean += g
+                    np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=move)
+                    np.sqrt(move, out=move)
+                    move += np.float32(1e-6)
+                    np.divide(mean, move, out=move)
+                    move *= np.float32(RATE / (1 + number) / (1 - 0.9**step))
+                    flat -= move
         if seen:
             yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "seen": [seen], "weights": [(flat.astype(np.float64) * seen).tolist()]})
 
@@ -341,6 +373,7 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, share = shared.value
+        placed = net.placed()
         for batch in batches:
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, stream, begin in _streams(batch.column(3)):
@@ -350,7 +383,7 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
                     target = piece[REACH:-REACH].astype(np.int64)
                     at = np.flatnonzero(target != EDGE)
                     target = target[at]
-                    logs[i + REACH + at + 1] = net.log_probabilities(net.read(piece)[1].take(at, axis=0), target) + share[target]
+                    logs[i + REACH + at + 1] = net.log_probabilities(net.hidden(piece, placed).take(at, axis=0), target) + share[target]
                 n = len(begin) - 1
                 counts[first : first + n] = np.diff(begin) - REACH
                 for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):

@@ -142,6 +142,17 @@ def plain_scores(texts, model, totals):
     return out
 
 
+def test_hidden_layers_by_both_ways():
+    """Scoring sums what each place makes of each class; training multiplies each token anew. Rows add up as one by one."""
+    rng = np.random.default_rng(6)
+    net = lm_scoring.Network.start(rng.integers(1, 9, lm_scoring.CLASSES).astype(float))
+    stream = rng.integers(0, lm_scoring.CLASSES + 1, 500).astype("<u2")
+    assert np.allclose(net.hidden(stream, net.placed()), net.read(stream)[1], atol=1e-5)
+    rows, want = rng.normal(size=(500, 3)).astype(np.float32), np.zeros((lm_scoring.CLASSES + 1, 3))
+    np.add.at(want, stream, rows)
+    assert np.allclose(lm_scoring._rows_summed(stream, rows, len(want)), want, atol=1e-5)
+
+
 @pytest.mark.parametrize("known", [lm_scoring.KNOWN, 1000])
 def test_lm_equals_plain_python(spark, corpus, texts, known, monkeypatch):
     """Of the corpus, and of texts with words that it lacks; most words' counts by the join, where few are known."""
