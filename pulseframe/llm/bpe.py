@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.llm.common import released
+
 #: Fixed value: the pattern by which byte-level tokenizers of this family split text before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by some definitions only; texts with these are split by PRETOKEN alone.
@@ -239,4 +241,4 @@ def tokenised(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), t
                 n = encoded.num_columns
                 yield pa.RecordBatch.from_arrays([*encoded.columns, *told.columns[n - 1 :]], names=[*encoded.schema.names, *told.schema.names[n - 1 :]])
 
-    return asked.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return asked.mapInArrow(lambda batches: released(run(batches)), f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

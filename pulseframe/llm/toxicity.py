@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import ddl, ranked_sample, written
+from pulseframe.llm.common import ddl, ranked_sample, released, written
 
 SAMPLE = 3000  #: labelled documents of either class to learn from, at most
 LEAST_DOCUMENTS = 3  #: documents of the sample that a feature with a weight occurs in
@@ -126,7 +126,7 @@ def chosen_features(texts: DataFrame) -> DataFrame:
             names = sorted(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
 
-    counts = written(texts.select("text", "label").mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "feature_counts")
+    counts = written(texts.select("text", "label").mapInArrow(lambda batches: released(run(batches)), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "feature_counts")
     size = counts.where("feature = ''").first()
     if not size:
         return counts.select("feature", F.lit(0.0).alias("start")).where("false")
@@ -150,7 +150,7 @@ def bags_of(texts: DataFrame, seen: dict[str, int]) -> DataFrame:
                 ends.append(np.cumsum([len(s) for s in found], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["id", "label", "words", "ends"])
 
-    return texts.select("id", "label", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, label int, words array<int>, ends array<int>")
+    return texts.select("id", "label", "text").mapInArrow(lambda batches: released(run(batches)), f"id {texts.schema['id'].dataType.simpleString()}, label int, words array<int>, ends array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     kinds = ("double", "int", "array<struct<start: int, end: int, score: double>>")
-    return kept.mapInArrow(run, ", ".join([ddl(kept), *(f"`{n}` {k}" for n, k in zip(names, kinds))]))
+    return kept.mapInArrow(lambda batches: released(run(batches)), ", ".join([ddl(kept), *(f"`{n}` {k}" for n, k in zip(names, kinds))]))
