@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,14 @@ WORDS = CLASSES - SHARED
 KNOWN = 1 << 20  #: words whose counts every task holds, 16 bytes each, at most
 EDGE = CLASSES  #: what stands before the first and behind the last token
 REACH, HIDDEN = 2, 32
+CELLS = np.arange((CLASSES + 1) * HIDDEN).reshape(-1, HIDDEN)  #: the numbers of an embedding's cells
 STARTS = (*range(REACH), *range(REACH + 1, 2 * REACH + 1))  #: of a position's places, counted from the first
 ROUNDS = 2
 BATCH, RATE = 1 << 11, 0.01
 BLOCK = 1 << 12  #: positions scored at once
+COUNTED = 1 << 20  #: words counted at once, unless one chunk has more
+STEPS = 8  #: in a list of hashes, before it is searched by halves
+LARGE = 60.0  #: scores that exp of single precision takes as they are
 CHUNK = 1 << 17  #: tokens in arrays at once, unless one document is longer
 TASK_TOKENS = 1_000_000
 FAN_IN = 64
@@ -92,64 +97,111 @@ class Network:
             hidden += embedded[at : at + n] @ w
         return embedded, np.tanh(hidden, out=hidden)
 
-    def placed(self) -> np.ndarray:
-        """(2 x REACH, CLASSES + 1, HIDDEN): what each place makes of each class, for many streams of one network."""
-        return self.embed @ self.near
+    def placed(self, embed: np.ndarray | None = None) -> np.ndarray:
+        """(2 x REACH, CLASSES + 1, HIDDEN): what each place makes of each class, or of each of some embedded ones; the
+        first place has the bias in it."""
+        out = (self.embed if embed is None else embed) @ self.near
+        out[0] += self.bias
+        return out
 
-    def hidden(self, stream: np.ndarray, placed: np.ndarray) -> np.ndarray:
+    def hidden(self, stream: np.ndarray, placed: np.ndarray, room: Room | None = None) -> np.ndarray:
         """The hidden layer as `read` has it, by sums of `placed`."""
-        n = len(stream) - 2 * REACH
-        out = np.broadcast_to(self.bias, (n, HIDDEN)).copy()
-        for of, at in zip(placed, STARTS):
-            out += of.take(stream[at : at + n], axis=0)
-        return np.tanh(out, out=out)
-
-    def scores(self, hidden: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of groups, and of the members of each position's own group; hidden is in the order of groups."""
-        inner = np.repeat(self.member_prior, np.diff(ends), axis=0)
-        for g, a, b in _groups(ends):
-            inner[a:b] += hidden[a:b] @ self.member[g]
-        return self.group.T @ hidden.T + self.group_prior[:, None], np.ascontiguousarray(inner.T)
+        room, n = room or Room(), len(stream) - 2 * REACH
+        out, more = (room(name, placed.dtype, n, HIDDEN) for name in ("hidden", "more"))
+        placed[0].take(stream[:n], axis=0, out=out, mode="clip")
+        for of, at in zip(placed[1:], STARTS[1:]):
+            out += of.take(stream[at : at + n], axis=0, out=more, mode="clip")
+        out *= 2  # tanh(x) = 1 - 2 / (exp(2 x) + 1), in less time
+        with np.errstate(over="ignore"):
+            np.exp(out, out=out)
+        out += 1
+        np.divide(-2, out, out=out)
+        out += 1
+        return out
 
-    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def scores(self, hidden: np.ndarray, ends: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+        """Of groups, and of the members of each position's own group, less a number of each position's where exp needs
+        it; hidden is in the order of groups."""
+        group, inner = (room(name, hidden.dtype, len(hidden), width) for name, width in (("group", GROUPS), ("inner", MEMBERS)))
+        np.dot(hidden, self.group, out=group)
+        group += self.group_prior
+        for g, a, b in _groups(ends):
+            np.dot(hidden[a:b], self.member[g], out=inner[a:b])
+        inner += self.member_prior.take(np.repeat(np.arange(GROUPS), np.diff(ends)), axis=0, out=room("more", hidden.dtype, len(hidden), MEMBERS), mode="clip")
+        for x in (group, inner):
+            if x.size and max(x.max(), -x.min()) > LARGE:
+                x -= x.max(axis=1, keepdims=True)
+        return group, inner
+
+    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Of the target classes."""
+        room = room or Room()
         order, ends = _by_group(target)
         target = target[order]
-        group, inner = self.scores(hidden.take(order, axis=0), ends)
+        group, inner = self.scores(hidden.take(order, axis=0, out=room("ordered", hidden.dtype, *hidden.shape), mode="clip"), ends, room)
         out = np.empty(len(target), hidden.dtype)
         out[order] = _log_softmax_at(group, target // MEMBERS) + _log_softmax_at(inner, target % MEMBERS)
         return out
 
-    def gradient(self, stream: np.ndarray) -> tuple[Network, int]:
-        """Of the mean negative log-probability of a stream's positions (EDGE and the ends aside), and their number."""
-        embedded, whole = self.read(stream)
-        n = len(whole)
-        target = stream[REACH : REACH + n].astype(np.int64)
+    def gradient(self, stream: np.ndarray, into: Network | None = None, room: Room | None = None) -> tuple[Network, int]:
+        """Of the mean negative log-probability of a stream's positions (EDGE and the ends aside), and their number.
+        Places' products and sums are made once a class that occurs, not once a position."""
+        into, room = into or self.like(np.empty_like(self.flat())), room or Room()
+        n, dtype = len(stream) - 2 * REACH, self.embed.dtype
+        target = stream[REACH : REACH + n]
         at = np.flatnonzero(target != EDGE)
         count = max(1, len(at))
         order, ends = _by_group(target[at])
         at = at[order]
-        hidden, member_at = whole.take(at, axis=0), target[at] % MEMBERS
-        error, inner = map(_softmax, self.scores(hidden, ends))
-        error[target[at] // MEMBERS, np.arange(len(at))] -= 1
-        inner[member_at, np.arange(len(at))] -= 1
-        error /= count
-        inner /= count
-        member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
-        inner = np.ascontiguousarray(inner.T)
-        pull = np.ascontiguousarray((self.group @ error).T)
+        target = target[at].astype(np.int64)
+        present = np.flatnonzero(np.bincount(stream, minlength=CLASSES + 1))
+        number = np.zeros(CLASSES + 1, np.int64)
+        number[present] = np.arange(len(present))
+        tokens, embed = number[stream], self.embed.take(present, axis=0)
+        hidden = self.hidden(tokens, self.placed(embed), room).take(at, axis=0, out=room("ordered", dtype, len(at), HIDDEN), mode="clip")
+        error, inner = self.scores(hidden, ends, room)
+        _softmax_errors(error, target // MEMBERS, count)
+        _softmax_errors(inner, target % MEMBERS, count)
+        pull, more = (room(name, dtype, len(at), HIDDEN) for name in ("pull", "more"))
+        ones = np.ones(len(at), dtype)  # products with it sum rows
+        np.dot(error, self.group.T, out=pull)
+        into.member[:], into.member_prior[:] = 0, 0
         for g, a, b in _groups(ends):
-            member[g], member_prior[g] = hidden[a:b].T @ inner[a:b], inner[a:b].sum(axis=0)
-            pull[a:b] += inner[a:b] @ self.member[g].T
-        pull *= 1 - hidden * hidden
-        back = np.zeros_like(whole)
+            wrong = inner[a:b]
+            np.dot(hidden[a:b].T, wrong, out=into.member[g])
+            np.dot(ones[a:b], wrong, out=into.member_prior[g])
+            np.dot(wrong, self.member[g].T, out=more[a:b])
+        pull += more
+        np.dot(hidden.T, error, out=into.group)
+        np.dot(ones, error, out=into.group_prior)
+        np.multiply(hidden, hidden, out=more)
+        pull *= np.subtract(1, more, out=more)
+        back = room("back", np.dtype(np.float64), n, HIDDEN)
+        back[:] = 0
         back[at] = pull
-        near, pulls = np.empty_like(self.near), np.zeros_like(embedded)
+        np.dot(ones, pull, out=into.bias)
+        cells = CELLS.take(tokens, axis=0, out=room("cells", CELLS.dtype, len(stream), HIDDEN), mode="clip")
+        pulls = np.zeros_like(embed)
         for j, start in enumerate(STARTS):
-            near[j] = embedded[start : start + n].T @ back
-            pulls[start : start + n] += back @ self.near[j].T
-        found = _rows_summed(stream, pulls, len(self.embed)), near, back.sum(axis=0), (error @ hidden).T, error.sum(axis=1), member, member_prior
-        return Network(*found), len(at)
+            sums = np.bincount(cells[start : start + n].ravel(), back.ravel(), embed.size).reshape(embed.shape).astype(dtype)
+            np.dot(embed.T, sums, out=into.near[j])
+            pulls += sums @ self.near[j].T
+        into.embed[:] = 0
+        into.embed[present] = pulls
+        return into, len(at)
+
+
+class Room:
+    """Arrays that are used again from block to block: the system takes long to give such large ones anew each time."""
+
+    def __init__(self):
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        size, key = shape[0] * shape[1], (name, dtype)
+        if key not in self.held or len(self.held[key]) < size:
+            self.held[key] = np.empty(size, dtype)
+        return self.held[key][:size].reshape(shape)
 
 
 def _rows_summed(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -162,19 +214,19 @@ def _rows_summed(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def _log_softmax_at(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Over the first axis, at one place of each column."""
-    scores -= scores.max(axis=0)
-    told = scores[which, np.arange(len(which))]
+    """At one place of each row."""
+    told = scores.ravel()[np.arange(0, scores.size, scores.shape[1]) + which]
     np.exp(scores, out=scores)
-    return told - np.log(scores.sum(axis=0))
+    return told - np.log(scores @ np.ones(scores.shape[1], scores.dtype))
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    """Over the first axis."""
-    scores -= scores.max(axis=0)
+def _softmax_errors(scores: np.ndarray, which: np.ndarray, count: int) -> None:
+    """The rows' softmax, less 1 at one place of each, all divided by count, in place."""
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=0)
-    return scores
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    total *= count
+    scores *= np.divide(1, total, out=total)[:, None]
+    scores.ravel()[np.arange(0, scores.size, scores.shape[1]) + which] -= 1 / count
 
 
 def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,21 +248,43 @@ class Vocabulary:
     classes: np.ndarray  #: of those that are classes of their own, else -1
     logs: np.ndarray  #: of their counts
 
-    def look_up(self, w) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words of a chunk (words.Words): the class, and the log of its count in a shared class, 0 in one of its
-        own, NaN of a word that isn't here."""
-        hashes = w.hashes()
-        last = w.text[w.at + w.size - 1].astype(np.uint64)
-        before = np.where(w.size > 1, w.text[np.maximum(w.at + w.size - 2, 0)], 0).astype(np.uint64)
-        classes = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(SHARED)).astype(np.int64)
-        logs = np.full(len(hashes), np.nan)
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The number of hashes that begin with less than each number of as many bits as tell most of them apart."""
+        bits = max(1, (len(self.hashes) - 1).bit_length())
+        return np.concatenate(([0], np.cumsum(np.bincount((self.hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """np.searchsorted of some, the last place at most, by steps from the first that begins as they do."""
+        bits, last = (len(self.first) - 1).bit_length() - 1, len(self.hashes) - 1
+        out = np.minimum(self.first.take((hashes >> np.uint64(64 - bits)).astype(np.int64)), last).astype(np.int64)
+        on = np.flatnonzero(self.hashes.take(out) < hashes)
+        for _ in range(STEPS):
+            on = on[out[on] < last]
+            if not len(on):
+                return out
+            out[on] += 1
+            on = on[self.hashes.take(out[on]) < hashes[on]]
+        out[on] = np.minimum(np.searchsorted(self.hashes, hashes[on]), last)
+        return out
+
+    def look_up(self, w, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of a chunk (words.Words) and their hashes: the class, and the log of its count in a shared class, 0
+        in one of its own, NaN of a word that isn't here."""
+        hashes = w.hashes() if hashes is None else hashes
+        classes, logs = np.full(len(hashes), -1, np.int64), np.full(len(hashes), np.nan)
         if len(self.hashes):
-            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            here = self.hashes[place] == hashes
-            own = here & (self.classes[place] >= 0)
-            classes = np.where(own, self.classes[place], classes)
-            logs[here] = self.logs[place[here]]
-            logs[own] = 0.0
+            place = self.places(hashes)
+            here = np.flatnonzero(self.hashes.take(place) == hashes)
+            place = place[here]
+            classes[here] = self.classes[place]
+            logs[here] = self.logs[place]
+            logs[classes >= 0] = 0.0
+        at = np.flatnonzero(classes < 0)
+        size, end = w.size[at], w.start[at] + w.size[at]
+        last = w.data[end - 1].astype(np.uint64)
+        before = np.where(size > 1, w.data[np.maximum(end - 2, 0)], 0).astype(np.uint64)
+        classes[at] = WORDS + (mix(last * np.uint64(256) + before) % np.uint64(SHARED)).astype(np.int64)
         return classes.astype("<u2"), logs
 
 
@@ -245,11 +319,20 @@ def vocabulary_of(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> word (hash), total, over all documents."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for w in columns(pc.ascii_lower(batch.column(0))):
-                words, counts = np.unique(w.hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
+                held.append(w.hashes())
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("total"))
 
@@ -264,12 +347,12 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         vocabulary, row = shared.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in columns(pc.ascii_lower(batch.column(1))):
-                classes, logs = vocabulary.look_up(w)
-                tokens = memoryview(classes.tobytes())
-                found = pa.array([bytes(tokens[2 * a : 2 * b]) for a, b in zip(w.begin.tolist(), w.begin[1:].tolist())], pa.binary())
+                hashes = w.hashes()
+                classes, logs = vocabulary.look_up(w, hashes)
+                found = pa.Array.from_buffers(pa.binary(), len(w.begin) - 1, [None, pa.py_buffer((2 * w.begin).astype(np.int32)), pa.py_buffer(classes)])
                 of, other = np.repeat(np.arange(len(found)), np.diff(w.begin)), np.isnan(logs)
                 known = np.bincount(of[~other], logs[~other], len(found)).astype(np.float64)
-                of, hashes, size = of[other], w.hashes()[other].view(np.int64), w.size[other]
+                of, hashes, size = of[other], hashes[other].view(np.int64), w.size[other]
                 order = np.lexsort((hashes, of))
                 of, hashes, size = of[order], hashes[order], size[order]
                 at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])))[: len(of)])
@@ -324,13 +407,15 @@ def train_round(tokens: DataFrame, network: Network, number: int) -> tuple[np.nd
         flat = shared.value.flat()
         net = shared.value.like(flat)
         mean, square, move, step, seen = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0, 0
+        g, room = np.empty_like(flat), Room()
+        into = net.like(g)
         for batch in batches:
             for _, stream, _ in _streams(batch.column(0)):
                 for i in range(BATCH * number, len(stream) - 2 * REACH, BATCH * ROUNDS):
-                    g, n = net.gradient(stream[i : i + BATCH + 2 * REACH])
+                    _, n = net.gradient(stream[i : i + BATCH + 2 * REACH], into, room)
                     if not n:
                         continue
-                    g, step, seen = g.flat(), step + 1, seen + n
+                    step, seen = step + 1, seen + n
                     np.multiply(g, g, out=move)
                     move -= square
                     move *= np.float32(0.01)
@@ -373,7 +458,7 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, share = shared.value
-        placed = net.placed()
+        placed, room = net.placed(), Room()
         for batch in batches:
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, stream, begin in _streams(batch.column(3)):
@@ -383,7 +468,7 @@ def by_class(tokens: DataFrame, model: Model) -> DataFrame:
                     target = piece[REACH:-REACH].astype(np.int64)
                     at = np.flatnonzero(target != EDGE)
                     target = target[at]
-                    logs[i + REACH + at + 1] = net.log_probabilities(net.hidden(piece, placed).take(at, axis=0), target) + share[target]
+                    logs[i + REACH + at + 1] = net.log_probabilities(net.hidden(piece, placed, room).take(at, axis=0), target, room) + share[target]
                 n = len(begin) - 1
                 counts[first : first + n] = np.diff(begin) - REACH
                 for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):

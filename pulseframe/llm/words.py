@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of consecutive documents. text: the words, each followed by one space; word i is text[at[i] : at[i] + size[i]]."""
+    """Words of consecutive documents. Word i is data[start[i] : start[i] + size[i]]."""
 
     first: int  #: row of the first document in its column
     begin: np.ndarray  #: of each document, the number of its first word; one more entry for the end
-    text: np.ndarray
-    at: np.ndarray
     size: np.ndarray
     data: np.ndarray
     start: np.ndarray
 
+    @cached_property
+    def at(self) -> np.ndarray:
+        """Where each word begins in text."""
+        return np.cumsum(self.size + 1) - (self.size + 1)
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The words, each followed by one space; word i is text[at[i] : at[i] + size[i]]."""
+        out = np.full(int(self.size.sum()) + len(self.size), 32, np.uint8)
+        letters = np.ones(len(out), bool)
+        letters[self.at + self.size] = False
+        out[letters] = self.data[~SPACE[self.data]]
+        return out
+
     def joined(self, doc: int, kept: np.ndarray | None = None) -> bytes:
         """The document's words, or those that kept marks, joined by one space."""
         a, b = self.begin[doc], self.begin[doc + 1]
@@ -80,13 +92,8 @@ def _words(first: int, data: np.ndarray, ends: np.ndarray) -> Words:
     after = np.concatenate((solid[1:], [False])) & ~edge[1:]
     start = np.flatnonzero(solid & ~before)
     size = np.flatnonzero(solid & ~after) + 1 - start
-    at = np.cumsum(size + 1) - (size + 1)
-    text = np.full(int(size.sum()) + len(size), 32, np.uint8)
-    letters = np.ones(len(text), bool)
-    letters[at + size] = False
-    text[letters] = data[solid]
     begin = np.concatenate(([0], np.searchsorted(start, ends, "left")))
-    return Words(first, begin, text, at, size, data, start)
+    return Words(first, begin, size, data, start)
 
 
 def columns(texts: pa.Array) -> Iterator[Words]:

@@ -2,6 +2,7 @@
 clashing column names."""
 
 import hashlib
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -219,6 +220,59 @@ def test_lm_gradient():
         assert getattr(g, name)[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
 
 
+def test_lm_blocks_take_arrays_again():
+    """After the first block, neither a gradient nor scores take new arrays of a block's size; results are the same."""
+    rng = np.random.default_rng(4)
+    net, room = lm_scoring.Network.start(rng.integers(1, 9, lm_scoring.CLASSES).astype(float)), lm_scoring.Room()
+    into, placed = net.like(np.empty_like(net.flat())), net.placed()
+    streams = [rng.integers(0, 300, n + 4).astype("<u2") for n in (2048, 2048, 70, 2048)]
+    for i, stream in enumerate(streams):
+        tracemalloc.start()
+        net.gradient(stream, into, room)
+        hidden = net.hidden(stream, placed, room)
+        logs = net.log_probabilities(hidden, stream[2:-2].astype(int), room)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert i == 0 or peak < 1_000_000
+        plain = net.gradient(stream)[0]
+        assert np.array_equal(into.flat(), plain.flat())
+        assert np.array_equal(logs, net.log_probabilities(net.hidden(stream, placed), stream[2:-2].astype(int)))
+
+
+def test_lm_large_scores():
+    """Scores beyond what exp takes, and hidden layers at their limits."""
+    rng = np.random.default_rng(5)
+    net = lm_scoring.Network.start(rng.integers(1, 9, lm_scoring.CLASSES).astype(float))
+    net = net.like(net.flat() * np.float32(400))
+    stream = rng.integers(0, lm_scoring.CLASSES, 60).astype("<u2")
+    with np.errstate(all="raise", under="ignore"):
+        hidden, target = net.hidden(stream, net.placed()), stream[2:-2].astype(int)
+        got = net.log_probabilities(hidden, target)
+        grown = net.gradient(stream)[0]
+    assert np.allclose(hidden, net.read(stream)[1], atol=1e-4) and np.isfinite(grown.flat()).all()
+    for h, t, x in zip(hidden.astype(float), target, got):
+        g, m = divmod(int(t), lm_scoring.MEMBERS)
+        both = h @ net.group + net.group_prior, h @ net.member[g] + net.member_prior[g]
+        assert x == pytest.approx(sum(z[i] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, i in zip(both, (g, m))), rel=1e-3, abs=1e-2)
+
+
+def test_lm_places_of_hashes():
+    rng = np.random.default_rng(6)
+    top = np.uint64(2**64 - 1)
+    for held in (rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), top - np.arange(100, dtype=np.uint64), np.array([7], np.uint64)):
+        held = np.unique(held)
+        asked = np.concatenate((held, held + np.uint64(1), held - np.uint64(1), rng.integers(0, 2**63, 500).astype(np.uint64), [np.uint64(0), top]))
+        vocabulary = lm_scoring.Vocabulary(held, np.full(len(held), -1, np.int32), np.zeros(len(held), np.float32))
+        assert np.array_equal(vocabulary.places(asked), np.minimum(np.searchsorted(held, asked), len(held) - 1))
+
+
+def test_lm_counts_of_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "COUNTED", 3)
+    texts = ["a b a", None, "", "B c", "a " * 10, "d"]
+    got = sorted(r.total for r in lm_scoring.word_counts(docs(spark, texts)).collect())
+    assert got == [1, 1, 2, 12]
+
+
 def test_lm_scores(spark):
     d = docs(spark, [*ODD, "the cat sat on the mat", "the cat sat on the mat"])
     got = {r.doc_id: r for r in lm_scoring.score(clash(d)).collect()}
