@@ -64,10 +64,8 @@ def remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1).cast("long"))
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hands batches on; at their end, memory that the worker has freed goes back to the system. Workers live on for other
-    stages' tasks, and what one stage has left would count against the next."""
-    yield from batches
+def give_back() -> None:
+    """Memory that this Python has freed goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
@@ -75,5 +73,12 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim(0)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hands batches on; at their end, freed memory is given back. Workers live on for other stages' tasks, and what one stage
+    has left would count against the next."""
+    yield from batches
+    give_back()
+
+
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -160,25 +160,33 @@ def links(nodes: DataFrame, layout: tuple = LAYOUT, dense: int = DENSE) -> DataF
 
 def _with_least(edges: DataFrame, total: int, hot: int) -> DataFrame:
     """edges(a, b) with m, the least b of a. A node of more than `hot` edges is no hot key."""
+    if total <= hot:
+        return edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
-    met = edges.join(least, "a") if total <= hot else lookup(edges, written(least, "least"), "a", "members", total)
-    return met.drop("members")
+    return lookup(edges, written(least, "least"), "a", "members", total).drop("members")
+
+
+def _each(rows: DataFrame, *edges: tuple[str, str]) -> DataFrame:
+    """(a, b) by these columns, several of a row in one pass."""
+    found = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in edges])
+    return rows.select(F.explode(found).alias("edge")).select("edge.*")
 
 
 def components(edges: DataFrame, name: str = "components", hot: int = HOT_ROWS) -> DataFrame:
     """edges(a, b) -> (a, b) for each node a that isn't the smallest of its component b.
 
     Alternating large-star and small-star steps; every round is written, so a lost executor costs one round only, and
-    the round before is removed."""
+    the round before is removed. Up to `hot` edges a round is one short query of three shuffles: the driver keeps a thread
+    and several plans for each shuffle and broadcast, so long plans of many rounds would cost it more than the edges do."""
     now, before = written(edges.where("a <> b").distinct(), name), None
     count = now.count()
     while count:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _each(now, ("a", "b"), ("b", "a"))
         both = both if count <= hot else written(both, name)
-        large = _with_least(both, 2 * count, hot).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        large = large if count <= hot else written(large, name)
+        large = _with_least(both, 2 * count, hot).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = large if count <= hot else written(large.distinct(), name)  # repeated edges change no least one
         small = _with_least(large, count, hot)
-        stars = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct()
+        stars = _each(small, ("a", "m"), ("b", "m")).where("a <> b").distinct()
         last, now = now, written(stars, name)
         forget(last)
         count, *rest = now.agg(F.count("*"), F.expr("sum(xxhash64(a, b) % 1000000007)")).first()

@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import ddl, ranked_sample, released, written
+from pulseframe.llm.common import ddl, give_back, ranked_sample, released, written
 
 SAMPLE = 3000  #: labelled documents of either class to learn from, at most
 LEAST_DOCUMENTS = 3  #: documents of the sample that a feature with a weight occurs in
@@ -163,12 +164,17 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     texts = written(worded.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled_texts")
     if not texts.where("label = 1").count():
         return Model({}, -1e9)
-    found = {r.feature: r.start for r in chosen_features(texts).collect()}
+    found = dict(zip(*chosen_features(texts).toArrow().to_pydict().values()))
     if not found:
         return Model({}, -1e9)
     seen = {x: i for i, x in enumerate(sorted(found))}
-    bags = [r for r in sorted(bags_of(texts, seen).collect(), key=lambda r: r.id) if r.ends]  # 2 x sample rows at most
-    weights, bias = fit([(np.array(r.words, np.int32), np.array(r.ends, np.int32)) for r in bags], [r.label for r in bags], np.array([found[x] for x in seen]))
+    # 2 x sample rows at most, as numbers in arrays: as rows of Python's they would take ten times as much
+    bags = bags_of(texts, seen).toArrow().combine_chunks().sort_by("id")
+    bags = bags.filter(pc.greater(pc.list_value_length(bags["ends"]), 0))
+    words, ends = ([x.values.to_numpy() for x in bags[c]] for c in ("words", "ends"))
+    weights, bias = fit(list(zip(words, ends)), bags["label"].to_pylist(), np.array([found[x] for x in seen]))
+    del bags, words, ends
+    give_back()
     return Model({x: float(weights[i]) for x, i in seen.items() if abs(weights[i]) > 0.1}, bias)
 
 

@@ -129,6 +129,20 @@ def test_hot_roots(spark):
     assert one == two == {i: 0 for i in range(1, 40)} | {i: 100 for i in range(101, 130)} | {201: 200}
 
 
+def test_rounds_are_short_queries(spark, monkeypatch):
+    """A round of components has three shuffles and no broadcast: each costs the driver a thread and several plans."""
+    d = written(spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(i, 100) for i in range(101, 140)], "a long, b long"))
+    plans, write = [], simhash.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", watched)
+    assert {r.a: r.b for r in simhash.components(d).collect()} == {i: 0 for i in range(1, 40)} | {i: 100 for i in range(101, 140)}
+    assert len(plans) > 2 and max(x.count("Exchange hashpartitioning") for x in plans) <= 3 and not any("Broadcast" in x for x in plans)
+
+
 def test_fingerprints_of_all_texts_come_first(spark, monkeypatch):
     """SimHash is given every document with words, by its whole set, and links most pairs without the exact join, short ones too."""
     rng, texts = np.random.default_rng(5), ["alone here", None, "", "nothing like any of the other texts that stand here", "a b c", "A  b c"]

@@ -511,6 +511,17 @@ def test_toxicity_locates_sentences(spark):
     assert toxicity.score(d.where("false"), model).count() == 0 and toxicity.noisy_or([0.5, 0.5]) == pytest.approx(0.75)
 
 
+def test_toxicity_learns_from_arrays(spark, monkeypatch):
+    """Features and documents come to the driver as arrays, not as rows of Python's numbers."""
+    d = docs(spark, [("a vile word here. " if i % 3 == 0 else "a good word here. ") * 5 for i in range(60)])
+    labels = d.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    sizes, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    model = toxicity.train(d, labels)
+    assert max(sizes) <= 1 and model.weights["vile"] > 0
+    assert {r.doc_id for r in toxicity.score(d, model).where("predicted = 1").collect()} == set(range(0, 60, 3))
+
+
 def test_toxicity_whole_texts(spark):
     """The word that tells lies behind 60,000 characters; repeated rows, ids with several labels, other result names."""
     filler = ("Plain words stand here" + " and go on" * 300 + ". ") * 20
